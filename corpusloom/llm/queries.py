@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, sharding
+from . import chat, fingerprint, packing, sharding, token_output
 from .common import Scratch, table
+from .encode import tokenizer_path
+
+
+def op1_token_output(spark, sf_dir):
+    work = Scratch(spark, "op1")
+    shards = work.save(token_output.encode_shards(table(spark, sf_dir, "documents"), tokenizer_path()), "shards")
+    return token_output.read_back(shards)
+
+
+def op2_packing(spark, sf_dir):
+    work = Scratch(spark, "op2")
+    return packing.pack(work.save(packing.cut(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces"))
 
 
 def op7_fingerprints(spark, sf_dir):
@@ -46,6 +58,8 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 
 
 QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_packing": op2_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,

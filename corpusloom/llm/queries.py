@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, sharding, token_output
+from . import chat, fingerprint, near_dup, packing, sharding, token_output
 from .common import Scratch, table
 from .encode import tokenizer_path
 
@@ -18,6 +18,22 @@ def op2_packing(spark, sf_dir):
     return packing.pack(work.save(packing.cut(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces"))
 
 
+def op5_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= 75 * (x.n + y.n - p.k)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = d.doc_id"""
+
+
 def op7_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -60,8 +76,9 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
+    "op5_near_dup": op5_near_dup,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
 }
-ORACLES = {"op8_sharding": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op5_near_dup": OP5_SQL, "op8_sharding": OP8_SQL, "op9_chat": OP9_SQL}

@@ -32,7 +32,7 @@ from .token_output import _with_end
 
 SIZE = 2048
 SEPARATOR = 0
-RANK_ROWS = 20_000
+RANK_ROWS = 1_000
 SEARCH_STEPS = 4000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

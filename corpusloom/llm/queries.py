@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, near_dup, packing, sharding, token_output
+from . import chat, decontaminate, extract, fingerprint, language, near_dup, packing, quality, sharding, token_output
 from .common import Scratch, table
 from .encode import tokenizer_path
 
@@ -18,6 +18,25 @@ def op2_packing(spark, sf_dir):
     return packing.pack(work.save(packing.cut(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT DISTINCT kind, id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+      FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'b' GROUP BY 1)
+SELECT d.id AS doc_id, b.id AS item_id, n.n AS n_item_shingles, count(*) AS n_found, count(*) / n.n AS containment
+FROM s b JOIN s d ON b.s = d.s AND b.kind = 'b' AND d.kind = 'd' JOIN n ON n.id = b.id
+GROUP BY d.id, b.id, n.n HAVING 100 * count(*) >= 75 * n.n"""
+
+
 def op5_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +53,10 @@ SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.do
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = d.doc_id"""
 
 
+def op6_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,6 +78,10 @@ SELECT f.doc_id, f.n_bytes, 's' || substr(lpad(bin(f.h), 32, '0'), 1, f.depth) A
 FROM f JOIN s ON s.depth = f.depth AND s.p = f.h >> (32 - f.depth)"""
 
 
+def op10_extract(spark, sf_dir):
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_chat(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,9 +103,13 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
+    "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_extract": op10_extract,
 }
-ORACLES = {"op5_near_dup": OP5_SQL, "op8_sharding": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op5_near_dup": OP5_SQL, "op8_sharding": OP8_SQL, "op9_chat": OP9_SQL}

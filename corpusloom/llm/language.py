@@ -108,12 +108,11 @@ class Model:
         for k in self.langs:
             share = max(1, chars // max(1, len(reduced[k])))
             left, text = chars, [0]
-            for spread in (share, chars):  # equal shares first, then what is still missing
-                for x in reduced[k] if spread == share else [x[share:] for x in reduced[k]]:
-                    if left > 0 and len(x):
-                        part = self.symbols(x[: min(spread, left)])
-                        text += [*part.tolist(), 0]
-                        left -= len(part)
+            for x in [x[:share] for x in reduced[k]] + [x[share:] for x in reduced[k]]:
+                if left > 0 and len(x):  # equal shares first, then what is still missing
+                    part = self.symbols(x[:left])
+                    text += [*part.tolist(), 0]
+                    left -= len(part)
             t = suffix_automaton(text, symbols)
             tables.append(np.where(t > 0, t + at, 0))
             self.roots.append(at)
@@ -154,19 +153,24 @@ class Model:
         count = np.zeros((n_langs, n), np.int32)
         root = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(root, n, axis=1) if n else np.zeros((n_langs, 0), np.int32)
-        count += 1
+        fresh = np.ones((n_langs, n), bool)  # where the next character begins a phrase in any case
+        lost_any = False
         active = np.searchsorted(-width, -np.arange(1, LANE + 1), side="right")  # lanes longer than t
         for t in range(int(width[0]) if n else 0):
             m = int(active[t])
             c = x[start[:m] + t].astype(np.int32)
             s = flat[state[:, :m] * k + c]
             dead = s == 0
-            count[:, :m] += dead
+            count[:, :m] += dead | fresh[:, :m] if t == 0 or lost_any else dead
             where = np.nonzero(dead)
             s[where] = flat[root[where[0], 0] * k + c[where[1]]]  # a new phrase begins with this character
             lost = s[where] == 0
-            if lost.any():  # a character that the language has never shown is a phrase by itself
-                s[where[0][lost], where[1][lost]] = root[where[0][lost], 0]
+            if t == 0 or lost_any:
+                fresh[:] = False
+            lost_any = bool(lost.any())
+            if lost_any:  # a character that the language has never shown is a phrase by itself
+                at = where[0][lost], where[1][lost]
+                s[at], fresh[at] = root[at[0], 0], True
             state[:, :m] = s
         out = np.zeros((len(texts), n_langs), np.int64)
         for j in range(n_langs):
@@ -208,7 +212,7 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     refs: dict[str, list] = {}
     for r in rows.collect():
         refs.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return Model({k: [t for _, t in sorted(v)] for k, v in refs.items()})
+    return Model({k: [t for _, t in sorted(v, key=lambda r: (r[0] is None, r[0] or 0, r[1]))] for k, v in refs.items()})
 
 
 def predict(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:

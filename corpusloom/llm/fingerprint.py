@@ -33,7 +33,10 @@ def with_lanes(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int =
     near = ", ".join(f"{h}[i + {k}]" for k in range(1, SHINGLE))
     walk = ", ".join(f"nullif({p}[cast(pmod(xxhash64(j, {a}), {bins}) as int)], 0)" for a in range(1, WALK + 1))
     last = f"array_position({b}, array_min(transform({b}, y -> struct(xxhash64(j, y, -1) as r, y as y))).y)"
-    df = df.withColumn(w, F.expr(f"array_remove(split(lower({text}), '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), '')"))
+    plain = f"lower({text})"
+    for c in ("\\t", "\\n", "\\u000B", "\\f", "\\r"):
+        plain = f"replace({plain}, '{c}', ' ')"
+    df = df.withColumn(w, F.expr(f"array_remove(split({plain}, ' '), '')"))
     df = df.withColumn(h, F.expr(f"transform({w}, x -> xxhash64(x))")).drop(w)
     df = df.withColumn(s, F.expr(f"sort_array(case when size({h}) >= {SHINGLE} then transform(slice({h}, 1, size({h}) - {SHINGLE - 1}), (x, i) -> xxhash64(x, {near})) when size({h}) > 0 then array(xxhash64({h})) else array() end)")).drop(h)
     df = df.withColumn(f, F.expr(f"filter({s}, (x, i) -> i = 0 or shiftright(x, {shift}) <> shiftright({s}[i - 1], {shift}))")).drop(s)

@@ -123,46 +123,47 @@ def _with_component(df: DataFrame, comps: DataFrame, key: str, name: str) -> Dat
     return df.join(c, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def _crowd_links(work: Scratch, members: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, best: int | None, tag: str) -> DataFrame | None:
+def _crowd_links(work: Scratch, members: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame, k: int) -> DataFrame | None:
     """Links between components inside large buckets, by comparing blocks of classes.
 
-    ``best``: offer for each class and block only so many likeliest partners in each component
-    (a first pass that joins most of them); None: offer all.
+    A task holds two blocks of a crowd with their texts.  For each class it looks at the other
+    block's likely partners, the likeliest first, and gives one confirmed link to each component.
     """
     spread = _with_component(members, comps, "rep", "comp")
     open_buckets = spread.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("pivot")).where("lo <> hi").select("bucket", "pivot")
-    ties = work.save(spread.join(open_buckets, "bucket").select("rep", "comp", "pivot"), f"crowd_ties{tag}")
+    ties = work.save(spread.join(open_buckets, "bucket").select("rep", "comp", "pivot"), "crowd_ties")
     if ties.isEmpty():
         return None
     crowds = connected_components(ties.select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))).select(F.col("id").alias("rep"), F.col("component").alias("crowd"))
-    people = work.save(_with_component(crowds, comps, "rep", "comp").join(sigs.select("rep", "n", "sig"), "rep"), f"crowd_people{tag}")
+    people = work.save(_with_component(crowds, comps, "rep", "comp").join(sigs.select("rep", "n", "sig"), "rep").join(texts, "rep"), "crowd_people")
     per = people.groupBy("crowd", "comp").count()
     main = per.groupBy("crowd").agg(F.max(F.struct("count", (-F.col("comp")).alias("c"))).alias("m"), F.sum("count").alias("size")).select("crowd", (-F.col("m.c")).alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     people = people.join(main, "crowd").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = people.where("comp <> main").select("crowd", F.col("block").alias("bu"), F.explode(every).alias("bv"), "rep", "comp", "n", "sig")
+    left = people.where("comp <> main").select("crowd", F.col("block").alias("bu"), F.explode(every).alias("bv"), "rep", "comp", "n", "sig", "text")
     outside = people.where("comp <> main").select("crowd", F.col("block").alias("bu")).distinct()
-    right = people.join(outside, "crowd").select("crowd", "bu", F.col("block").alias("bv"), "rep", "comp", "n", "sig")
+    right = people.join(outside, "crowd").select("crowd", "bu", F.col("block").alias("bv"), "rep", "comp", "n", "sig", "text")
+    right = right.toDF(*right.columns)  # both sides come from one table
 
     def compare(key, u: pa.Table, v: pa.Table) -> pa.Table:
-        su, sv = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (u, v))
-        iu, cu, nu = (u.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        iv, cv, nv = (v.column(c).to_numpy() for c in ("rep", "comp", "n"))
         out = []
-        for r in range(len(iu)):
-            ok = (cv != cu[r]) & (100 * np.minimum(nv, nu[r]) >= PERCENT * np.maximum(nv, nu[r]))
-            near = (sv[ok] == su[r]).mean(axis=1)
-            there, near = np.flatnonzero(ok)[near >= ESTIMATE], near[near >= ESTIMATE]
-            taken: dict[int, int] = {}
-            for j in there[np.argsort(-near, kind="stable")]:
-                taken[cv[j]] = taken.get(cv[j], 0) + 1
-                if best is None or taken[cv[j]] <= best:
-                    out.append((iu[r], iv[j]))
+        if u.num_rows and v.num_rows:
+            su, sv = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (u, v))
+            iu, cu, nu = (u.column(c).to_numpy() for c in ("rep", "comp", "n"))
+            iv, cv, nv = (v.column(c).to_numpy() for c in ("rep", "comp", "n"))
+            sets_u, sets_v = _sets(u.column("text"), k), _sets(v.column("text"), k)
+            for r in range(len(iu)):
+                ok = np.flatnonzero((cv != cu[r]) & (100 * np.minimum(nv, nu[r]) >= PERCENT * np.maximum(nv, nu[r])))
+                near = (sv[ok] == su[r]).mean(axis=1)
+                joined = set()
+                for j in ok[np.argsort(-near, kind="stable")][: int((near >= ESTIMATE).sum())]:
+                    if cv[j] not in joined and _linked(sets_u[r], sets_v[j]):
+                        joined.add(cv[j])
+                        out.append((iu[r], iv[j]))
         a, b = (np.array([o[i] for o in out], np.int64) for i in (0, 1))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    pairs = left.groupBy("crowd", "bu", "bv").cogroup(right.groupBy("crowd", "bu", "bv")).applyInArrow(compare, "a long, b long")
-    return confirm(work.save(pairs.distinct(), f"crowd_pairs{tag}"), texts, k)
+    return left.groupBy("crowd", "bu", "bv").cogroup(right.groupBy("crowd", "bu", "bv")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -199,11 +200,9 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     rest = rest.join(first.withColumnRenamed("b", "tried"), "a").where("b <> tried").select("a", "b")
     links = links.unionByName(work.save(confirm(rest, near_texts, k), "links2"))
     comps = connected_components(links, "a", "b")
-    for tag, best in (("1", 3), ("2", None)):
-        more = _crowd_links(work, large.select("bucket", "rep"), comps, sigs, near_texts, k, best, tag)
-        if more is None:
-            break
-        links = links.unionByName(work.save(more, f"crowd_links{tag}"))
+    more = _crowd_links(work, large.select("bucket", "rep"), comps, sigs, near_texts, k)
+    if more is not None:
+        links = links.unionByName(work.save(more, "crowd_links"))
         comps = connected_components(links, "a", "b")
 
     named = _with_component(classes, comps, "rep", "component_id").select("set_key", "component_id")

@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Name = Column | str
 
@@ -236,7 +237,7 @@ def _entities(x: str | None) -> str | None:
     return " ".join(html.unescape(_OPEN.sub(r"&\1;", x)).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _entities_udf(s: pd.Series) -> pd.Series:
     return s.map(_entities)
 
@@ -254,7 +255,7 @@ def _escapes(x: str | None) -> str | None:
     return _entities(re.sub(r"(?:\\u[0-9a-fA-F]{4})+", one, x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _escapes_udf(s: pd.Series) -> pd.Series:
     return s.map(_escapes)
 

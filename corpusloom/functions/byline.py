@@ -119,7 +119,7 @@ class Parser:
         out, i = [], 0
         while i < len(words):
             n = 2
-            while i + n < len(words) and (words[i + n - 1].lower() in PARTICLES or _INITIAL.fullmatch(words[i + n - 1])):
+            while i + n < len(words) and (words[i + n - 1].lower() in PARTICLES or words[i + n].lower() in PARTICLES or _INITIAL.fullmatch(words[i + n - 1])):
                 n += 1
             if len(words) - i - n == 1:
                 n += 1

@@ -71,6 +71,12 @@ def parse_list(c: Name) -> Column:
     return F.when(blank_to_null(c).isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(non_empty(F.from_json(c, "array<string>")), non_empty(F.split(c, ","))))
 
 
+def parse_list_value(c: Name) -> Column:
+    """As :func:`parse_list`, with entities and escapes decoded and quotes and brackets around items dropped."""
+    items = F.transform(parse_list(clean_text(c)), lambda x: strip(F.regexp_replace(x, r"^[\s'\"\[]+|[\s'\"\]]+$", "")))
+    return non_empty(items)
+
+
 def merge_comma_lists(*columns: Name) -> Column:
     """Items of several comma lists, without repeats in any case, joined again; null if none."""
     items = ci_distinct(non_empty(F.concat(*(F.split(F.coalesce(_c(c), F.lit("")), ",") for c in columns))))

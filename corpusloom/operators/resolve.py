@@ -200,3 +200,44 @@ def contained_names(names: DataFrame, directory: DataFrame, max_directory: int =
     d = F.broadcast(directory.select(T.norm_simple("name").alias("_d")).where("_d <> ''").distinct())
     n = T.norm_simple("name")
     return names.join(d, n.contains(F.col("_d")) | F.col("_d").contains(n), "left_semi")
+
+
+def resolve_ids(golden: DataFrame, people: DataFrame) -> DataFrame:
+    """``key, author_id`` of merge groups: the primary row's, else the first there is.
+
+    An id that also stands outside the group gives way to the primary row's own, or to none.
+    """
+    own = golden.join(people.select(F.col("id"), F.col("author_id").alias("primary_id")), "id", "left")
+    clash = conflicting_ids(people).select(F.col("author_id").alias("_clash"))
+    picked = own.withColumn("picked", F.coalesce(T.blank_to_null("primary_id"), F.col("author_id")))
+    j = picked.join(clash, F.col("picked") == F.col("_clash"), "left")
+    return j.select("key", F.when(F.col("_clash").isNull(), F.col("picked")).otherwise(T.blank_to_null("primary_id")).alias("author_id"))
+
+
+def resolve_crawled(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``item, pos, author_id, name`` for crawled authors ``found(item, pos, link_id, name)``.
+
+    By id, else by name or alias, else new: a placeholder made from the name.  A real id takes the
+    place of a placeholder for the same name everywhere.
+    """
+    f = found.withColumn("_k", T.norm_simple("name"))
+    forms = known.select("author_id", F.explode(T.non_empty(F.concat(F.array("name"), F.split(F.coalesce("alias", F.lit("")), ",")))).alias("n"))
+    made = F.col("author_id").startswith("no-id-")
+    by_name = forms.groupBy(F.lower("n").alias("_k")).agg(F.min(F.struct(made.alias("p"), "author_id")).alias("b")).select("_k", F.col("b.author_id").alias("known_id"))
+    linked = f.where("link_id is not null").groupBy("_k").agg(F.min("link_id").alias("seen_id"))
+    j = f.join(by_name, "_k", "left").join(linked, "_k", "left")
+    old = F.when(~F.col("known_id").startswith("no-id-"), F.col("known_id"))
+    return j.select("item", "pos", F.coalesce("link_id", old, "seen_id", "known_id", T.placeholder_id("name")).alias("author_id"), "name")
+
+
+def save_aliases(old: DataFrame, new: DataFrame, limit: int = 200) -> DataFrame:
+    """``author_id, name, alias``: the own name first, then old and new parts without repeats, cut at ``limit``."""
+    j = old.alias("o").join(new.alias("n"), "author_id", "full")
+    name = F.coalesce("n.name", "o.name")
+    alias = F.array_join(T.ci_distinct(T.non_empty(F.concat(F.array(name), F.split(F.coalesce("o.alias", F.lit("")), ","), F.split(F.coalesce("n.alias", F.lit("")), ",")))), ", ")
+    return j.select("author_id", name.alias("name"), F.substring(alias, 1, limit).alias("alias"))
+
+
+def neighbours(links: DataFrame, source: str, target: str, key) -> DataFrame:
+    """Stored links of one item."""
+    return links.where(F.col(source) == key).select(target)

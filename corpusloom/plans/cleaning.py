@@ -269,3 +269,94 @@ def pipeline(spark, sf):
     a = c.select(F.col("c_custkey").alias("article_id"), *(none.alias(x) for x in (*stages.LISTS, "related_articles")))
     raw = c.select(F.col("c_custkey").alias("article_id"), F.expr(BYLINE).alias("author"), F.lit(None).cast("string").alias("related_raw"))
     return _joined(stages.run(a, raw, house=HOUSE))
+
+
+@query("i7_list_values", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a & b|' || c_name WHEN 1 THEN c_name || '|c' ELSE c_name END AS v FROM customer")
+def list_values(spark, sf):
+    raw = F.expr("CASE c_custkey % 3 WHEN 0 THEN '[\"a &amp; b\", \"' || c_name || '\"]' WHEN 1 THEN '\"' || c_name || '\", \"c\"' ELSE c_name END")
+    return _t(spark, sf, "customer").select("c_custkey", F.array_join(T.parse_list_value(raw), "|").alias("v"))
+
+
+@query("a8_staff_page", "SELECT s_suppkey AS page, 'Anna ' || s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Leitung (Redaktion Sport)' ELSE 'Autorin (Inland)' END AS role, CASE WHEN s_suppkey % 2 = 0 THEN 'Redaktion Sport' ELSE 'Inland' END AS department FROM supplier")
+def staff_page(spark, sf):
+    s = _t(spark, sf, "supplier")
+    line = "'<h2>Redaktion Sport</h2><p>Anna ' || s_name || ', Leitung</p><p>Inland:</p>' || CASE WHEN s_suppkey % 2 = 1 THEN '<p>Anna ' || s_name || ' – Autorin</p>' ELSE '<p>kurz</p>' END"
+    return P.staff(s.select(F.col("s_suppkey").alias("page"), F.expr(line).alias("html")), "html", "page").select("page", "name", "role", "department")
+
+
+@query("b16_profiles", "SELECT s_suppkey, s_name AS name, 'Redaktorin' AS title, 'x.' AS alt_name, 'Bio ' || s_name AS bio FROM supplier")
+def profiles(spark, sf):
+    line = "'<h1>' || s_name || ' (x.)</h1><h2>Redaktorin</h2><p>Bio ' || s_name || '</p>'"
+    return P.extract_profiles(_t(spark, sf, "supplier").select("s_suppkey", F.expr(line).alias("html")), "html")
+
+
+@query("b10_page_people", "SELECT s_suppkey AS page, s_name AS name, '/impressum/a-ld.' || s_suppkey AS link FROM supplier UNION ALL SELECT s_suppkey, 'Ben Beispiel', NULL FROM supplier")
+def page_people(spark, sf):
+    line = "'<meta name=\"author\" content=\"Ben Beispiel\"><a href=\"/impressum/a-ld.' || s_suppkey || '\">' || s_name || '</a><span class=\"author\">' || upper(s_name) || ', Bern</span>'"
+    return P.byline_people(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.expr(line).alias("html")), "html", "page").select("page", "name", "link")
+
+
+@query("b14_related_links", "SELECT s_suppkey AS page, 'https://b.org/x/zwei-ld.' || (s_suppkey + 1) AS url, CAST(s_suppkey + 1 AS VARCHAR) AS id FROM supplier")
+def related_link_rows(spark, sf):
+    from ..operators.resolve import first_links
+
+    line = "'<div data-team-more-to-subject><article><a href=\"/x/self-ld.' || s_suppkey || '\">Self</a></article><article><a href=\"/x/zwei-ld.' || (s_suppkey + 1) || '\">Zwei</a></article><article><a href=\"/x/zwei-ld.' || (s_suppkey + 1) || '\">Zwei</a></article></div>'"
+    d = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.expr(line).alias("html"))
+    return first_links(P.related_links(d, "html", "page", "https://b.org")).select("page", "url", "id")
+
+
+def _one_list(spark, sf, authors, department="array('Sport')", location="array('Bern')"):
+    o = _t(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("article_id"), F.expr(authors).alias("authors"), F.expr(department).alias("department"), F.expr(location).alias("location"))
+
+
+@query("j01_authors", "SELECT CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END AS author_id, c_name AS name, CAST(1 AS INTEGER) AS has_info, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS title, c_mktsegment AS department FROM customer")
+def stage01(spark, sf):
+    c = _t(spark, sf, "customer").select(F.expr("CASE WHEN c_custkey % 2 = 0 THEN cast(c_custkey as string) END").alias("author_id"), F.col("c_name").alias("name"), F.lit(0).alias("has_info"), F.lit("old").alias("title"), F.col("c_mktsegment").alias("department"), "c_custkey", *(F.lit(None).cast("string").alias(x) for x in ("alt_name", "alias", "bio")))
+    raw = c.withColumns({"has_info": F.lit(1), "title": F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE '' END"), "department": F.lit(None).cast("string")})
+    return stages.stage01_authors(c, raw).select("author_id", "name", "has_info", "title", "department")
+
+
+@query("j02_articles", "SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN o_orderkey % 3 > 0 THEN 'Anna' END AS authors FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 > 0")
+def stage02(spark, sf):
+    o = _t(spark, sf, "orders")
+    cols = ["content", "description", "tags", "category", "article_date", "article_date_updated"]
+    old = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("article_id"), F.lit("old").alias("title"), *(F.lit("x").alias(c) for c in cols), F.array(F.lit("Anna")).alias("authors"), F.array(F.lit("D")).alias("department"), F.array(F.lit("L")).alias("location"))
+    raw = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("article_id"), F.lit("new").alias("title"), *(F.lit("y").alias(c) for c in cols))
+    return stages.stage02_articles(old, raw).select("article_id", "title", F.array_join("authors", "|").alias("authors"))
+
+
+@query("j05_refined", "SELECT o_orderkey AS article_id, 'Anna Muster' AS authors, 'Sport|Redaktion' AS department, 'Bern|Paris' AS location FROM orders")
+def stage05(spark, sf):
+    return _joined(stages.stage05_refine(_one_list(spark, sf, "array('Anna Muster (Paris), Redaktion')"), frozenset({"paris"})))
+
+
+@query("j07_names", "SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Anna Muster|Ben Beispiel|Cem Demo' ELSE 'Cem Demo' END AS authors, CASE WHEN o_orderkey % 2 = 0 THEN 'Sport' ELSE 'Sport|bildredaktion' END AS department, 'Bern' AS location FROM orders")
+def stage07(spark, sf):
+    return _joined(stages.stage07_names(_one_list(spark, sf, "array(CASE WHEN o_orderkey % 2 = 0 THEN 'Anna Muster und Ben Beispiel' ELSE 'bildredaktion' END, 'Cem Demo')")))
+
+
+@query("j08_corrections", "SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Anna A.|Ben B.' ELSE 'Cem Demo' END AS authors, CASE WHEN o_orderkey % 2 = 0 THEN 'Sport' ELSE 'Sport|Visuals' END AS department, 'Bern' AS location FROM orders")
+def stage08(spark, sf):
+    c = spark.createDataFrame([("Anna Muster", "replace", "Anna A., Ben B."), ("Grafik", "dept", "Visuals")], "author string, action string, payload string")
+    a = _one_list(spark, sf, "CASE WHEN o_orderkey % 2 = 0 THEN array('Anna Muster') ELSE array('Grafik', 'Cem Demo') END")
+    return _joined(stages.stage08_corrections(a, c))
+
+
+@query("j11_unicode", "SELECT o_orderkey AS article_id, 'Jürg Müller|x' AS authors, 'Sport' AS department, 'Bern' AS location FROM orders")
+def stage11(spark, sf):
+    return _joined(stages.stage11_unicode(_one_list(spark, sf, "array('J\\\\u00fcrg Müller', 'x')")))
+
+
+@query("j14_entities", "SELECT o_orderkey AS article_id, 'A & B|' || o_custkey AS authors, 'Sport' AS department, 'Bern' AS location FROM orders")
+def stage14(spark, sf):
+    people = _t(spark, sf, "customer").select(F.col("c_name").alias("name"), F.lit("a").alias("alias"), F.lit("b").alias("alt_name"))
+    return _joined(stages.stage14_entities(_one_list(spark, sf, "array('A &amp; B', cast(o_custkey as string))"), people)[0])
+
+
+@query("j15_merged_prefixes", "SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Benedikt Beispiel|Benedikt Beispiel' ELSE 'Anna Muster|Benedikt Beispiel' END AS authors FROM orders")
+def stage15(spark, sf):
+    kind = "id long, author_id string, name string, title string, bio string, department string, has_info int"
+    people = spark.createDataFrame([(1, None, "Ben.", None, None, None, 0), (2, "7", "Benedikt Beispiel", None, None, None, 1), (3, None, "Anna Muster", None, None, None, 1)], kind)
+    a = _one_list(spark, sf, "array(CASE WHEN o_orderkey % 2 = 0 THEN 'Ben.' ELSE 'Anna Muster' END, 'Benedikt Beispiel')")
+    return stages.stage15_merge_prefixes(a, people)[0].select("article_id", F.array_join("authors", "|").alias("authors"))

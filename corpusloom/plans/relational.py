@@ -436,3 +436,59 @@ def percent_change(spark, sf):
     s = _t(spark, sf, "supplier").withColumn("b", F.expr("CAST(s_suppkey % 3 AS DOUBLE)"))
     d, p = change(F.col("b"), F.col("s_acctbal"))
     return s.select("s_suppkey", F.round(d, 6).alias("change"), F.round(p, 6).alias("percent"))
+
+
+# --- further maintenance --------------------------------------------------------------------
+
+
+@query("a5_sync_scan", f"SELECT o_orderkey AS id, {BLANKED} AS authors FROM orders WHERE {BLANKED} IS NOT NULL")
+def sync_scan(spark, sf):
+    return _orders(spark, sf).where("section is not null").select(F.col("o_orderkey").alias("id"), F.col("section").alias("authors"))
+
+
+@query("a10_copied_table", "SELECT n_nationkey, n_name FROM nation")
+def copied_table(spark, sf):
+    from ..sources.sinks import clean_for_copy
+
+    n = _t(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit("\0")).alias("n_name"))
+    return clean_for_copy(n.unionByName(n), "n_nationkey")
+
+
+@query("a14_updates", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name, c_mktsegment FROM customer")
+def updates(spark, sf):
+    from ..sources.sinks import apply_updates
+
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return apply_updates(c, c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("c_name")), "c_custkey")
+
+
+@query("c13_neighbours", "SELECT l_partkey FROM lineitem WHERE l_orderkey = 33")
+def neighbours(spark, sf):
+    return resolve.neighbours(_t(spark, sf, "lineitem"), "l_orderkey", "l_partkey", 33)
+
+
+@query("e16_author_ids", f"WITH p AS ({GOLD}), k AS (SELECT *, lower(trim(name)) AS key FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY has_info DESC, id) AS n FROM k), g AS (SELECT key, max(author_id) FILTER (n = 1) AS own, arg_min(author_id, n) FILTER (author_id IS NOT NULL) AS any_id FROM o GROUP BY key), x AS (SELECT author_id FROM k WHERE author_id IS NOT NULL GROUP BY author_id HAVING count(DISTINCT key) > 1) SELECT key, CASE WHEN COALESCE(own, any_id) IN (SELECT author_id FROM x) THEN own ELSE COALESCE(own, any_id) END AS author_id FROM g")
+def author_ids(spark, sf):
+    p = _gold(spark, sf)
+    return resolve.resolve_ids(resolve.golden_records(p, ["author_id"], [], []).select("key", "id", "author_id"), p)
+
+
+@query("d15_crawled_authors", "SELECT l_orderkey AS item, l_linenumber AS pos, CASE s_suppkey % 3 WHEN 0 THEN 'id' || s_suppkey WHEN 1 THEN 'k' || s_suppkey ELSE 'no-id-' || substr(md5(s_name), 1, 8) END AS author_id, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
+def crawled_authors(spark, sf):
+    s = _t(spark, sf, "supplier")
+    known = s.where("s_suppkey % 3 = 1").select(F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("author_id"), F.lit("x").alias("name"), F.concat(F.lit("y, "), F.upper("s_name")).alias("alias"))
+    found = _t(spark, sf, "lineitem").join(s, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("pos"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'id' || s_suppkey END").alias("link_id"), F.col("s_name").alias("name"))
+    return resolve.resolve_crawled(found, known)
+
+
+@query("n3_saved_aliases", "SELECT c_custkey AS author_id, c_name AS name, c_name || ', old, ' || c_mktsegment AS alias FROM customer")
+def saved_aliases(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), "c_mktsegment")
+    old = c.select("author_id", "name", F.concat(F.upper("name"), F.lit(", old")).alias("alias"))
+    return resolve.save_aliases(old, c.select("author_id", "name", F.concat("c_mktsegment", F.lit(",OLD")).alias("alias")))
+
+
+@query("e18_canonical", f"WITH p AS ({GOLD}), k AS (SELECT id, lower(trim(name)) AS key, 1000 * has_info + CASE WHEN trim(title) <> '' THEN 100 ELSE 0 END + CASE WHEN bio IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN author_id IS NULL THEN 0 ELSE 5 END + length(name) AS score FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, id) AS n FROM k) SELECT key, id FROM o WHERE n = 1")
+def canonical(spark, sf):
+    p = _gold(spark, sf).withColumn("department", F.lit(None).cast("string")).withColumns({"key": T.norm_simple("name"), "score": resolve.canonical_score(with_length=True)})
+    return p.groupBy("key").agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("id"))

@@ -191,3 +191,20 @@ def test_pipeline_against_plain_python(spark, sf):
     t = Tokenizer.from_file(tokenizer_path())
     check_packing([(i, rows[i]) for i in ids("decontaminate")], steps["pack"].collect(), lambda x: t.encode(x or "", add_special_tokens=False).ids)
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_cases(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for start in (docs(spark), empty(spark)):
+        one, seen = start, {}
+        for name, f in pipeline.STAGES:
+            one = f(spark, one, sf).cache()
+            seen[name] = one.collect()
+            if name != "pack":
+                assert one.columns == start.columns
+        if start.count():
+            ids = lambda s: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in seen[s])
+            assert ids("language") == [(False, 0), (True, 1), (True, 5), (True, 6), (True, 6), (True, 7), (True, 7), (True, 8)]
+            assert ids("near_dedup") == [(False, 0), (True, 1), (True, 5), (True, 6), (True, 7), (True, 8)]
+        else:
+            assert not any(seen.values())

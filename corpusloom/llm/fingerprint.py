@@ -23,7 +23,7 @@ BINS = 128
 BITS = 8
 SHINGLE = 5
 WALK = 8
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 def with_lanes(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -79,14 +79,15 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """
     docs = _buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    first = docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("bucket", "d.text")
-    first = with_lanes(first, "text", "lanes")
+    inside = Window.partitionBy("bucket").orderBy(*order)
+    d = docs.withColumns({"next_text": F.lead("text").over(inside), "row": F.row_number().over(inside)})
+    first = with_lanes(d.where("row = 1").select("bucket", "text"), "text", "lanes")
+    # the next range of each: numbers alone pass through the one ordered window
     line = Window.orderBy("bucket")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wrap = lambda c: F.coalesce(F.lead(c).over(line), F.first(c).over(whole))
-    after = first.select("bucket", wrap("text").alias("text_after"), wrap("lanes").alias("lanes_after"))
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    d = docs.withColumns({"next_text": F.lead("text").over(inside), "row": F.row_number().over(inside)}).join(after, "bucket")
+    chain = docs.select("bucket").distinct().select("bucket", F.coalesce(F.lead("bucket").over(line), F.first("bucket").over(whole)).alias("following"))
+    after = first.select(F.col("bucket").alias("following"), F.col("text").alias("text_after"), F.col("lanes").alias("lanes_after"))
+    d = d.join(chain.join(after, "following").drop("following"), "bucket")
     d = d.withColumns({"last": F.col("next_text").isNull(), "next_text": F.coalesce("next_text", "text_after"), "n_chars": F.length("text").cast("long")})
     half = "cast(floor(n_chars / 2) as int)"
     d = d.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))")).drop("next_text", "text_after")

@@ -192,9 +192,8 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     spark = cut_pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
     place = spark.sparkContext.broadcast(slots(plan(histogram, size)))
-    salts = F.create_map(*[F.lit(x) for k, v in histogram.items() if v > RANK_ROWS for x in (k, -(-v // RANK_ROWS))]) if any(v > RANK_ROWS for v in histogram.values()) else None
-    n = F.coalesce(F.try_element_at(salts, "length"), F.lit(1)) if salts is not None else F.lit(1)
-    p = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), n))
+    parts = spark.createDataFrame([(k, -(-v // RANK_ROWS)) for k, v in histogram.items()], "length long, parts long")  # a row a length
+    p = cut_pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
     sums = p.groupBy("length", "salt").count()
     sums = sums.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     p = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)

@@ -26,9 +26,13 @@ def _c(c: Name) -> Column:
 # --- white space, lists ---------------------------------------------------------------------
 
 
+#: Unicode's white space
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Name) -> Column:
     """Without white space at the ends, in Unicode's sense."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def blank_to_null(c: Name) -> Column:
@@ -126,7 +130,7 @@ def clean_department(c: Name, house: str) -> Column:
 def author_in_department(c: Name) -> Column:
     """What follows the first label, in the order of ``LABELS``, that a department contains."""
     found = [blank_to_null(F.regexp_extract(_c(c), f"(?is){re.escape(x)}(.*)$", 1)) for x in (LABELS[1], LABELS[0], *LABELS[2:])]
-    return F.coalesce(*found)
+    return F.when(F.contains(_c(c), F.lit(":")), F.coalesce(*found))
 
 
 def base_name(c: Name) -> Column:

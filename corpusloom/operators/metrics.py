@@ -73,7 +73,10 @@ def _adjacency(g: Graph, max_edges: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n_edges = g.edges.count()
     if n_edges > max_edges:
         raise ValueError(f"{n_edges} edges are too many for a broadcast adjacency list of {max_edges}")
-    ids = np.array(sorted(r[0] for r in g.nodes.collect()))
+    rows = g.nodes.select("id").limit(max_edges + 1).collect()
+    if len(rows) > max_edges:
+        raise ValueError(f"more than {max_edges} nodes are too many for a broadcast adjacency list")
+    ids = np.array(sorted(r[0] for r in rows))
     e = g.edges.select("src", "dst").toArrow()
     s, d = (np.searchsorted(ids, e.column(c).to_numpy()) for c in ("src", "dst"))
     u, v = np.concatenate([s, d]), np.concatenate([d, s])

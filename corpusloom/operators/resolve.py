@@ -85,12 +85,14 @@ def golden_records(people: DataFrame, fields: list[str], lists: list[str], longe
     order = F.col("_o")
     aggs: list[Column] = [F.min_by("_id", order).alias("id"), F.min_by("_name", order).alias("name"), F.max("_has_info").alias("has_info"), F.count("*").alias("n_rows")]
     aggs += [F.min_by(f"_{c}", F.when(T.blank_to_null(f"_{c}").isNotNull(), order)).alias(c) for c in fields]
-    for c in lists:
-        parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.split(F.coalesce(f"_{c}", F.lit("")), ",").alias("v"))))
-        aggs.append(F.flatten(F.transform(parts, lambda x: x["v"])).alias(c))
     aggs += [F.min_by(f"_{c}", F.struct((-F.length(F.coalesce(f"_{c}", F.lit("")))).alias("l"), order.alias("o"))).alias(c) for c in longest]
     out = p.groupBy("key").agg(*aggs)
-    return out.withColumns({c: F.array_join(T.ci_distinct(T.non_empty(F.col(c))), ", ") for c in lists})
+    for c in lists:  # the first of equal items by aggregation, so that a large group costs no more
+        items = p.select("key", "_o", F.posexplode(T.non_empty(F.split(F.coalesce(f"_{c}", F.lit("")), ","))).alias("_pos", "_item"))
+        first = items.groupBy("key", F.lower("_item").alias("_low")).agg(F.min(F.struct("_o", "_pos", "_item")).alias("_f"))
+        joined = first.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_f")), lambda x: x["_item"]), ", ").alias(c))
+        out = out.join(joined, "key", "left").withColumn(c, F.coalesce(c, F.lit("")))
+    return out
 
 
 def conflicting_ids(people: DataFrame) -> DataFrame:

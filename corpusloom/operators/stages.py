@@ -119,7 +119,8 @@ def stage05_refine(articles: DataFrame, gazetteer: frozenset[str] = frozenset(),
 def stage06_locations(articles: DataFrame, house: str = "", to_authors: list[str] = (), to_departments: list[str] | None = None) -> DataFrame:
     """Places without commas around them and junk; departments and people among them move."""
     depts = ["Bildredaktion", f"{house}-Sportredaktion"] if to_departments is None else to_departments
-    bare = F.filter(F.transform(_list("location"), lambda x: T.strip(F.regexp_replace(T.strip(x), "^,+|,+$", ""))), lambda x: x.isNotNull() & (x != ""))
+    bare = F.filter(F.transform(_list("location"), lambda x: T.strip(F.btrim(T.strip(x), F.lit(",")))), lambda x: x.isNotNull() & (x != ""))
+    articles, bare = articles.withColumn("_bare", bare), F.col("_bare")
     junk, dept, person = _among(NO_PLACES), _among(depts), _among(to_authors)
     keep = F.transform(F.filter(bare, lambda x: ~junk(x) & ~dept(x) & ~person(x)), _countries)
     return articles.withColumns(
@@ -128,7 +129,7 @@ def stage06_locations(articles: DataFrame, house: str = "", to_authors: list[str
             "department": _none_if_empty(_append(_list("department"), F.transform(F.filter(bare, lambda x: ~junk(x) & dept(x)), _spelled(depts)))),
             "authors": _none_if_empty(_append(_list("authors"), F.transform(F.filter(bare, lambda x: ~junk(x) & ~dept(x) & person(x)), _spelled(list(to_authors))))),
         }
-    )
+    ).drop("_bare")
 
 
 def _countries(x: Column) -> Column:
@@ -181,12 +182,13 @@ def stage10_departments(articles: DataFrame, house: str = "", to_authors: list[s
     """Departments without the house's name; people among them move; no repeats in any case."""
     person = _among(to_authors)
     items = T.non_empty(_list("department"))
-    labelled = lambda x: T.author_in_department(x).isNotNull()
-    names = F.transform(F.filter(items, lambda x: person(x) | labelled(x)), lambda x: F.when(person(x), _spelled(list(to_authors))(x)).otherwise(T.author_in_department(x)))
-    parts = F.flatten(F.transform(F.filter(items, lambda x: ~person(x) & ~labelled(x)), lambda x: T.non_empty(F.split(x, ","))))
+    named = F.transform(items, lambda x: F.struct(x.alias("x"), F.when(person(x), _spelled(list(to_authors))(x)).otherwise(T.author_in_department(x)).alias("name")))
+    articles = articles.withColumn("_named", named)  # once, for both uses below
+    names = F.transform(F.filter("_named", lambda s: s["name"].isNotNull()), lambda s: s["name"])
+    parts = F.flatten(F.transform(F.filter("_named", lambda s: s["name"].isNull()), lambda s: T.non_empty(F.split(s["x"], ","))))
     bare = F.filter(F.transform(parts, lambda x: T.clean_department(x, house)) if house else parts, lambda x: x.isNotNull())
     out = articles.withColumns({"_bare": bare, "authors": _none_if_empty(_append(_list("authors"), names))})
-    return out.withColumn("department", _none_if_empty(T.ci_distinct(F.col("_bare")))).drop("_bare")
+    return out.withColumn("department", _none_if_empty(T.ci_distinct(F.col("_bare")))).drop("_bare", "_named")
 
 
 def stage11_unicode(articles: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Network queries: orders stand for articles, parts or suppliers of large lines for their authors.
 
-Every query has its SQL.  ``related`` is the next order of the same customer.
+Every query has its SQL.  ``related`` is the next order of the same customer.  ``whole.py`` has the
+same queries over all lines.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import community, graph, metrics
 from ..operators.graph import Graph
-from .registry import query
+from .registry import ALL_LINES, query
+
+#: the lines of a layer of their own (``ha_union_nodes``), not a thinner table
+HEAVY = 50
 
 # --- the graphs -----------------------------------------------------------------------------
 
@@ -20,7 +24,10 @@ def _t(spark, sf, name):
 
 
 def bylines(spark, sf, who: str, least: int) -> DataFrame:
-    return _t(spark, sf, "lineitem").where(F.col("l_quantity") >= least).select(F.col("l_orderkey").alias("i"), F.col(who).alias("x"))
+    l = _t(spark, sf, "lineitem")
+    if not ALL_LINES.get() or least >= HEAVY:
+        l = l.where(F.col("l_quantity") >= least)
+    return l.select(F.col("l_orderkey").alias("i"), F.col(who).alias("x"))
 
 
 def related(spark, sf) -> DataFrame:
@@ -104,7 +111,7 @@ def _layers(spark, sf):
 
 @query("ha_union_nodes", f"WITH m AS ({m_sql()}), k AS (SELECT DISTINCT x AS id, 'coauthor' AS layer FROM m UNION SELECT DISTINCT l_suppkey, 'heavy' FROM lineitem WHERE l_quantity >= 50) SELECT id, string_agg(layer, ',' ORDER BY layer) AS layers FROM k GROUP BY id")
 def union_nodes(spark, sf):
-    return graph.union_nodes({"coauthor": network(spark, sf).nodes, "heavy": network(spark, sf, least=50).nodes})
+    return graph.union_nodes({"coauthor": network(spark, sf).nodes, "heavy": network(spark, sf, least=HEAVY).nodes})
 
 
 for _how in ("sum", "max"):

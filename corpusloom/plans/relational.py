@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as T
 from ..operators import report, resolve
-from .registry import query
+from .registry import ALL_LINES, query
 
 
 def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _lines(spark, sf, least):
+    l = _t(spark, sf, "lineitem")
+    return l if ALL_LINES.get() else l.where(F.col("l_quantity") >= least)
+
+
 # the same expressions in Spark and in DuckDB
 BLANKED = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"
 RELATED = "SELECT o_orderkey, o_custkey, lead(o_orderkey, 1) OVER w AS n1, lead(o_orderkey, 2) OVER w AS n2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -215,7 +220,7 @@ def propagated_items(spark, sf):
 
 
 def _propagation(spark, sf):
-    l = _t(spark, sf, "lineitem").where("l_quantity >= 48").join(_t(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    l = _lines(spark, sf, 48).join(_t(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     items = l.groupBy(F.col("l_orderkey").alias("item")).agg(F.sort_array(F.collect_set("s_name")).alias("authors"))
     items = items.join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.array("o_orderpriority").alias("vals")), "item")
     people = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array("s_name").alias("vals"))
@@ -342,7 +347,7 @@ BYLINES = f"b AS (SELECT l_suppkey AS author, {BLANKED} AS section FROM lineitem
 
 
 def _bylines(spark, sf):
-    l = _t(spark, sf, "lineitem").where("l_quantity >= 40").select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("o_orderkey"))
+    l = _lines(spark, sf, 40).select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("o_orderkey"))
     return l.join(_orders(spark, sf).select("o_orderkey", "section"), "o_orderkey").select("author", "section")
 
 

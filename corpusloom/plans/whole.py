@@ -1,0 +1,39 @@
+"""Queries over all lines: ``NAME_all_lines`` for every query ``NAME`` that thins ``lineitem`` out.
+
+The queries of ``network.py`` and ten of ``relational.py`` take large lines only as bylines, as
+their given SQL says.  Their counterparts here run the same code over every line.  Those whose SQL
+needs no recursion have it without the filter; recursion over all pairs is too slow there, and tests
+hold the rest against it on the smallest tables.
+"""
+
+from __future__ import annotations
+
+import re
+
+from . import network, relational  # noqa: F401
+from .registry import ALL_LINES, ORACLES, QUERIES, query
+
+SUFFIX = "_all_lines"
+THIN = re.compile(rf" WHERE l_quantity >= (?!{network.HEAVY}\b)\d+")
+#: queries over thinned lines that have no SQL
+UNSAID = ["l6_eigenvector", "l8_louvain", "l9_leiden", "l10_greedy_modularity", "l11_label_propagation", "l20_small_world", "l25_null_model"]
+THINNED = [n for n, sql in ORACLES.items() if THIN.search(sql)] + UNSAID
+
+
+def over_all_lines(name: str):
+    """The query ``name`` without its filter on lines."""
+
+    def run(spark, sf):
+        before = ALL_LINES.set(True)
+        try:
+            return QUERIES[name](spark, sf)
+        finally:
+            ALL_LINES.reset(before)
+
+    run.__doc__ = QUERIES[name].__doc__
+    return run
+
+
+for _name in THINNED:
+    _sql = ORACLES.get(_name, "RECURSIVE")
+    query(_name + SUFFIX, None if "RECURSIVE" in _sql else THIN.sub("", _sql))(over_all_lines(_name))

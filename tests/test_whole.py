@@ -28,3 +28,21 @@ def test_every_thinned_query_has_its_counterpart(spark, sf):
     assert len(whole.THINNED) > 60 and {n + whole.SUFFIX for n in whole.THINNED} <= set(entry.queries())
     n = entry.queries()["e10_degrees" + whole.SUFFIX](spark, sf).count()
     assert n == spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.countDistinct("l_partkey")).first()[0]
+
+
+def lineitem_of(spark, path, lines):
+    spark.createDataFrame([(o, x, 50.0) for o, x in lines], "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_betweenness_of_more_than_5000_nodes(spark, tmp_path):
+    """A star: all shortest paths lead over its centre."""
+    lineitem_of(spark, tmp_path, [x for i in range(1, 5_004) for x in ((i, 0), (i, i))])
+    got = {r["id"]: r["score"] for r in entry.queries()["l4_betweenness"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5_004 and got.pop(0) == 1.0 and set(got.values()) == {0.0}
+
+
+def test_hub_frequency_of_more_than_5000_nodes(spark, tmp_path):
+    """Pairs, and one path of four: its inner nodes lead all three measures."""
+    lineitem_of(spark, tmp_path, [(i // 2, i) for i in range(5_004)] + [(9_000, 1), (9_000, 2)])
+    got = {r["id"]: r["measures"] for r in entry.queries()["e12_hub_frequency"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == 3

@@ -143,6 +143,13 @@ def suspicious_bylines(spark, sf):
     return d.where(T.suspicious_byline("byline", [])).groupBy("byline").agg(F.count("*").alias("n"))
 
 
+@query("c10_suspicious_bylines_whole", "SELECT text AS byline, count(*) AS n FROM documents WHERE NOT contains(text, ',') AND NOT contains(lower(text), ' und ') AND len(regexp_split_to_array(trim(text, E' \\n\\t\\r'), '\\s+')) >= 4 GROUP BY 1")
+def suspicious_bylines_whole(spark, sf):
+    """Over whole texts; ``c10_suspicious_bylines`` sees their first 40 characters, as its SQL says."""
+    d = _t(spark, sf, "documents").select(F.col("text").alias("byline"))
+    return d.where(T.suspicious_byline("byline", [])).groupBy("byline").agg(F.count("*").alias("n"))
+
+
 @query("c11_employed", "SELECT c_custkey, c_mktsegment || ' ' || CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'x' END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE EXISTS (SELECT 1 FROM nation d WHERE contains(lower(c_mktsegment || ' ' || CASE WHEN c_custkey % 2 = 0 THEN nation.n_name ELSE 'x' END), lower(d.n_name)))")
 def employed(spark, sf):
     n = _t(spark, sf, "nation")

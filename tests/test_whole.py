@@ -46,3 +46,14 @@ def test_hub_frequency_of_more_than_5000_nodes(spark, tmp_path):
     lineitem_of(spark, tmp_path, [(i // 2, i) for i in range(5_004)] + [(9_000, 1), (9_000, 2)])
     got = {r["id"]: r["measures"] for r in entry.queries()["e12_hub_frequency"](spark, str(tmp_path)).collect()}
     assert got[1] == got[2] == 3
+
+
+def test_bylines_are_judged_whole(spark, sf, tmp_path):
+    name = "c10_suspicious_bylines_whole"
+    start = "one two three four five six seven eight nine"
+    rows = [start + " ten, eleven", start + " und ten", start + " ten", start + " ten", start + " zehn", "a b c", "a, b c d", None, ""]
+    spark.createDataFrame([(x,) for x in rows], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["byline"]: r["n"] for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == {start + " ten": 2, start + " zehn": 1}
+    got = sorted(str(tuple(r)) for r in entry.queries()[name](spark, sf).select("byline", "n").collect())
+    assert got == rows_of_sql(sf, entry.oracle_sql()[name], ["byline", "n"])

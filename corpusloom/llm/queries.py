@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import chat, decontaminate, extract, fingerprint, language, near_dup, packing, quality, sharding, token_output
 from .common import Scratch, table
 from .encode import tokenizer_path
@@ -62,8 +64,14 @@ def op7_fingerprints(spark, sf_dir):
 
 
 def op8_sharding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.assign_shards(docs).drop("text")
+    """Writes the shards, and returns their rows read back; bytes are counted in the text that was read."""
+    work = Scratch(spark, "op8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    assigned = sharding.assign_shards(docs)
+    sharding.write_shards(assigned, work.path("shards"), "_row")
+    back = sharding.read_shards(spark, work.path("shards"), assigned.drop("_row").schema)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return back.select("doc_id", n_bytes, "shard_id", "shard_depth", "shard_bytes", "oversized")
 
 
 OP8_SQL = f"""

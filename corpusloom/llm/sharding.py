@@ -4,7 +4,7 @@ A document's key is hashed to 32 bits.  The root bucket holds everything; a buck
 limit splits on one more prefix bit, and only such buckets do, so every shard is the *shortest*
 prefix whose documents fit.  Sizes are summed once per directory cell (a prefix a few bits deeper
 than an even split would need) and rolled up to all shorter prefixes; only documents of cells that
-are still too large are summed again at more bits.  Texts are never shuffled.
+are still too large are summed again at more bits.  Texts are shuffled only to write the shards.
 
 Defined results: a null text has 0 bytes; a null key hashes as the empty string; documents with
 the same hash cannot be told apart by any bit, so a bucket of one hash value stays whole and is
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT_BYTES = 64 << 20
+FILE_BYTES = 8 << 20
 BITS = 32
 _EXTRA = 4
+BROADCAST_BITS = 20  # a directory of at most a million cells goes to the documents, so texts are not shuffled for it
 
 
 def _hash(key: str):
@@ -66,6 +68,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     out = keyed.withColumns({"_d": F.lit(None).cast("int"), "_b": F.lit(None).cast("long")})
     for bits, cells in levels:
         found = cells.where("depth is not null").select(F.col("cell").alias("_cell"), F.col("depth").alias("_nd"), F.col("bytes").alias("_nb"))
+        if bits <= BROADCAST_BITS:
+            found = F.broadcast(found)
         out = out.withColumn("_cell", _prefix(F.col("_h"), bits)).join(found, "_cell", "left")
         out = out.withColumns({"_d": F.coalesce("_d", "_nd"), "_b": F.coalesce("_b", "_nb")}).drop("_cell", "_nd", "_nb")
     bits_text = F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, _d)")
@@ -73,6 +77,18 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     return out.drop("_h", "_d", "_b")
 
 
-def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder per shard.  A shard fits its limit, so one task can hold it."""
-    assigned.repartition("shard_id").sortWithinPartitions("shard_id").write.partitionBy("shard_id").parquet(path)
+def write_shards(assigned: DataFrame, path: str, row: str | None = None) -> None:
+    """One folder per shard, in files of about ``FILE_BYTES`` of text, so that no task holds a shard.
+
+    ``row`` names a number of the rows that spreads a shard's rows over its files, also those that
+    are equal; it is not written.  Without it, rows spread by the hash of their values.
+    """
+    files = F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / FILE_BYTES))
+    spread = assigned.withColumn("_file", F.pmod(F.xxhash64(*([row] if row else assigned.columns)), files))
+    out = spread.repartition("shard_id", "_file").sortWithinPartitions("shard_id").drop("_file", *([row] if row else []))
+    out.write.partitionBy("shard_id").parquet(path)
+
+
+def read_shards(spark, path: str, schema) -> DataFrame:
+    """The rows of :func:`write_shards`; ``schema`` has all columns that were written."""
+    return spark.read.schema(schema).parquet(path)

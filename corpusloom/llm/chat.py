@@ -75,6 +75,24 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+def examples(turns: DataFrame) -> DataFrame:
+    """``conv_id, example, context_end, target_start, target_end``: one row per example.
+
+    Its context is ``stream[0:context_end]``, its trainable reply ``stream[target_start:target_end]``.
+    """
+    return turns.where("target").select("conv_id", "example", F.col("start").alias("context_end"), "target_start", "target_end")
+
+
+def with_examples(stream: DataFrame, examples: DataFrame) -> DataFrame:
+    """``stream(conv_id, seq, start, formatted)`` with the spans of the examples, as :func:`parse_turns` takes it.
+
+    Each example finds its reply where its context ends, so trainable text comes from examples alone.
+    """
+    e = examples.select(F.col("conv_id").alias("c"), "context_end", "target_start", "target_end")
+    found = stream.join(e, stream.conv_id.eqNullSafe(e.c) & (stream.start == e.context_end), "left")
+    return found.select("conv_id", "seq", "formatted", "start", F.col("context_end").isNotNull().alias("target"), "target_start", "target_end")
+
+
 def expand(turns: DataFrame) -> DataFrame:
     """Examples in full: ``conv_id, example, text, target_start, target_end``.
 

@@ -96,7 +96,9 @@ def op9_chat(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     work = Scratch(spark, "op9")
     written = work.save(chat.format_turns(rows.unionByName(extra)), "turns")
-    return chat.digest(chat.parse_turns(written))
+    examples = work.save(chat.examples(written), "examples")
+    stream = written.select("conv_id", "seq", "start", "formatted")
+    return chat.digest(chat.parse_turns(chat.with_examples(stream, examples)))
 
 
 OP9_SQL = r"""

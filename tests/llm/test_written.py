@@ -1,10 +1,10 @@
 """What the queries write on their way to a result."""
 
-from corpusloom.llm import queries, sharding
+from corpusloom.llm import chat, queries, sharding
 from corpusloom.llm.common import table
 
 from .cases import docs
-from .test_native import brute_shards
+from .test_native import TURNS, brute_shards, digests, turns
 
 
 class Kept(queries.Scratch):
@@ -41,3 +41,27 @@ def test_oversized_shard_is_written_in_parts(spark, tmp_path, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted(rows)
     per_file = back.where("doc_id = 7").groupBy(sharding.F.input_file_name()).count().collect()
     assert len(per_file) > 1 and max(r["count"] for r in per_file) < 40
+
+
+def test_chat_loss_comes_from_examples(spark):
+    formatted = chat.format_turns(turns(spark)).cache()
+    e = chat.examples(formatted).cache()
+    assert e.count() == sum(r == "assistant" for _, _, r, _ in TURNS)
+    stream = formatted.select("conv_id", "seq", "start", "formatted")
+    read = lambda x: {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digest(chat.parse_turns(chat.with_examples(stream, x))).collect()}
+    assert read(e) == digests(TURNS)
+    assert {r[2] for r in read(e.limit(0)).values()} == {0}
+    text = {}
+    for r in sorted(formatted.where("conv_id = 9").collect(), key=lambda r: r["seq"]):
+        text[9] = text.get(9, "") + r["formatted"]
+    for r in e.where("conv_id = 9").collect():
+        k = 2 * r["example"] + 1
+        assert text[9][r["target_start"] : r["target_end"]] == f"turn {k}" and text[9][: r["context_end"]].endswith(f"turn {k - 1} </turn>\n")
+
+
+def test_op9_builds_examples(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(Kept, "root_of", f"file://{tmp_path}", raising=False)
+    monkeypatch.setattr(queries, "Scratch", Kept)
+    queries.op9_chat(spark, sf)
+    said = table(spark, sf, "conversations").where("role = 'assistant'").count()
+    assert spark.read.parquet(f"{tmp_path}/examples").count() == said + 1

@@ -10,8 +10,13 @@ stored as dense transition tables and walked in lockstep: every text is cut into
 characters and one numpy step advances all lanes of all languages by a character.  All of a text is
 read, whatever its length; a lane's start counts as a phrase's start for every language alike.
 
+Transitions of the ``SYMBOLS - 2`` commonest letters are columns of the table; those of all other
+letters of the references are found in one sorted list, so every letter is told apart.
+
 Fitting takes a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by hash,
-and of these ``REFERENCE_CHARS`` reduced characters in all, in equal shares.
+and of these ``REFERENCE_CHARS`` reduced characters in all, in equal shares.  Texts are reduced in
+tasks; how much of each is collected follows from the reduced lengths of the language's sample, so
+a language has fewer characters only if its sample has.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; rows of a null
 language are not learned from; without any labelled row every text is ``und``; repeated rows give
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import Scratch, pieces
 
 SAMPLE_DOCS = 300
 REFERENCE_CHARS = 40_000
@@ -58,8 +63,11 @@ def reduce_text(text: str) -> np.ndarray:
     return x[:-1] if len(x) and not x[-1] else x
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transitions ``[state, symbol]`` of the suffix automaton; state 0 is the start, 0 no move."""
+def suffix_automaton(symbols: list[int], n_symbols: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Transitions ``[state, symbol]`` of the suffix automaton; state 0 is the start, 0 no move.
+
+    Those of symbols from ``n_symbols`` on are returned as a list of ``state, symbol, next``.
+    """
     moves, link, length, last = [{}], [-1], [0], 0
     for c in symbols:
         cur = len(moves)
@@ -85,10 +93,14 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     table = np.zeros((len(moves), n_symbols), np.int32)
+    rare = []
     for s, m in enumerate(moves):
         for c, t in m.items():
-            table[s, c] = t
-    return table
+            if c < n_symbols:
+                table[s, c] = t
+            else:
+                rare.append((s, c, t))
+    return table, rare
 
 
 class Model:
@@ -101,10 +113,12 @@ class Model:
         for k in self.langs:
             for x in reduced[k]:
                 counts.update(dict(zip(*(a.tolist() for a in np.unique(x[x > 0], return_counts=True)))))
-        alphabet = [c for c, _ in sorted(counts.items(), key=lambda i: (-i[1], i[0]))[: symbols - 2]]
-        #: symbol 0 separates words, 1 is any letter outside the alphabet
-        self.alphabet = np.array(sorted(alphabet), np.uint32)
-        tables, self.roots, at = [], [], 0
+        common = [c for c, _ in sorted(counts.items(), key=lambda i: (-i[1], i[0]))]
+        #: all letters of the references; symbol 0 separates words, 1 is any other letter
+        self.alphabet = np.array(sorted(common), np.uint32)
+        self.places = np.zeros(len(common), np.int32)
+        self.places[np.searchsorted(self.alphabet, np.array(common, np.uint32))] = np.arange(len(common)) + 2
+        tables, rare, self.roots, at = [], [], [], 0
         for k in self.langs:
             share = max(1, chars // max(1, len(reduced[k])))
             left, text = chars, [0]
@@ -113,34 +127,55 @@ class Model:
                     part = self.symbols(x[:left])
                     text += [*part.tolist(), 0]
                     left -= len(part)
-            t = suffix_automaton(text, symbols)
+            t, more = suffix_automaton(text, symbols)
+            rare += [(s + at, c, to + at) for s, c, to in more]
             tables.append(np.where(t > 0, t + at, 0))
             self.roots.append(at)
             at += len(t)
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros((1, symbols), np.int32)
         self.n_symbols = symbols
+        self.n_letters = len(common) + 2
+        keys = np.array([s * self.n_letters + c for s, c, _ in rare], np.int64)
+        order = np.argsort(keys)
+        #: transitions of the letters that have no column: sorted keys of state and symbol, next states
+        self.rare_keys, self.rare_to = keys[order], np.array([to for _, _, to in rare], np.int32)[order]
 
     def symbols(self, x: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, x), max(0, len(self.alphabet) - 1))
         known = self.alphabet[at] == x if len(self.alphabet) else np.zeros(len(x), bool)
-        return np.where(x == 0, 0, np.where(known, at + 2, 1)).astype(np.uint8)
+        places = self.places[at] if len(self.alphabet) else 1
+        return np.where(x == 0, 0, np.where(known, places, 1)).astype(np.int32)
+
+    def _moves(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states, 0 where there is no move; ``c`` is broadcast over ``state``."""
+        k = self.n_symbols
+        if not len(self.rare_keys):
+            return self.table.ravel()[state * k + c]
+        c = np.broadcast_to(c, state.shape)
+        out = self.table.ravel()[state * k + np.where(c < k, c, 1)]  # no reference holds symbol 1
+        far = np.nonzero(c >= k)
+        if len(far[0]):
+            keys = state[far].astype(np.int64) * self.n_letters + c[far]
+            at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            out[far] = np.where(self.rare_keys[at] == keys, self.rare_to[at], 0)
+        return out
 
     @functools.cached_property
     def _codes(self) -> np.ndarray:
-        """Symbols of code points, 255 for what is no letter."""
+        """Symbols of code points, -1 for what is no letter."""
         low = _letters()
-        return np.where(low > 0, self.symbols(low), 255).astype(np.uint8)
+        return np.where(low > 0, self.symbols(low), -1).astype(np.int32)
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases ``[text, language]`` and the number of reduced characters of each text."""
         raw = "\0".join(t or "" for t in texts) + "\0"
         x = self._codes[np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")]
         ends = np.cumsum([len(t or "") + 1 for t in texts])
-        keep = x != 255
-        keep[1:] |= keep[:-1] & (x[1:] == 255)
+        keep = x != -1
+        keep[1:] |= keep[:-1] & (x[1:] == -1)
         bounds = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
         x = x[keep]
-        x[x == 255] = 0
+        x[x == -1] = 0
         size = np.diff(bounds)
         lanes = -(-size // LANE)
         owner = np.repeat(np.arange(len(texts)), lanes)
@@ -148,8 +183,7 @@ class Model:
         width = np.minimum(LANE, bounds[owner + 1] - start)
         order = np.argsort(-width, kind="stable")
         start, width, owner = start[order], width[order], owner[order]
-        n_langs, n, k = len(self.langs), len(start), self.n_symbols
-        flat = self.table.ravel()
+        n_langs, n = len(self.langs), len(start)
         count = np.zeros((n_langs, n), np.int32)
         root = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(root, n, axis=1) if n else np.zeros((n_langs, 0), np.int32)
@@ -158,12 +192,12 @@ class Model:
         active = np.searchsorted(-width, -np.arange(1, LANE + 1), side="right")  # lanes longer than t
         for t in range(int(width[0]) if n else 0):
             m = int(active[t])
-            c = x[start[:m] + t].astype(np.int32)
-            s = flat[state[:, :m] * k + c]
+            c = x[start[:m] + t]
+            s = self._moves(state[:, :m], c)
             dead = s == 0
             count[:, :m] += dead | fresh[:, :m] if t == 0 or lost_any else dead
             where = np.nonzero(dead)
-            s[where] = flat[root[where[0], 0] * k + c[where[1]]]  # a new phrase begins with this character
+            s[where] = self._moves(root[where[0], 0], c[where[1]])  # a new phrase begins with this character
             lost = s[where] == 0
             if t == 0 or lost_any:
                 fresh[:] = False
@@ -202,15 +236,40 @@ def sample_rate(counts: dict, wanted: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)
 
 
+def level(lengths: list[int], wanted: int) -> int:
+    """The least cut of all texts that leaves ``wanted`` characters, or the longest length."""
+    left, n = wanted, len(lengths)
+    for x in sorted(lengths):
+        if x * n >= left:
+            return -(-left // n)
+        left, n = left - x, n - 1
+    return max(lengths, default=0)
+
+
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from labelled documents that are not held out."""
     learn = documents.where(~held_out()).where("lang is not null")
     counts = {r["lang"]: r["count"] for r in learn.where("text is not null").groupBy("lang").count().collect()}
     if not counts:
         return Model({})
-    rows = learn.where("text is not null").where(sample_rate(counts, sample_docs)).select("doc_id", "lang", F.substring("text", 1, 8 * REFERENCE_CHARS // sample_docs + 1000).alias("text"))
+    sample = learn.where("text is not null").where(sample_rate(counts, sample_docs)).select("doc_id", "lang", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+
+    def reduced(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 3_000_000):
+                texts = ["".join(chr(c) if c else " " for c in reduce_text(t)[:REFERENCE_CHARS].tolist()) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "lang", "text", "n"])
+
+    saved = Scratch(documents.sparkSession, "language").save(sample.mapInArrow(reduced, f"doc_id {kinds['doc_id']}, lang string, text string, n long"), "sample")
+    lengths: dict[str, list] = {}
+    for r in saved.select("lang", "n").collect():
+        lengths.setdefault(r["lang"], []).append(r["n"])
+    cut = F.lit(0)  # one more character each, as a separator at a cut is dropped
+    for k, v in lengths.items():
+        cut = F.when(F.col("lang") == k, F.lit(level(v, REFERENCE_CHARS) + 1)).otherwise(cut)
     refs: dict[str, list] = {}
-    for r in rows.collect():
+    for r in saved.select("doc_id", "lang", F.substring("text", F.lit(1), cut).alias("text")).collect():
         refs.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
     return Model({k: [t for _, t in sorted(v, key=lambda r: (r[0] is None, r[0] or 0, r[1]))] for k, v in refs.items()})
 

@@ -1,6 +1,6 @@
 """What the queries write on their way to a result."""
 
-from corpusloom.llm import chat, queries, sharding
+from corpusloom.llm import chat, language, queries, sharding
 from corpusloom.llm.common import table
 
 from .cases import docs
@@ -65,3 +65,41 @@ def test_op9_builds_examples(spark, sf, tmp_path, monkeypatch):
     queries.op9_chat(spark, sf)
     said = table(spark, sf, "conversations").where("role = 'assistant'").count()
     assert spark.read.parquet(f"{tmp_path}/examples").count() == said + 1
+
+
+def test_every_language_fills_its_reference(spark, sf, monkeypatch):
+    seen = {}
+    init = language.Model.__init__
+    monkeypatch.setattr(language.Model, "__init__", lambda self, refs, *a: (seen.update(refs), init(self, refs, *a))[1])
+    d = table(spark, sf, "documents")
+    language.fit(d)
+    whole = {}
+    for r in d.where(~language.held_out()).where("lang is not null and text is not null").collect():
+        whole.setdefault(r["lang"], []).append(len(language.reduce_text(r["text"])))
+    for k, sizes in whole.items():  # fewer than 300 documents each, so all are in the sample
+        assert len(sizes) < language.SAMPLE_DOCS
+        got = sum(len(language.reduce_text(t)) for t in seen[k])
+        assert min(language.REFERENCE_CHARS, sum(sizes)) <= got <= language.REFERENCE_CHARS + 2 * len(sizes)
+
+
+def test_level():
+    assert language.level([5, 1, 9], 12) == 6 and language.level([5, 1, 9], 100) == 9 and language.level([], 3) == 0 and language.level([4, 4], 5) == 3
+
+
+def test_letters_beyond_the_table_are_told_apart():
+    """Two languages of the same rhythm in 150 letters each; 62 of all would be columns."""
+    a, b = ([chr(lo + i) for i in range(150)] for lo in (0x4E00, 0x5E00))
+    speak = lambda v, seed: " ".join("".join(v[(seed * 7 + 11 * i + j * (i % 5)) % 150] for j in range(4)) for i in range(120))
+    m = language.Model({"a": [speak(a, 1)], "b": [speak(b, 1)]})
+    assert len(m.alphabet) > 250 and len(m.rare_keys)
+    assert m.predict([speak(a, 1)[9:99], speak(b, 1)[9:99]])[0] == ["a", "b"]
+    n, _ = m.phrases([speak(b, 1)[9:99]])
+    assert n[0][1] <= 2 < n[0][0]
+
+
+def test_rare_letters_parse_as_columns_do():
+    refs = {"a": ["the cat sat on the mat and the dog"], "b": ["der hund und die katze auf der matte"]}
+    texts = ["the dog and the cat", "die katze und der hund", "qqq the", "", None, "x" * 1300, "the cat " * 200]
+    wide, narrow = language.Model(refs, chars=100), language.Model(refs, chars=100, symbols=4)
+    assert len(narrow.rare_keys) and not len(wide.rare_keys)
+    assert (wide.phrases(texts)[0] == narrow.phrases(texts)[0]).all()

@@ -1,6 +1,6 @@
 """What the queries write on their way to a result."""
 
-from corpusloom.llm import chat, language, queries, sharding
+from corpusloom.llm import chat, extract, language, queries, sharding
 from corpusloom.llm.common import table
 
 from .cases import docs
@@ -103,3 +103,18 @@ def test_rare_letters_parse_as_columns_do():
     wide, narrow = language.Model(refs, chars=100), language.Model(refs, chars=100, symbols=4)
     assert len(narrow.rare_keys) and not len(wide.rare_keys)
     assert (wide.phrases(texts)[0] == narrow.phrases(texts)[0]).all()
+
+
+def test_text_beside_teasers_is_kept(spark):
+    menu = " ".join(f"menu{j}" for j in range(12))
+    own = [" ".join(f"u{i}_{j}" for j in range(30)) for i in range(4)]
+    rows = [(i, "https://p.net/x", f"<div>{menu}</div><article>teaser {i}</article><div>{own[i]}</div><article>last</article>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i} {own[i]} last" for i in range(4)}
+
+
+def test_only_hidden_elements_are_hidden():
+    shown = ['style="overflow:hidden"', 'class="overflow-hidden"', "data-x=hidden", 'title="is hidden"', 'aria-hidden="false"', 'style="x-display:none"']
+    gone = ["hidden", "HIDDEN", 'hidden=""', "class=a hidden", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"', "style=display:none"]
+    page = lambda attrs: extract.blocks(f"<article><p>kept</p><p {attrs}>text</p></article>")[0]
+    assert [x for x in shown if page(x) != ["kept", "text"]] == [] and [x for x in gone if page(x) != ["kept"]] == []

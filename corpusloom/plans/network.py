@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import community, graph, metrics
 from ..operators.graph import Graph
+from ..scratch import Scratch
 from .registry import ALL_LINES, query
 
 #: the lines of a layer of their own (``ha_union_nodes``), not a thinner table
@@ -370,6 +371,16 @@ def robustness(spark, sf):
     return community.robustness(g, drop, ["nodes", "edges", "avg_degree"])
 
 
+@query("l27_robustness_default")
+def robustness_default(spark, sf):
+    """The survey's L27: the largest component without its three nodes of highest betweenness."""
+    work = Scratch(spark, "l27")
+    g = network(spark, sf).largest_component()
+    g = Graph(work.save(g.nodes, "nodes"), work.save(g.edges, "edges"))
+    drop = work.save(graph.top_k(metrics.betweenness(g, max_nodes=None), "score", "id", 3).select("id"), "drop")
+    return community.robustness(g, drop, ["nodes", "edges", "components", "largest", "avg_path", "clustering", "modularity", "density", "avg_degree"])
+
+
 @query("l28_subgraph_centrality", f"WITH {g_sql()}, s AS (SELECT e.* FROM e WHERE src % 4 IN (1, 2) AND dst % 4 IN (1, 2)), q AS (SELECT src AS id FROM s UNION ALL SELECT dst FROM s), k AS (SELECT id FROM n WHERE id % 4 IN (1, 2)) SELECT k.id, round(count(q.id) / ((SELECT count(*) FROM k) - 1), 6) AS score FROM k LEFT JOIN q USING (id) GROUP BY k.id")
 def subgraph_centrality(spark, sf):
     g = network(spark, sf)
@@ -417,6 +428,27 @@ def article_report(spark, sf):
     return metrics.global_stats(g).select("n_nodes", "n_edges", "isolated").crossJoin(c)
 
 
+def _largest_articles(spark, sf) -> Graph:
+    orders = _t(spark, sf, "orders")
+    return Graph(orders.select(F.col("o_orderkey").alias("id")), graph.article_edges(related(spark, sf), orders, "i", "j", "o_orderkey")).largest_component()
+
+
+@query("l29_article_paths")
+def article_paths(spark, sf):
+    """The survey's L29 on the largest component: path lengths and clustering, exact at any size."""
+    g = _largest_articles(spark, sf)
+    return metrics.path_stats(g).crossJoin(metrics.local_clustering(g).agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("clustering")))
+
+
+@query("l29_article_centralities")
+def article_centralities(spark, sf):
+    """The survey's L29 on the largest component: the ten best by degree, betweenness and closeness."""
+    g = _largest_articles(spark, sf)
+    measures = {"degree": metrics.degree_centrality(g), "betweenness": metrics.betweenness(g, max_nodes=None), "closeness": metrics.closeness(g)}
+    tops = [graph.top_k(m.select("id", F.round("score", 9).alias("score")), "score", "id", 10).select(F.lit(k).alias("measure"), "rank", "id", "score") for k, m in measures.items()]
+    return tops[0].unionByName(tops[1]).unionByName(tops[2])
+
+
 # --- seeded or iterative: checked by invariants ---------------------------------------------
 
 

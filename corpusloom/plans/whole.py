@@ -16,7 +16,7 @@ from .registry import ALL_LINES, ORACLES, QUERIES, query
 SUFFIX = "_all_lines"
 THIN = re.compile(rf" WHERE l_quantity >= (?!{network.HEAVY}\b)\d+")
 #: queries over thinned lines that have no SQL
-UNSAID = ["l6_eigenvector", "l8_louvain", "l9_leiden", "l10_greedy_modularity", "l11_label_propagation", "l20_small_world", "l25_null_model"]
+UNSAID = ["l6_eigenvector", "l8_louvain", "l9_leiden", "l10_greedy_modularity", "l11_label_propagation", "l20_small_world", "l25_null_model", "l27_robustness_default"]
 THINNED = [n for n, sql in ORACLES.items() if THIN.search(sql)] + UNSAID
 
 

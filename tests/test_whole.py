@@ -57,3 +57,21 @@ def test_bylines_are_judged_whole(spark, sf, tmp_path):
     assert got == {start + " ten": 2, start + " zehn": 1}
     got = sorted(str(tuple(r)) for r in entry.queries()[name](spark, sf).select("byline", "n").collect())
     assert got == rows_of_sql(sf, entry.oracle_sql()[name], ["byline", "n"])
+
+
+def test_robustness_as_the_survey_has_it(spark, tmp_path):
+    """A star of seven and a pair; the centre and, of equal leaves, the first two go."""
+    lineitem_of(spark, tmp_path, [x for i in range(1, 7) for x in ((i, 0), (i, i))] + [(9, 20), (9, 21)])
+    got = {r["metric"]: (r["before"], r["after"]) for r in entry.queries()["l27_robustness_default"](spark, str(tmp_path)).collect()}
+    assert got["nodes"] == (7.0, 4.0) and got["edges"] == (6.0, 0.0) and got["components"] == (1.0, 4.0) and got["largest"] == (7.0, 1.0)
+    assert got["avg_path"] == (1.714286, 0.0) and got["clustering"] == (0.0, 0.0) and got["modularity"] == (0.0, None)
+
+
+def test_article_report_has_paths_and_centralities(spark, tmp_path):
+    """Four orders of one customer are a path; two of another are a shorter one."""
+    rows = [(10 + i, 1, f"2024-01-0{i}") for i in range(1, 5)] + [(21, 2, "2024-01-01"), (22, 2, "2024-01-02")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    r = entry.queries()["l29_article_paths"](spark, str(tmp_path)).first()
+    assert (round(r["avg_path"], 6), r["diameter"], r["clustering"]) == (1.666667, 3, 0.0)
+    got = {(r["measure"], r["rank"]): (r["id"], round(r["score"], 6)) for r in entry.queries()["l29_article_centralities"](spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and got["betweenness", 1] == (12, 0.666667) and got["closeness", 2] == (13, 0.75) and got["degree", 3] == (11, 0.333333)

@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = work.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges0")
     labels = work.save(e.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")), "labels0")
     e = e.where("u <> v")
+    left_over = ["edges0"]
     for n in range(1, max_rounds + 1):
         if e.isEmpty():
+            work.drop(*left_over)
             return labels
         hook = work.save(e.groupBy("u").agg(F.min("v").alias("p")), f"hook{n}_0")
         for k in range(1, 64):
@@ -39,6 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         as_label = hook.select(F.col("u").alias("component"), F.col("p").alias("to"))
         labels = work.save(labels.join(as_label, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"labels{n}")
         a, b = hook.select("u", F.col("p").alias("pu")), hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        left_over += [f"labels{n - 1}", f"edges{n}", *(f"hook{n}_{i}" for i in range(k + 1))]
         moved_edges = e.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).where("u <> v")
         e = work.save(moved_edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"edges{n}")
     raise RuntimeError("components did not settle")

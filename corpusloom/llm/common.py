@@ -1,13 +1,18 @@
 """Shared pieces of the training-data operators: byte-level text kernels.
 
 Texts are handled as UTF-8 bytes in numpy.  A *word* is a maximal run of bytes outside
-``\\x20\\x09-\\x0D`` after lower-casing ``A-Z``; a word's 64-bit hash is a polynomial over its
-bytes, finalised by a mixing function.  A *shingle* is a run of ``k`` words hashed from the
-word hashes, so the white space between words never matters.
+``\\x20\\x09-\\x0D`` after lower-casing ``A-Z``.  A word's 64-bit hash is keyed tabulation: the sum of
+a random number for each pair of position and byte, finalised by a mixing function.  Unlike a
+polynomial it has no family of words that collide by their structure.  A *shingle* is a run of
+``k`` words hashed from the word hashes, so the white space between words never matters.
+
+Hashes find candidates.  Where equality decides a result, :func:`shingle_ids` numbers shingles by
+their bytes: it compares every word with the word that it shares a hash with.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -22,20 +27,11 @@ _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, SPAN_BYTES + 1)
-        for key, base in (("p", _P), ("q", _P_INV)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[key] = np.multiply.accumulate(table)
-    return _powers["p"], _powers["q"]
+_GOLDEN = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+#: Keys of the two independent word hashes.
+_KEYS = (0x3C79AC492BA7B653, 0x1D8E4E27C47D124F)
+_NEAR = 64  # positions whose random numbers are kept in a table
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,56 +56,123 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _span_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of one span and, per word, its starting byte.  ``edges``: where documents begin."""
-    low = _LOWER[data]
-    word = _WORD[data]
-    before = np.empty_like(word)
-    before[0] = False
-    before[1:] = word[:-1]
-    inner = edges[edges < len(data)]
-    before[inner] = False
-    start = np.flatnonzero(word & ~before)
-    after = np.empty_like(word)
-    after[-1] = False
-    after[:-1] = word[1:]
-    after[inner[inner > 0] - 1] = False
-    end = np.flatnonzero(word & ~after) + 1
-    p, q = _power_table(len(data) + 1)
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=run[1:])
-    return mix64((run[end] - run[start]) * q[start]), start
+@functools.cache
+def _table(lane: int) -> np.ndarray:
+    return _random(np.arange(_NEAR * 256, dtype=np.int64), lane)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and ``bounds``: document ``i`` has words ``bounds[i]:bounds[i + 1]``.
+def _random(code: np.ndarray, lane: int) -> np.ndarray:
+    """The random number of a position and byte, ``code = position * 256 + byte``."""
+    return mix64(mix64(code.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(_KEYS[lane])) + np.uint64(_KEYS[1 - lane]))
+
+
+def _piece_sums(data: np.ndarray, first: np.ndarray, size: np.ndarray, done: int, lanes: int) -> np.ndarray:
+    """Tabulation sums ``[lane, run]`` of runs of word bytes; the first run continues a word of ``done`` bytes."""
+    before = np.cumsum(size) - size
+    n = int(size.sum())
+    where = np.arange(n, dtype=np.int64) - np.repeat(before, size)
+    code = _LOWER[data[np.repeat(first, size) + where]] + (where << 8)
+    if done:
+        code[: size[0]] += done << 8
+    out = np.zeros((lanes, len(first)), np.uint64)
+    far = np.flatnonzero(code >= _NEAR * 256)
+    close = np.minimum(code, _NEAR * 256 - 1) if len(far) else code
+    for lane in range(lanes if len(first) else 0):
+        value = _table(lane)[close]
+        if len(far):
+            value[far] = _random(code[far], lane)
+        out[lane] = np.add.reduceat(value, before)
+    return out
+
 
-    Works in spans of ``SPAN_BYTES`` bytes that end between documents or, inside a long one,
-    at white space, so that memory stays in proportion to a span plus eight bytes a word.
+def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes ``[lane, word]``, first byte and length of every word; the lanes are independent.
+
+    Works in spans of ``SPAN_BYTES`` bytes, cut anywhere: a word's sum goes on in the next span.
+    Memory is in proportion to a span plus 24 bytes a word, whatever a text's length.
     """
-    hashes, starts, at, n = [], [], 0, len(data)
-    while at < n:
-        stop = min(n, at + SPAN_BYTES)
-        if stop < n:
-            k = int(np.searchsorted(offsets, stop, side="right")) - 1
-            if offsets[k] > at:
-                stop = int(offsets[k])
-            else:
-                gap = np.flatnonzero(~_WORD[data[at:stop]])
-                while not len(gap) and stop < n:
-                    stop = min(n, stop + SPAN_BYTES)
-                    gap = np.flatnonzero(~_WORD[data[at:stop]])
-                if len(gap) and stop < n:
-                    stop = at + int(gap[-1]) + 1
-        lo, hi = np.searchsorted(offsets, [at, stop])
-        h, s = _span_words(data[at:stop], offsets[lo:hi] - at)
-        hashes.append(h)
-        starts.append(s + at)
-        at = stop
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    where = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(where, offsets).astype(np.int64)
+    sums, starts, sizes, inside = [np.zeros((lanes, 0), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for at in range(0, len(data), SPAN_BYTES):
+        part = data[at : at + SPAN_BYTES]
+        lo, hi = np.searchsorted(offsets, [at, at + len(part)])
+        edges = offsets[lo:hi] - at
+        word = _WORD[part]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        begins[edges] = word[edges]
+        go_on = inside and word[0] and not (len(edges) and edges[0] == 0)
+        first = np.flatnonzero(begins)
+        ends = word.copy()
+        ends[:-1] &= ~word[1:]
+        ends[edges[edges > 0] - 1] = word[edges[edges > 0] - 1]
+        size = np.flatnonzero(ends) + 1 - first
+        value = _piece_sums(part, first, size, int(sizes[-1][-1]) if go_on else 0, lanes)
+        if go_on:
+            sums[-1][:, -1] += value[:, 0]
+            sizes[-1][-1:] += size[:1]
+            value, first, size = value[:, 1:], first[1:], size[1:]
+        if len(first):
+            sums.append(value)
+            starts.append(first + at)
+            sizes.append(size)
+        inside = bool(word[-1])
+    start, size = np.concatenate(starts), np.concatenate(sizes)
+    return mix64(np.concatenate(sums, axis=1) + size.astype(np.uint64) * np.uint64(_GOLDEN)), start, size
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and ``bounds``: document ``i`` has words ``bounds[i]:bounds[i + 1]``."""
+    hashes, start, _ = words(data, offsets)
+    return hashes[0], np.searchsorted(start, offsets).astype(np.int64)
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all words at ``a`` are those at ``b``, without regard to case; long words one by one."""
+    for i in np.flatnonzero(size > SPAN_BYTES):
+        if a[i] != b[i] and (_LOWER[data[a[i] : a[i] + size[i]]] != _LOWER[data[b[i] : b[i] + size[i]]]).any():
+            return False
+    check = np.flatnonzero((size <= SPAN_BYTES) & (a != b))
+    cuts = np.searchsorted(np.cumsum(size[check]), np.arange(SPAN_BYTES, int(size[check].sum()) + SPAN_BYTES, SPAN_BYTES))
+    lo = 0
+    for hi in [*(cuts + 1).tolist(), len(check)]:
+        some = check[lo:hi]
+        lo = max(lo, hi)
+        n = size[some]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (_LOWER[data[np.repeat(a[some], n) + step]] != _LOWER[data[np.repeat(b[some], n) + step]]).any():
+            return False
+    return True
+
+
+def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words, equal if and only if the words are, and ``bounds`` as above."""
+    hashes, start, size = words(data, offsets)
+    bounds = np.searchsorted(start, offsets).astype(np.int64)
+    _, first, ids = np.unique(hashes[0], return_index=True, return_inverse=True)
+    like = first[ids]
+    if not (size == size[like]).all() or not _same_bytes(data, start, start[like], size):  # different words of one hash
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(_LOWER[data[a : a + n]].tobytes(), len(number)) for a, n in zip(start, size)], np.int64)
+    return ids.astype(np.int64), bounds
+
+
+def shingle_ids(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
+    """Per text the sorted numbers of its distinct shingles: exact, equal if and only if the shingles are."""
+    ids, bounds = word_ids(*string_buffers(texts))
+    runs, at = shingle_runs(mix64(ids), bounds, k)
+    n_words = np.diff(bounds)
+    begin = np.repeat(bounds[:-1], np.diff(at)) + np.arange(len(runs)) - np.repeat(at[:-1], np.diff(at))
+    size = np.repeat(np.minimum(n_words, k), np.diff(at))
+    _, first, number = np.unique(runs, return_index=True, return_inverse=True)
+    like = first[number]
+    true = bool((size == size[like]).all())
+    for j in range(k if true else 0):
+        has = np.flatnonzero(size > j)
+        true = true and bool((ids[begin[has] + j] == ids[begin[like[has]] + j]).all())
+    if not true:  # different shingles of one hash
+        known: dict[tuple, int] = {}
+        number = np.array([known.setdefault(tuple(ids[a : a + n]), len(known)) for a, n in zip(begin, size)], np.int64)
+    return [np.unique(number[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 _COEFF = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

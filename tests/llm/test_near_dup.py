@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import near_dup, superminhash
@@ -102,3 +103,51 @@ def test_superminhash_matches_the_sequential_definition():
             perm[level], perm[j] = perm[j], perm[level]
             want[perm[level]] = min(want[perm[level]], r[0] + np.uint64(level << 32))
     assert (superminhash.superminhash(elements, np.array([0, 4]), m)[0] == want).all()
+
+
+def thue_morse(n, a="x", b="y"):
+    """Two words of ``n`` letters that collide under every polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[t] for t in bits), "".join((b, a)[t] for t in bits)
+
+
+def test_words_made_to_collide(spark):
+    x, y = thue_morse(2048)
+    rows = [(1, f"{x} one two three four five"), (2, f"{y} one two three four five"), (3, x), (4, y), (5, f"{x} {y} {x} {x} {y}"), (6, f"{x} {y} {x} {y} {y}"), (7, x.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 3}
+
+
+def test_numbers_of_shingles_are_exact_when_hashes_collide(monkeypatch):
+    from corpusloom.llm import common
+
+    texts = ["a b c d e f g", "a b c d e f h", "G b c d e", "", None, "a b", "b a", "x" * 500 + " " + "x" * 499 + "y"]
+    want = [shingles(t) for t in texts]
+    keyed = common._random
+    for bits in (64, 2, 0):  # fewer bits: nearly all words and shingles share a hash
+        common._table.cache_clear()
+        monkeypatch.setattr(common, "_random", lambda code, lane, bits=bits: keyed(code, lane) & np.uint64(2**bits - 1))
+        got = common.shingle_ids(pa.array(texts, pa.string()))
+        for a, x in zip(want, got):
+            for b, y in zip(want, got):
+                assert len(a & b) == len(np.intersect1d(x, y)) and len(a) == len(x)
+    monkeypatch.undo()
+    common._table.cache_clear()
+
+
+def test_rows_of_one_id_belong_together(spark):
+    rows = [(1, "a b c d e f g"), (2, "q r s t u v w"), (2, "a b c d e f g"), (3, "q r s t u v w"), (3, "q r s t u v w"), (4, None), (4, "z z z z z z")]
+    got = near_dup.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def test_a_common_header_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    header = " ".join(f"h{i}" for i in range(60))
+    texts = [header + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(n)) for n in [12] * 120 + [30] * 120]
+    rows = list(enumerate(texts))
+    seen = []
+    block = near_dup._block_links
+    monkeypatch.setattr(near_dup, "_block_links", lambda *a: seen.append(1) or block(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows) and not seen

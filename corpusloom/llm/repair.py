@@ -4,8 +4,9 @@ A shard holds the ids of consecutive documents.  Round by round the most frequen
 neighbouring symbols become nonterminals and are replaced from left to right; pairs never reach
 over a document's end, so each document is a run of symbols of its own.  A round counts the
 shard's pairs exactly and replaces up to ``RULES_A_ROUND`` of them at once, the most frequent
-first, all with at least ``MIN_COUNT`` occurrences; rounds go on until no pair is that frequent,
-a round saves less than ``MIN_GAIN`` of the symbols, or ``ROUNDS`` are done.
+first.  Rounds go on until no pair occurs ``MIN_COUNT`` times: a rule takes 12 bytes of the file and
+a symbol at least 2, so rarer pairs would not pay.  A pair that a round leaves out (too many rules, or a
+clash in its table) is counted anew in the next.  Every round replaces some pair, so they end.
 
 File format of one shard (all numbers little-endian)::
 
@@ -27,10 +28,9 @@ import numpy as np
 SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 4096
 MIN_COUNT = 12
-MIN_GAIN = 0.03
-ROUNDS = 8
 _HEAD = struct.Struct("<4sIIIQII")
 _SLOTS = 18
+_BINS = 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,13 +44,16 @@ def _round(x: np.ndarray, first: np.ndarray, fresh: int) -> tuple[np.ndarray, np
         return None
     key = (x[:-1].astype(np.int64) << 32) | x[1:]
     key[first[1:]] = -1
-    ordered = np.sort(key)
+    inside = key[key >= 0]
+    bins = ((inside.astype(np.uint64) * _MUL) >> np.uint64(64 - _BINS)).astype(np.int64)
+    ordered = np.sort(inside[np.bincount(bins, minlength=1 << _BINS)[bins] >= MIN_COUNT])  # no frequent pair stands in a rare bin
+    if not len(ordered):
+        return None
     edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
     start = np.concatenate([[0], edge])
     count = np.diff(np.concatenate([start, [len(ordered)]]))
-    pair = ordered[start]
-    often = (count >= MIN_COUNT) & (pair >= 0)
-    pair, count = pair[often], count[often]
+    often = count >= MIN_COUNT
+    pair, count = ordered[start][often], count[often]
     if not len(pair):
         return None
     best = np.argsort(-count, kind="stable")[:RULES_A_ROUND]
@@ -83,17 +86,11 @@ def compress(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> bytes:
     first[bounds[:-1]] = True
     base = fresh = int(x.max(initial=0)) + 1
     left, right = [], []
-    for _ in range(ROUNDS):
-        step = _round(x, first, fresh)
-        if step is None:
-            break
-        saved = len(x) - len(step[0])
+    while (step := _round(x, first, fresh)) is not None:
         x, first = step[0], step[1]
         left.append(step[2])
         right.append(step[3])
         fresh += len(step[2])
-        if saved < MIN_GAIN * (len(x) + saved):
-            break
     l, r = (np.concatenate(s) if s else np.zeros(0, np.uint32) for s in (left, right))
     lengths = np.ones(fresh, np.int64)
     at = base

@@ -6,7 +6,9 @@ n_tokens, payload)``, so that Spark's committer makes a retried task harmless; `
 the documents' order.
 
 Defined results: a null text is empty and gives the end id alone; documents with equal ids are
-ordered by text; an empty table gives an empty table; further columns are ignored.
+ordered by the first ``TIE_CHARS`` characters of their texts and then by their place in the input, so
+that one id on very many rows is dealt over many tasks; an empty table gives an empty table;
+further columns are ignored.  A very long text is encoded in spans; its ids must fit a task.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .repair import SHARD_TOKENS, Shard, compress
 
 END = 1
 PART_BYTES = 32 << 20
+TIE_CHARS = 32
 _SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
 
@@ -74,8 +77,10 @@ def encode_shards(documents: DataFrame, tokenizer: str, end: int = END, shard_to
             yield flush()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.repartitionByRange(n_parts(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return docs.mapInArrow(task, _SHARDS)
+    keyed = docs.withColumns({"_tie": F.substring("text", 1, TIE_CHARS), "_row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc_nulls_first(), F.col("_row")]
+    keyed = keyed.repartitionByRange(n_parts(docs), *order).sortWithinPartitions(*order)
+    return keyed.select("doc_id", "text").mapInArrow(task, _SHARDS)
 
 
 def read_back(shards: DataFrame) -> DataFrame:

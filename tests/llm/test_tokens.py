@@ -145,3 +145,51 @@ def test_local_search_beats_best_fit():
         h = collections.Counter(rng.integers(5, 50, 60).tolist())
         improved += sum(packing.plan(h, 100).values()) < sum(packing.best_fit(h, 100).values())
     assert improved > 0
+
+
+def collide(n=2048):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[t] for t in bits), "".join("ba"[t] for t in bits)
+
+
+def test_units_made_to_collide(spark, plain):
+    a, b = collide()
+    texts = [a, b, f"{b} {a}", f"{a}, {b}!"]
+    ids, bounds = UnitEncoder(tokenizer_path()).encode(texts)
+    assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [plain(t) for t in texts]
+    cut = packing.cut(docs(spark, list(enumerate(texts))), tokenizer_path()).cache()
+    check_packing(list(enumerate(texts)), packing.pack(cut).collect(), plain)
+
+
+def test_units_of_one_hash_keep_their_ids(plain, monkeypatch):
+    """With hashes of two bits nearly all units share one; their bytes tell them apart."""
+    from corpusloom.llm import encode
+
+    monkeypatch.setattr(encode, "mix64", lambda x: (x & np.uint64(3)) << np.uint64(40))
+    enc = UnitEncoder(tokenizer_path())
+    for _ in range(2):
+        texts = ["It's one two, three; four-five SIX six 7 8.9", "uno dos tres quatro", "ähnlich Ähnlich œuvre", "it's ONE"]
+        ids, bounds = enc.encode(texts)
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [plain(t) for t in texts]
+
+
+def test_long_texts_are_encoded_in_spans(plain, monkeypatch):
+    from corpusloom.llm import encode
+
+    monkeypatch.setattr(encode, "SPAN_CHARS", 50)
+    enc = UnitEncoder(tokenizer_path())
+    texts = ["one two's  three\n\n" * 40, "", "x" * 300, "word " + "y" * 200 + " don't «stop» × " * 9, "一二 " * 60, None]
+    ids, bounds = enc.encode(texts)
+    assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [plain(t) for t in texts]
+
+
+def test_other_vocabularies_go_whole():
+    from corpusloom.llm.encode import has_units
+
+    other = tokenizer_path("byte_bpe_50k.json")
+    assert has_units(tokenizer_path()) and not has_units(other)
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(other), ["Hello  World's end \n\n x", "a b"]
+    ids, bounds = UnitEncoder(other).encode(texts)
+    assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -3,15 +3,17 @@
 The distinct 5-word shingles of a lower-cased text are hashed once; the top bits of a hash choose
 one of ``bins`` bins and the least hash of a bin is its value.  An empty bin ``j`` walks the bins
 ``h(j, 1), h(j, 2), ...`` of a universal hash until it meets a bin that was filled, and copies
-it (optimal densification); after ``WALK`` steps the walk is finished in one go by the least of a
-further hash over the filled bins.  Only the low ``bits`` bits of each value are stored,
+it (optimal densification); after ``WALK`` steps, which a text with half its bins filled reaches
+once in 256 empty bins, the walk is finished in one go by the least of a further hash over the filled bins:
+each of them is met with the same odds, as by walking on.  Only the low ``bits`` bits of each value are stored,
 packed as hex.  Two fingerprints agree in a bin by chance with probability ``2**-bits``, which
 :func:`likeness` takes out.
 
 Defined results: a null text is empty; a text of fewer than five words has one shingle, its whole
 sequence; a text without words has the empty fingerprint, whose likeness is 1 to another empty one
-and 0 to all else; documents with equal ids are ordered by their texts; an empty table gives an
-empty result; further columns are ignored.
+and 0 to all else; documents with equal ids are ordered by the hash of their texts and then the texts,
+null ids first; repeated rows follow each other; an empty table gives an empty result; further
+columns are ignored.  A very long text must fit a row, with eight bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ BITS = 8
 SHINGLE = 5
 WALK = 8
 BUCKET_ROWS = 500
+MAX_BUCKETS = 1 << 16  # so many bounds of id ranges, and as many for null ids, go through the driver
 
 
 def with_lanes(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -34,7 +37,7 @@ def with_lanes(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int =
     walk = ", ".join(f"nullif({p}[cast(pmod(xxhash64(j, {a}), {bins}) as int)], 0)" for a in range(1, WALK + 1))
     last = f"array_position({b}, array_min(transform({b}, y -> struct(xxhash64(j, y, -1) as r, y as y))).y)"
     plain = f"lower({text})"
-    for c in ("\\t", "\\n", "\\u000B", "\\f", "\\r"):
+    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
         plain = f"replace({plain}, '{c}', ' ')"
     df = df.withColumn(w, F.expr(f"array_remove(split({plain}, ' '), '')"))
     df = df.withColumn(h, F.expr(f"transform({w}, x -> xxhash64(x))")).drop(w)
@@ -62,12 +65,28 @@ def likeness(a: str, b: str, bits: int = BITS):
 
 
 def _buckets(docs: DataFrame) -> DataFrame:
-    """Ranges of ids of about ``BUCKET_ROWS`` rows each, as ``bucket``."""
-    n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n or lo is None:
-        return docs.withColumn("bucket", F.lit(0).cast("long"))
-    width = max(1, -(-(hi - lo + 1) // max(1, -(-n // BUCKET_ROWS))))
-    return docs.withColumn("bucket", F.expr(f"coalesce((doc_id - {lo}L) div {width}L, -1L)"))
+    """``docs(doc_id, text)`` with ``h``, the text's hash, and ``bucket``, ranges in the order of id and ``h``.
+
+    Bounds are quantiles of the ids, so any spread of them gives ranges of about ``BUCKET_ROWS`` rows.
+    An id that several bounds share is split between them by ``h``; so are null ids.
+    """
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    share = lambda rows: max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
+    fractions = ",".join(str(i / share(known)) for i in range(1, share(known)))
+    bounds = []
+    if fractions:
+        bounds = docs.agg(F.expr(f"percentile_approx(doc_id, cast(split('{fractions}', ',') as array<double>), {10 * share(known)})")).first()[0]
+    steps = ", ".join(str(1 << i) for i in range(len(bounds).bit_length(), -1, -1))
+    values = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)"
+    below = lambda sign: f"aggregate(array({steps}), 0, (at, s) -> case when at + s <= {len(bounds)} and get({values}, at + s - 1) {sign} doc_id then at + s else at end)"
+    if not bounds:
+        below = lambda sign: "0"
+    docs = docs.withColumn("lo", F.expr(below("<"))).withColumn("hi", F.expr(f"case when lo < {len(bounds)} then {below('<=')} else lo end"))
+    part = "(h / 18446744073709551616.0D + 0.5D)"  # rises with h from 0 to 1
+    inside = f"least(hi, lo + cast(floor({part} * (hi - lo + 1)) as int))"
+    null = f"least(-1, cast(floor({part} * {share(n - known)}) as int) - {share(n - known)})"
+    return docs.select("doc_id", "text", "h", F.expr(f"cast(case when doc_id is null then {null} else {inside} end as long)").alias("bucket"))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -77,12 +96,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     document's start.  Neighbours are found in one shuffle of the texts by id range; only the
     first document of each range is looked up from another.
     """
-    docs = _buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    docs = _buckets(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
     inside = Window.partitionBy("bucket").orderBy(*order)
     d = docs.withColumns({"next_text": F.lead("text").over(inside), "row": F.row_number().over(inside)})
     first = with_lanes(d.where("row = 1").select("bucket", "text"), "text", "lanes")
-    # the next range of each: numbers alone pass through the one ordered window
+    # the next range of each: numbers of buckets, ``2 * MAX_BUCKETS`` at most, pass through the one ordered window
     line = Window.orderBy("bucket")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     chain = docs.select("bucket").distinct().select("bucket", F.coalesce(F.lead("bucket").over(line), F.first("bucket").over(whole)).alias("following"))

@@ -9,7 +9,9 @@ are still too large are summed again at more bits.  Texts are shuffled only to w
 Defined results: a null text has 0 bytes; a null key hashes as the empty string; documents with
 the same hash cannot be told apart by any bit, so a bucket of one hash value stays whole and is
 flagged ``oversized`` if it is over the limit (one huge document, or a key repeated very often);
-an empty table gives an empty result; further columns are kept by :func:`assign_shards`.
+repeated rows are rows of one hash; an empty table gives an empty result; further columns are kept by
+:func:`assign_shards`, those that bear the name of one of its own as ``input_<name>``.  A very long
+text is never cut: it must fit a row.
 """
 
 from __future__ import annotations
@@ -30,6 +32,23 @@ def _hash(key: str):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
 
 
+OUTPUT = ("n_bytes", "shard_id", "shard_depth", "shard_bytes", "oversized")
+
+
+def _kept(columns: list[str]) -> list:
+    """The input's columns out of ``_row``, under names that no column of the result bears."""
+    used = {c.lower() for c in columns} | set(OUTPUT)
+    out = []
+    for c in columns:
+        name = c
+        if c.lower() in OUTPUT:
+            while name.lower() in used:
+                name = f"input_{name}"
+            used.add(name.lower())
+        out.append(F.col("_row").getField(c).alias(name))
+    return out
+
+
 def _prefix(c, depth: int):
     return F.shiftright(c, BITS - depth)
 
@@ -63,7 +82,8 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """``docs`` with ``n_bytes, shard_id, shard_depth, shard_bytes, oversized``."""
-    keyed = docs.withColumns({"_h": _hash(key), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _hash(key).alias("_h"), n_bytes.alias("n_bytes"))
     levels = directory(keyed.select("_h", F.col("n_bytes").alias("_bytes")), limit)
     out = keyed.withColumns({"_d": F.lit(None).cast("int"), "_b": F.lit(None).cast("long")})
     for bits, cells in levels:
@@ -73,8 +93,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
         out = out.withColumn("_cell", _prefix(F.col("_h"), bits)).join(found, "_cell", "left")
         out = out.withColumns({"_d": F.coalesce("_d", "_nd"), "_b": F.coalesce("_b", "_nb")}).drop("_cell", "_nd", "_nb")
     bits_text = F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, _d)")
-    out = out.withColumns({"shard_id": F.concat(F.lit("s"), bits_text), "shard_depth": F.col("_d"), "shard_bytes": F.col("_b"), "oversized": F.col("_b") > limit})
-    return out.drop("_h", "_d", "_b")
+    shard = [F.concat(F.lit("s"), bits_text).alias("shard_id"), F.col("_d").alias("shard_depth"), F.col("_b").alias("shard_bytes"), (F.col("_b") > limit).alias("oversized")]
+    return out.select(*_kept(docs.columns), "n_bytes", *shard)
 
 
 def write_shards(assigned: DataFrame, path: str, row: str | None = None) -> None:

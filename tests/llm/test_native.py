@@ -149,3 +149,66 @@ def test_fingerprint_cases(spark):
     assert by[3]["fingerprint"] == by[4]["fingerprint"] == by[12]["fingerprint"] == "" and by[3]["near_next"] == 1.0 and by[2]["near_next"] == 0.0
     assert len(by[9]["fingerprint"]) == 2 * fingerprint.BINS
     assert fingerprint.fingerprints(empty(spark)).count() == 0
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "ab", "mine", 5, 6, "x"), (2, None, "yours", 7, 8, "y")], "doc_id long, text string, shard_id string, N_BYTES int, _h int, input_shard_id string")
+    got = {r["doc_id"]: r.asDict() for r in sharding.assign_shards(rows).collect()}
+    assert got[1]["input_input_shard_id"] == "mine" and got[1]["input_shard_id"] == "x" and got[1]["input_N_BYTES"] == 5 and got[1]["_h"] == 6
+    assert got[1]["n_bytes"] == 2 and got[2]["n_bytes"] == 0 and got[2]["shard_id"] == "s"
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5, 10**15], [7] * 400 + [9] * 3, [None] * 300 + [1, 2], list(range(200)) + [10**15], [4]])
+def test_fingerprint_neighbours_for_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 20)
+    rows = [(i, f"text {n} " * (3 + n % 4)) for n, i in enumerate(ids)]
+    hashed = {t: spark_hash(t.encode()) for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1]))
+    want = collections.Counter()
+    for n, (i, x) in enumerate(order):
+        y, h = order[(n + 1) % len(order)][1], len(x) // 2
+        want[i, hashlib.sha256((x[: len(x) - h] + y[:h]).encode()).hexdigest()] += 1
+    d = docs(spark, rows)
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.fingerprints(d).collect()) == want
+    sizes = [r["count"] for r in fingerprint._buckets(d.select("doc_id", "text")).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 60
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def spark_hash(*parts, seed=42):
+    """Spark's xxhash64 of byte strings, longs and ``("int", n)``, folded from left to right."""
+    import xxhash
+
+    for p in parts:
+        raw = p if isinstance(p, bytes) else p[1].to_bytes(4, "little", signed=True) if isinstance(p, tuple) else p.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed % 2**64)
+    return signed(seed)
+
+
+def plain_lanes(text, bins=128, bits=8):
+    """One-permutation MinHash with a densifying walk, slot by slot."""
+    words = [spark_hash(w.encode()) for w in text.lower().split()]
+    hashes = {spark_hash(*words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {spark_hash(*words)} if words else set()
+    least = {}
+    for x in hashes:
+        j = (x >> 57) + bins // 2
+        least[j] = min(least.get(j, x), x)
+    out = []
+    for j in range(bins if least else 0):
+        at, tries = j, 0
+        while at not in least and tries < fingerprint.WALK:
+            tries += 1
+            at = spark_hash(("int", j), ("int", tries)) % bins
+        if at not in least:
+            at = min(least, key=lambda y: spark_hash(("int", j), ("int", y), ("int", -1)))
+        out.append(least[at] & (2**bits - 1))
+    return "".join(f"{x:02x}" for x in out)
+
+
+def test_lanes_against_a_plain_version(spark):
+    texts = ["one", "a b c d e f", "", "ä b ä b ä b", *(" ".join(f"w{(i * n * 7919) % 1000}" for i in range(n)) for n in (5, 12, 40, 90, 200, 900))]
+    got = fingerprint.fingerprints(docs(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: plain_lanes(t) for i, t in enumerate(texts)}

@@ -233,3 +233,30 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(columns, name: str) -> str:
+    """``name``, or it with underscores after it until no column bears it (in any case of letters)."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def keep_and_add(documents, keep: list[str], task, added: dict[str, str], limit: int = 3_000_000):
+    """``keep`` columns of the documents and new ones, made from ``text`` by ``task(texts) -> arrays``.
+
+    ``added`` names the new columns and their types.  Columns travel by place, so their names do not matter.
+    """
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "_text", limit):
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *task(part.column(0))], names=names)
+
+    names = [f"_{i}" for i in range(len(keep) + len(added))]
+    rows = documents.select(F.col("text").alias("_text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)))
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields[1:]] + list(added.values())
+    out = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, [*keep, *added])))

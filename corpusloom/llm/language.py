@@ -13,14 +13,19 @@ read, whatever its length; a lane's start counts as a phrase's start for every l
 Transitions of the ``SYMBOLS - 2`` commonest letters are columns of the table; those of all other
 letters of the references are found in one sorted list, so every letter is told apart.
 
-Fitting takes a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by hash,
-and of these ``REFERENCE_CHARS`` reduced characters in all, in equal shares.  Texts are reduced in
-tasks; how much of each is collected follows from the reduced lengths of the language's sample, so
-a language has fewer characters only if its sample has.
+Fitting takes a bounded sample: the ``MAX_LANGS`` commonest languages, about ``SAMPLE_DOCS`` documents of
+each, chosen by hash, and of these as many whole texts as have ``REFERENCE_CHARS`` reduced characters
+together (an equal share of ``TOTAL_CHARS``, if that is less).  Only a language whose sample has no text
+that short learns from the beginning of its shortest one.  The tables take about 512 bytes a
+character, at most 205 MB.
+
+The score is the share of the second-best language in the phrases of the two best: 0.5 if they need
+equally many, nearer to 1 the fewer the best needs; it does not depend on the text's length.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; rows of a null
-language are not learned from; without any labelled row every text is ``und``; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored.
+language are not learned from; with one learned language scores are 1; without any labelled row every text
+is ``und``; repeated rows give repeated results and are learned from once; an empty table gives an empty
+result; other columns are ignored or, if asked for, kept under any name.
 """
 
 from __future__ import annotations
@@ -33,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, keep_and_add, pieces
 
 SAMPLE_DOCS = 300
 REFERENCE_CHARS = 40_000
+TOTAL_CHARS = 400_000
+MAX_LANGS = 1000
 SYMBOLS = 64
 LANE = 512
 FOLDS = 5
@@ -120,10 +127,9 @@ class Model:
         self.places[np.searchsorted(self.alphabet, np.array(common, np.uint32))] = np.arange(len(common)) + 2
         tables, rare, self.roots, at = [], [], [], 0
         for k in self.langs:
-            share = max(1, chars // max(1, len(reduced[k])))
             left, text = chars, [0]
-            for x in [x[:share] for x in reduced[k]] + [x[share:] for x in reduced[k]]:
-                if left > 0 and len(x):  # equal shares first, then what is still missing
+            for x in reduced[k]:
+                if left > 0 and len(x):
                     part = self.symbols(x[:left])
                     text += [*part.tolist(), 0]
                     left -= len(part)
@@ -212,12 +218,13 @@ class Model:
         return out, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores: the softmax of the phrase counts, negated."""
+        """Languages and scores."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         z, size = self.phrases(texts)
         best = z.argmin(axis=1)
-        score = 1 / np.exp(-(z - z.min(axis=1, keepdims=True)).astype(float)).sum(axis=1)
+        two = np.sort(z, axis=1)[:, :2].astype(float)
+        score = two[:, 1] / np.maximum(two.sum(axis=1), 1) if z.shape[1] > 1 else np.ones(len(texts))
         return ["und" if not n else self.langs[b] for b, n in zip(best, size)], np.where(size > 0, score, 0.0)
 
 
@@ -226,69 +233,60 @@ def held_out(folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
-def sample_rate(counts: dict, wanted: int):
-    """A filter that keeps about ``wanted`` rows of each key, by hash of the id."""
-    share = lambda n: F.lit(min(1.0, wanted / max(1, n)))
-    keys = list(counts)
-    rate = F.lit(0.0)
-    for k in keys:
-        rate = F.when(F.col("lang") == k, share(counts[k])).otherwise(rate)
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)
-
-
-def level(lengths: list[int], wanted: int) -> int:
-    """The least cut of all texts that leaves ``wanted`` characters, or the longest length."""
-    left, n = wanted, len(lengths)
-    for x in sorted(lengths):
-        if x * n >= left:
-            return -(-left // n)
-        left, n = left - x, n - 1
-    return max(lengths, default=0)
+def choose(lengths: list[int], wanted: int) -> list[int]:
+    """The places of the texts to learn from: in order, each that still fits into ``wanted`` characters."""
+    out, left = [], wanted
+    for i, n in enumerate(lengths):
+        if 0 < n <= left:
+            out.append(i)
+            left -= n
+    return out or [min((i for i, n in enumerate(lengths) if n), key=lambda i: lengths[i])] if any(lengths) else []
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from labelled documents that are not held out."""
-    learn = documents.where(~held_out()).where("lang is not null")
-    counts = {r["lang"]: r["count"] for r in learn.where("text is not null").groupBy("lang").count().collect()}
+    rows = documents.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(~held_out())
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return Model({})
-    sample = learn.where("text is not null").where(sample_rate(counts, sample_docs)).select("doc_id", "lang", "text")
-    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+    wanted = min(REFERENCE_CHARS, TOTAL_CHARS // len(counts))
+    rates = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / max(1, r["n"]))) for r in counts], "lang string, rate double")
+    sample = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    sample = sample.select("lang", "h", "text").dropDuplicates(["lang", "h"])
 
     def reduced(batches):
         for batch in batches:
             for part in pieces(batch, "text", 3_000_000):
-                texts = ["".join(chr(c) if c else " " for c in reduce_text(t)[:REFERENCE_CHARS].tolist()) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "lang", "text", "n"])
-
-    saved = Scratch(documents.sparkSession, "language").save(sample.mapInArrow(reduced, f"doc_id {kinds['doc_id']}, lang string, text string, n long"), "sample")
-    lengths: dict[str, list] = {}
-    for r in saved.select("lang", "n").collect():
-        lengths.setdefault(r["lang"], []).append(r["n"])
-    cut = F.lit(0)  # one more character each, as a separator at a cut is dropped
-    for k, v in lengths.items():
-        cut = F.when(F.col("lang") == k, F.lit(level(v, REFERENCE_CHARS) + 1)).otherwise(cut)
+                texts = ["".join(chr(c) if c else " " for c in reduce_text(t).tolist()) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([t[:wanted] for t in texts], pa.string())], names=["lang", "h", "n", "text"])
+
+    saved = Scratch(documents.sparkSession, "language").save(sample.mapInArrow(reduced, "lang string, h long, n long, text string"), "sample")
+    sizes: dict[str, list] = {}
+    for r in saved.select("lang", "h", "n").collect():
+        sizes.setdefault(r["lang"], []).append((r["h"], r["n"]))
+    picked = []
+    for k, v in sizes.items():
+        v.sort()
+        picked += [(k, v[i][0]) for i in choose([n for _, n in v], wanted)]
+    if not picked:
+        return Model({})
+    chosen = documents.sparkSession.createDataFrame(picked, "lang string, h long")
     refs: dict[str, list] = {}
-    for r in saved.select("doc_id", "lang", F.substring("text", F.lit(1), cut).alias("text")).collect():
-        refs.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return Model({k: [t for _, t in sorted(v, key=lambda r: (r[0] is None, r[0] or 0, r[1]))] for k, v in refs.items()})
+    for r in saved.join(F.broadcast(chosen), ["lang", "h"]).collect():
+        refs.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return Model({k: [t for _, t in sorted(v)] for k, v in refs.items()}, wanted)
 
 
-def predict(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of the documents with ``lang_pred, lang_score``."""
+def predict(documents: DataFrame, model: Model, keep: list[str], lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``keep`` columns of the documents with the columns ``lang`` and ``score``, names that are not among them."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches):
-        m = shared.value
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for part in pieces(batch, "text", 3_000_000):
-                lang, score = m.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(lang), pa.array(score)], names=[*keep, "lang_pred", "lang_score"])
+    def task(texts: pa.Array):
+        found, scores = shared.value.predict(texts.to_pylist())
+        return [pa.array(found, pa.string()), pa.array(scores)]
 
-    columns = list(dict.fromkeys([*keep, "text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields]
-    return documents.select(*columns).mapInArrow(task, ", ".join([*fields, "lang_pred string", "lang_score double"]))
+    return keep_and_add(documents, keep, task, {lang: "string", score: "double"})
 
 
 def identify(documents: DataFrame) -> DataFrame:

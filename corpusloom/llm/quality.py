@@ -1,20 +1,24 @@
 """Quality classification by nearest-neighbour voting in a latent semantic space.
 
-A text is described by the *shapes* of its writing, not by its words: letters, digits and other
-characters are mapped to a few classes, runs of letters and digits shrink to one, a word equal to
-the one before it gets a class of its own, and runs of three classes are counted.  Counts are damped by a square
-root, weighted by inverse document frequency and normalised; a truncated singular value
-decomposition of the labelled texts gives the latent space.
+A text is a vector of its words and of its character trigrams (lower-cased), each hashed to one of
+``WORDS`` or ``TRIGRAMS`` features.  A word equal to the one before it counts as feature 0, "said again",
+instead of as itself and its trigrams.  Counts are damped by a square root, weighted by inverse
+document frequency and normalised; a truncated singular value decomposition of the labelled texts
+gives the latent space (latent semantic analysis).
 
-The labelled vectors are broadcast (``SAMPLE_DOCS`` of ``DIMS`` numbers at most, about 1 MB) and
-every document is compared with all of them by exact cosine products, block by block.  Its score is the
-share of label 1 among its ``NEIGHBOURS`` nearest, weighted by a power of the similarity.
+The labelled vectors are broadcast (``SAMPLE_DOCS`` of ``DIMS`` numbers and the axes at most, under 2 MB)
+and every document is compared with all of them by exact cosine products, block by block.  Its
+score is the share of label 1 among its ``NEIGHBOURS`` nearest, weighted by a power of the similarity.
+Similarities count to ``DIGITS`` decimals; of equal ones the labelled document of lesser id is nearer.
 
-Fitting takes a bounded sample: about ``SAMPLE_DOCS`` labelled documents, chosen by hash of the id.
+Fitting takes a bounded sample: the ``SAMPLE_DOCS`` labelled ids of least hash, one row each.  The
+driver holds them as one matrix of ``SAMPLE_DOCS`` x ``FEATURES`` numbers, 131 MB.
 
 Defined results: a null text is empty, and an empty text has the zero vector, whose score is the
-share of label 1 in the sample; without any labelled row every score is 0.5; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored.
+share of label 1 in the sample; without any labelled row every score is 0.5; of a labelled id on several
+rows the least text counts, of several labels the least; null ids are not learned from; repeated rows
+give repeated results; an empty table gives an empty result; other columns are ignored or, if asked
+for, kept under any name.  A very long text is counted in spans.
 """
 
 from __future__ import annotations
@@ -24,155 +28,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD, pieces, string_buffers, word_hashes
+from .common import _LOWER, SPAN_BYTES, keep_and_add, mix64, pieces, string_buffers, words
 from .language import held_out
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 4000
 DIMS = 32
 NEIGHBOURS = 25
 POWER = 4
+DIGITS = 5
 THRESHOLD = 0.3
+WORDS = 4096
+TRIGRAMS = 4096
+FEATURES = WORDS + TRIGRAMS
+BATCH = 256
 
-#: 0 space, 1 line end, 2 lower, 3 upper, 4 digit, 5 above ASCII, 6 repeated word, then single signs
-_SIGNS = b".,;:!?|$%&*#@-_/'\"()<>=+"
-N_CLASSES = 8 + len(_SIGNS)
-FEATURES = N_CLASSES**3
-_CLASS = np.full(256, 7, np.uint8)
-_CLASS[[32, 9, 11, 12, 13]] = 0
-_CLASS[10] = 1
-_CLASS[97:123] = 2
-_CLASS[65:91] = 3
-_CLASS[48:58] = 4
-_CLASS[128:] = 5
-for _i, _c in enumerate(_SIGNS):
-    _CLASS[_c] = 8 + _i
-
-
-def shape_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts of class triples: text, feature and count of every one that occurs."""
+
+def counts(texts: pa.Array) -> np.ndarray:
+    """Feature counts ``[text, feature]``."""
     data, offsets = string_buffers(texts)
     n = len(offsets) - 1
+    out = np.zeros(n * FEATURES, np.float32)
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    kind = _CLASS[data].copy()
-    hashes, bounds = word_hashes(data, offsets)
-    word = _WORD[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(data)]
-    first[inner] |= word[inner]
-    start = np.flatnonzero(first)
-    again = np.zeros(len(start), bool)
-    again[1:] = hashes[1:] == hashes[:-1]
-    again[bounds[:-1][bounds[:-1] < len(start)]] = False
-    repeat = start[again]
-    letters = (kind >= 2) & (kind <= 5)
-    keep = np.ones(len(kind), bool)
-    keep[1:] = (kind[1:] != kind[:-1]) | ~letters[1:]
-    keep[inner] = True
-    kind[repeat] = 6
-    keep[repeat] = True
-    kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    x = kind[keep].astype(np.int64)
-    if len(x) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    triple = (x[:-2] * N_CLASSES + x[1:-1]) * N_CLASSES + x[2:]
-    doc = np.repeat(np.arange(n), np.diff(kept))
-    inside = doc[:-2] == doc[2:]
-    key, count = np.unique(doc[:-2][inside] * FEATURES + triple[inside], return_counts=True)
-    return key // FEATURES, key % FEATURES, count.astype(np.float32)
+        return out.reshape(n, FEATURES)
+    hashes, start, size = words(data, offsets)
+    h = hashes[0]
+    doc = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    out += np.bincount(doc * FEATURES + np.where(again, 0, 1 + (h % np.uint64(WORDS - 1)).astype(np.int64)), minlength=len(out))
+    turn = np.zeros(len(data) + 1, np.int8)
+    np.add.at(turn, start[again], 1)
+    np.add.at(turn, start[again] + size[again], -1)
+    counted = np.cumsum(turn[:-1], dtype=np.int8) == 0
+    for at in range(0, len(data) - 2, SPAN_BYTES):
+        stop = min(at + SPAN_BYTES, len(data) - 2)
+        low = _LOWER[data[at : stop + 2]].astype(np.uint64)
+        key = mix64(low[:-2] << np.uint64(16) | low[1:-1] << np.uint64(8) | low[2:]) % np.uint64(TRIGRAMS)
+        place = np.arange(at, stop)
+        own = np.searchsorted(offsets, place, side="right") - 1
+        ok = counted[at + 1 : stop + 1] & (place + 2 < offsets[own + 1])
+        out += np.bincount(own[ok] * FEATURES + WORDS + key[ok].astype(np.int64), minlength=len(out))
+    return out.reshape(n, FEATURES)
 
 
 class Space:
     """Latent space of labelled texts: feature weights, axes, vectors and labels."""
 
-    def __init__(self, doc: np.ndarray, feature: np.ndarray, count: np.ndarray, labels: np.ndarray, dims: int = DIMS):
+    def __init__(self, x: np.ndarray, labels: np.ndarray, dims: int = DIMS):
+        """``x``: feature counts of the labelled texts; it is overwritten."""
         n = len(labels)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if n else 0.5
-        self.used, column = np.unique(feature, return_inverse=True)
-        df = np.bincount(column, minlength=len(self.used))
-        self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-        x = np.zeros((n, len(self.used)), np.float32)
-        x[doc, column] = np.sqrt(count) * self.idf[column]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        k = min(dims, *x.shape) if x.size else 0
+        self.idf = (np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+        self._weigh(x)
+        k = min(dims, *x.shape) if x.any() else 0
         if k:  # randomised subspace iteration
             q = np.linalg.qr(x @ np.random.default_rng(7).standard_normal((x.shape[1], min(k + 16, *x.shape))).astype(np.float32))[0]
             for _ in range(4):
                 q = np.linalg.qr(x @ (x.T @ q))[0]
             axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:k]
         else:
-            axes = np.zeros((0, len(self.used)), np.float32)
+            axes = np.zeros((0, x.shape[1]), np.float32)
         self.axes = np.ascontiguousarray(axes.T, dtype=np.float32)
         self.vectors = self._unit(x @ self.axes)
 
+    def _weigh(self, x: np.ndarray) -> np.ndarray:
+        """Damped, weighted and normalised counts, in place."""
+        np.sqrt(x, out=x)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+        return x
+
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         return np.where(norm > 1e-6, v / np.maximum(norm, 1e-6), 0).astype(np.float32)
 
-    def project(self, n: int, doc: np.ndarray, feature: np.ndarray, count: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.used, feature), max(0, len(self.used) - 1))
-        known = self.used[at] == feature if len(self.used) else np.zeros(len(feature), bool)
-        x = np.zeros((n, len(self.used)), np.float32)
-        x[doc[known], at[known]] = np.sqrt(count[known]) * self.idf[at[known]]
-        return self._unit(x @ self.axes)
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return self._unit(self._weigh(x) @ self.axes)
 
     def score(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
         """Similarity-weighted vote of the nearest labelled vectors; exact, in blocks."""
         out = np.full(len(vectors), self.prior)
-        k = min(neighbours, len(self.labels))
-        for at in range(0, len(vectors) if k else 0, 256):
-            cos = vectors[at : at + 256] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(cos), 1))
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(float) ** power
+        n = len(self.labels)
+        k = min(neighbours, n)
+        for at in range(0, len(vectors) if k else 0, BATCH):
+            cos = np.rint((vectors[at : at + BATCH] @ self.vectors.T).astype(float) * 10**DIGITS).astype(np.int64)
+            rank = cos * n - np.arange(n)  # no two are equal
+            near = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(cos), 1))
+            w = (np.maximum(np.take_along_axis(cos, near, axis=1), 0) / 10**DIGITS) ** power
             total = w.sum(axis=1)
             votes = (w * self.labels[near]).sum(axis=1)
-            out[at : at + 256] = np.where(total > 0, votes / np.maximum(total, 1e-12), self.prior)
+            out[at : at + BATCH] = np.where(total > 0, votes / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Space:
     """Learn from labelled documents that are not held out."""
-    marks = labels.where("quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = marks.count()
-    rate = min(1.0, sample_docs / max(1, n))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality is not null and doc_id is not null").where(~held_out())
+    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
     def task(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
-                doc, feature, count = shape_counts(part.column(2))
-                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v)) for v in (feature.astype(np.int32), count)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "quality", "feature", "n"])
-
-    rows = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "text")
-    got = rows.mapInArrow(task, "doc_id long, quality int, feature array<int>, n array<float>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], len(r["n"])))
-    size = [len(r["n"]) for r in got]
-    join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.array(r[c], t) for r in got)])
-    return Space(np.repeat(np.arange(len(got)), size), join("feature", np.int64), join("n", np.float32), np.array([r["quality"] for r in got], float))
-
-
-def predict(documents: DataFrame, space: Space, keep: list[str]) -> DataFrame:
-    """``keep`` columns of the documents with ``quality_score``."""
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                x = counts(part.column(2))
+                found = [np.flatnonzero(r) for r in x]
+                raw = [pa.array([np.asarray(v, t).tobytes() for v in rows], pa.binary()) for t, rows in (("<u2", found), ("<f4", [r[i] for r, i in zip(x, found)]))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *raw], names=["doc_id", "quality", "feature", "n"])
+
+    rows = docs.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    got = rows.mapInArrow(task, "doc_id long, quality int, feature binary, n binary").collect()
+    got.sort(key=lambda r: r["doc_id"])
+    x = np.zeros((len(got), FEATURES), np.float32)
+    for row, r in zip(x, got):
+        row[np.frombuffer(r["feature"], "<u2")] = np.frombuffer(r["n"], "<f4")
+    return Space(x, np.array([r["quality"] for r in got], float))
+
+
+def predict(documents: DataFrame, space: Space, keep: list[str], score: str = "quality_score") -> DataFrame:
+    """``keep`` columns of the documents with the column ``score``, a name that is not among them."""
     shared = documents.sparkSession.sparkContext.broadcast(space)
 
-    def task(batches):
+    def task(texts: pa.Array):
         s = shared.value
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for part in pieces(batch, "text", 3_000_000):
-                for lo in range(0, part.num_rows, 2000):
-                    some = part.slice(lo, 2000)
-                    v = s.project(some.num_rows, *shape_counts(some.column(at)))
-                    yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in keep), pa.array(s.score(v))], names=[*keep, "quality_score"])
-
-    columns = list(dict.fromkeys([*keep, "text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields]
-    return documents.select(*columns).mapInArrow(task, ", ".join([*fields, "quality_score double"]))
+        return [pa.array(np.concatenate([np.zeros(0), *(s.score(s.project(counts(texts.slice(lo, BATCH)))) for lo in range(0, len(texts), BATCH))]))]
+
+    return keep_and_add(documents, keep, task, {score: "double"})
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -69,18 +69,104 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
 
 
-def test_quality_votes_are_exact():
+def plain_counts(text):
+    low = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+    words = low.split()
+    n_again = sum(a == b for a, b in zip(words, words[1:]))
+    return len(words), n_again, len(set(words))
+
+
+def test_quality_features():
+    texts = ["one two two three", "", None, "a", "ab", "x " * 50, "Ünï ünï Ünï"]
+    x = quality.counts(pa.array(texts))
+    for t, row in zip(texts, x):
+        n, again, _ = plain_counts(t)
+        assert row[: quality.WORDS].sum() == n and row[0] == again
+    assert x[0, quality.WORDS :].sum() == len("one two two three") - 2 - 3 and not x[1].any() and not x[2].any()
+    for a, b in ((["the cat sat on the mat."], ["buy now big sale ends x."]), (["ab cd"], ["cd ab"])):
+        assert (quality.counts(pa.array(a)) != quality.counts(pa.array(b))).any()
+
+
+def test_quality_counts_in_spans(monkeypatch):
+    texts = pa.array(["lorem ipsum dolor dolor sit " * 30, "amet", "consectetur adipiscing " * 9])
+    want = quality.counts(texts)
+    monkeypatch.setattr(quality, "SPAN_BYTES", 13)
+    assert (quality.counts(texts) == want).all()
+
+
+def test_quality_votes_against_brute_force():
     rng = np.random.default_rng(3)
-    texts = pa.array(["abc def. " * int(n) if n % 2 else "ABC!! " * int(n) for n in rng.integers(1, 40, 80)])
-    labels = np.array([float(t.startswith("a")) for t in texts.to_pylist()])
-    s = quality.Space(*quality.shape_counts(texts), labels)
-    v = s.project(80, *quality.shape_counts(texts))
+    texts = pa.array([" ".join(rng.choice(["abc", "def", "ghi", "jkl"] if n % 2 else ["BUY!!", "now", "sale", "abc"], int(n))) for n in rng.integers(1, 40, 300)])
+    labels = np.array([float("sale" not in t) for t in texts.to_pylist()])
+    s = quality.Space(quality.counts(texts), labels)
+    v = s.project(quality.counts(texts))
     assert np.allclose(v, s.vectors, atol=1e-4)
     got = s.score(v, neighbours=7)
-    for i in (0, 13, 50):
-        cos = s.vectors @ v[i]
-        near = np.sort(cos)[-7:]
-        assert abs(got[i] - labels[i]) < 0.01 and near[-1] > 0.99
+    for i in range(300):
+        cos = [round(float(np.dot(s.vectors[j].astype(float), v[i])), quality.DIGITS) for j in range(300)]
+        near = sorted(range(300), key=lambda j: (-cos[j], j))[:7]
+        w = [max(cos[j], 0) ** quality.POWER for j in near]
+        assert abs(got[i] - sum(a * labels[j] for a, j in zip(w, near)) / sum(w)) < 1e-3
+    zero = s.score(np.zeros((1, v.shape[1]), np.float32))
+    assert zero[0] == pytest.approx(labels.mean())
+
+
+def test_quality_over_the_table_against_brute_force(spark, sf):
+    """Every score of the query, from the operator's space by a loop over the labelled vectors."""
+    d, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    s = quality.fit(d, marks)
+    rows = d.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["score"] for r in queries.op3_quality(spark, sf).collect()}
+    for r in rows:
+        v = s.project(quality.counts(pa.array([r["text"]], pa.string())))[0]
+        cos = np.rint((s.vectors @ v).astype(float) * 10**quality.DIGITS)
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[: quality.NEIGHBOURS]
+        w = [(max(cos[j], 0) / 10**quality.DIGITS) ** quality.POWER for j in near]
+        want = sum(a * s.labels[j] for a, j in zip(w, near)) / sum(w) if sum(w) else s.prior
+        assert abs(got[r["doc_id"]] - want) < 0.05
+
+
+def test_null_and_repeated_ids_do_not_fill_the_samples(spark):
+    rows = [(None, f"null id {i} with words") for i in range(400)] + [(1, "a repeated row of words")] * 400 + [(i, f"text number {i}") for i in range(2, 30)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in [1] * 50 + list(range(2, 30))] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    s = quality.fit(docs(spark, rows), marks, sample_docs=10)
+    assert len(s.labels) == 10
+    d = docs(spark, rows)
+    learned = []
+    keep = language.Model
+    try:
+        language.Model = lambda refs, *a: learned.append(refs) or keep(refs, *a)
+        language.fit(d, sample_docs=20)
+    finally:
+        language.Model = keep
+    assert 1 <= len(learned[0]["en"]) <= 60
+
+
+def test_predictions_under_clashing_names(spark):
+    d = docs(spark).withColumns({"lang_pred": language.F.lit(7), "Quality_Score": language.F.lit("q")})
+    marks = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (8, 1, None)], "doc_id long, quality int, toxic int")
+    a = language.predict(d, language.fit(d), d.columns, "found", "how_sure")
+    b = quality.predict(d, quality.fit(d, marks), d.columns, "q2")
+    assert a.columns == [*d.columns, "found", "how_sure"] and b.columns == [*d.columns, "q2"]
+    assert {(r["lang_pred"], r["Quality_Score"]) for r in a.collect()} == {(7, "q")} and b.count() == d.count()
+
+
+def test_language_of_other_scripts(spark):
+    base = {"zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳", "ja": "いろはにほへとちりぬるをわかよたれそつねならむうゐのおくやまけふこえて", "en": "the quick brown fox jumps over the lazy dog and runs away", "ru": "съешь же ещё этих мягких французских булок да выпей чаю"}
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, t in base.items():
+        for _ in range(40):
+            cut = sorted(rng.integers(0, len(t), 2))
+            rows.append((len(rows), t[cut[0] : cut[1]] + " " + t, k))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(d).collect()}
+    assert all(got[i]["lang_pred"] == k and got[i]["score"] > 0.6 for i, _, k in rows)
+
+
+def test_choice_of_whole_texts():
+    assert language.choose([5, 0, 9, 3, 2], 10) == [0, 3, 4]
+    assert language.choose([50, 0, 20], 10) == [2] and language.choose([0], 10) == [] and language.choose([], 10) == []
 
 
 def test_quality_cases(spark):
@@ -145,6 +231,63 @@ def test_page_text_cases(spark):
     assert extract.main_text(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="site has-sidebar"><article><p>Main text.</p></article></div>', "Main text."),
+        ('<div class="sidebar"><article><p>Only text.</p></article></div>', "Only text."),
+        ('<article><div class="post-header"><h1>Head</h1></div><p>Body</p></article>', "Head Body"),
+        ('<article><section id="discussion"><p>Results are discussed.</p></section></article>', "Results are discussed."),
+        ('<article class="x"><div class="content no-comments"><p>Kept</p></div><div class="article-comments"><p>gone</p></div></article>', "Kept"),
+        ('<article><p>Long main text of the page.</p></article><article><h2><a href="/x">Teaser of another story</a></h2></article>', "Long main text of the page."),
+        ('<aside><article><p>teaser</p></article></aside><main><p>Main</p><div class="cookie-banner">ok?</div><div role="navigation">n</div></main>', "Main"),
+        ('<div class="related"><article><p>Other story</p></article></div><article><p>This story</p></article>', "This story"),
+        ("<article><p>a <span hidden>b</span><a href=x>c</a> d</p></article>", "a c d"),
+        ("<article><p>one</p><div class=ad>buy</div><p>two</p>" + "<p>x</p>" * 3, "one two x x x"),
+    ],
+)
+def test_page_structure(html, want):
+    marked, rest, _ = extract.blocks(html)
+    assert " ".join(marked or rest) == want
+
+
+def suffix_array_cover(streams, run, pages):
+    """Which words lie in substrings of ``run`` words or more that stand on ``pages`` streams: a plain
+    sorted suffix array over all streams, with longest common prefixes of neighbours."""
+    suffixes = sorted((s[i:], n, i) for n, s in enumerate(streams) for i in range(len(s)))
+    covered = [set() for _ in streams]
+    lcp = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    group = []
+    for k, one in enumerate([*suffixes, ([], -1, 0)]):
+        if group and lcp(group[-1][0], one[0]) < run:
+            if len({n for _, n, _ in group}) >= pages:
+                for _, n, i in group:
+                    covered[n].update(range(i, i + run))
+            group = []
+        group.append(one)
+    return covered
+
+
+def test_repeats_against_a_suffix_array(spark):
+    rng = np.random.default_rng(8)
+    parts = [[f"p{k}_{j}" for j in range(int(rng.integers(7, 22)))] for k in range(6)]
+    pages = []
+    for n in range(14):
+        words = []
+        for _ in range(int(rng.integers(1, 6))):
+            words += parts[rng.integers(0, 6)] if rng.random() < 0.6 else [f"u{rng.integers(0, 30)}" for _ in range(int(rng.integers(1, 6)))]
+        pages.append(words)
+    pages = [list(x) for x in dict.fromkeys(map(tuple, pages))]
+    rows = [(n, "http://one.net/", "<p>" + " ".join(w) + "</p>") for n, w in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    covered = suffix_array_cover(pages, extract.RUN, extract.PAGES)
+    # a text shorter than a window is one window of its own
+    short = collections.Counter(tuple(w) for w in pages if len(w) < extract.RUN)
+    assert not [s for s, n in short.items() if n >= extract.PAGES]
+    assert got == {n: " ".join(x for i, x in enumerate(w) if i not in covered[n]) for n, w in enumerate(pages)}
+    assert any(covered) and any(got.values())
+
+
 def test_host_repeats_leave_unique_runs(spark):
     menu = "welcome to the portal of all things that you may ever want to read today and tomorrow"
     own = [" ".join(f"u{i}_{j}" for j in range(30)) for i in range(5)]

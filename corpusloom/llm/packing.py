@@ -6,14 +6,17 @@ the pieces in parallel.
 
 The plan starts from best-fit decreasing over *groups*, sets of bins with equal contents: all
 documents of a length go at once into the groups with the least room that still fits them.  A
-local search then works on the underfull bins: it takes a bin that is as empty as any and moves
-a document into a fuller one, exchanges one document for a smaller one there, or two for one.
-Each step moves tokens from an emptier to a fuller bin, so the sum of squared fills rises and the
-search ends; bins that run empty are saved.  It stops at the lower bound ``ceil(tokens / SIZE)``.
+local search then works on the underfull bins: from the emptiest bin on, it looks for the exchange
+with any bin at least as full that raises the sum of squared fills most: a document or two moved
+over, one exchanged for a smaller one there, or two for one.  Bins that run empty are saved.  The search
+ends at the lower bound ``ceil(tokens / SIZE)``, when no exchange of any bin is left, or when it has
+converged: ``WINDOW`` exchanges in a row saved less than ``LEAST_GAIN`` of the bins.
 
 Defined results: a null text is empty and gives one piece, the separator; longer documents than
-``SIZE`` are cut, all others stay whole; repeated rows are packed as often as they occur; an empty
-table gives an empty result; further columns are ignored.
+``SIZE`` are cut, all others stay whole; repeated rows are packed as often as they occur, also those of a
+null id; pieces of equal length are told apart by id, place and checksum, and rows equal in all of these are
+interchangeable; an empty table gives an empty result; further columns are ignored.  A very long text is
+encoded in spans; its ids must fit a task.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from .token_output import _with_end
 SIZE = 2048
 SEPARATOR = 0
 RANK_ROWS = 1_000
-SEARCH_STEPS = 4000
+WINDOW = 1000
+LEAST_GAIN = 0.0005
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Bin = tuple[int, ...]
@@ -86,58 +90,91 @@ def _without(contents: Bin, *items: int) -> list[int]:
     return rest
 
 
-def _step(groups: dict[Bin, int], fills: dict[Bin, int], size: int):
-    """The best single exchange out of one of the emptiest bins: ``(from, to, new from, new to)``."""
-    under = sorted((g for g in groups if fills[g] < size), key=lambda g: (fills[g], g))
-    for source in under[:8]:
-        best = None
-        singles = sorted(set(source), reverse=True)
-        pairs = sorted({(a, b) for i, a in enumerate(source) for b in source[i + 1 :]}, key=sum, reverse=True)[:64]
-        for target in under:
-            if target == source and groups[source] < 2 or fills[target] < fills[source]:
-                continue
-            room = size - fills[target]
-            choices = [((a,), ()) for a in singles if a <= room][:1]
-            inside = sorted(set(target))
-            for given in [(a,) for a in singles] + pairs:
-                s = sum(given)
-                at = bisect.bisect_left(inside, s - room)
-                if at < len(inside) and inside[at] < s:
-                    choices.append((given, (inside[at],)))
-            for given, taken in choices:
-                moved = sum(given) - sum(taken)
-                gain = (fills[target] + moved) ** 2 + (fills[source] - moved) ** 2 - fills[target] ** 2 - fills[source] ** 2
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = gain, target, given, taken
-        if best:
-            _, target, given, taken = best
-            as_bin = lambda x: tuple(sorted(x, reverse=True))
-            return source, target, as_bin([*_without(source, *given), *taken]), as_bin([*_without(target, *taken), *given])
-    return None
-
-
-def local_search(bins: Counter[Bin], size: int = SIZE, steps: int = SEARCH_STEPS) -> Counter[Bin]:
+def _as_bin(contents) -> Bin:
+    return tuple(sorted(contents, reverse=True))
+
+
+class _Underfull:
+    """All underfull groups as rows ``(taken, room)``: what an exchange may take from a bin, 0 for nothing."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.taken, self.room, self.owner = (np.zeros(64, np.int64) for _ in range(3))
+        self.rows: dict[Bin, list[int]] = {}
+        self.names: dict[int, Bin] = {}
+        self.free: list[int] = list(range(63, -1, -1))
+
+    def add(self, contents: Bin) -> None:
+        room, own = self.size - sum(contents), []
+        if room:
+            for x in [0, *sorted(set(contents))]:
+                if not self.free:
+                    n = len(self.taken)
+                    self.free = list(range(2 * n - 1, n - 1, -1))
+                    self.taken, self.room, self.owner = (np.concatenate([c, np.zeros(n, np.int64)]) for c in (self.taken, self.room, self.owner))
+                row = self.free.pop()
+                self.taken[row], self.room[row], self.owner[row] = x, room, own[0] if own else row
+                own.append(row)
+            self.rows[contents], self.names[own[0]] = own, contents
+
+    def drop(self, contents: Bin) -> None:
+        own = self.rows.pop(contents, [])
+        if own:
+            self.room[own] = 0
+            self.free += own
+            del self.names[own[0]]
+
+    def best(self, groups: dict[Bin, int]) -> tuple[Bin, Bin, Bin, Bin] | None:
+        """The best exchange out of the emptiest bin that has one: ``(from, to, new from, new to)``."""
+        for source in sorted(self.rows, key=lambda g: (sum(g), g)):
+            limit = self.size - sum(source)
+            given: dict[int, tuple] = {}
+            for i, x in enumerate(source):
+                given.setdefault(x, (x,))
+                for y in source[i + 1 :]:
+                    given.setdefault(x + y, (x, y))
+            ok = (self.room > 0) & (self.room <= limit)
+            if groups[source] < 2:
+                ok[self.rows[source]] = False
+            to = np.flatnonzero(ok)
+            moved = np.array(list(given), np.int64)[:, None] - self.taken[to]
+            gain = np.where((moved > 0) & (moved <= self.room[to]), moved * (limit - self.room[to] + moved), 0)
+            if gain.size and (at := int(gain.argmax())) >= 0 and gain.flat[at] > 0:
+                row = to[at % len(to)]
+                out, target = given[list(given)[at // len(to)]], self.names[int(self.owner[row])]
+                back = (int(self.taken[row]),) if self.taken[row] else ()
+                return source, target, _as_bin([*_without(source, *out), *back]), _as_bin([*_without(target, *back), *out])
+        return None
+
+
+def local_search(bins: Counter[Bin], size: int = SIZE) -> Counter[Bin]:
     """Exchange documents between underfull bins until bins run empty; groups move together."""
     groups: dict[Bin, int] = {}
     for contents, n in bins.items():
-        key = tuple(sorted(contents, reverse=True))
-        groups[key] = groups.get(key, 0) + n
-    fills = {g: sum(g) for g in groups}
-    least = -(-sum(fills[g] * n for g, n in groups.items()) // size)
-    for _ in range(steps):
-        if sum(n for g, n in groups.items() if g) <= least:
-            break
-        found = _step(groups, fills, size)
-        if found is None:
-            break
+        groups[_as_bin(contents)] = groups.get(_as_bin(contents), 0) + n
+    under = _Underfull(size)
+    for g in groups:
+        under.add(g)
+    least = -(-sum(sum(g) * n for g, n in groups.items()) // size)
+    n_bins = before = sum(groups.values())
+    step = 0
+    while n_bins > least and (found := under.best(groups)):
         source, target, new_source, new_target = found
         k = groups[source] // 2 if source == target else min(groups[source], groups[target])
+        n_bins -= 0 if new_source else k
         for g, d in ((source, -k), (target, -k), (new_source, k), (new_target, k)):
             if g:
+                if g not in groups:
+                    under.add(g)
                 groups[g] = groups.get(g, 0) + d
-                fills[g] = sum(g)
                 if not groups[g]:
-                    del groups[g], fills[g]
+                    del groups[g]
+                    under.drop(g)
+        step += 1
+        if step % WINDOW == 0:
+            if before - n_bins < LEAST_GAIN * before:
+                break
+            before = n_bins
     return Counter(groups)
 
 

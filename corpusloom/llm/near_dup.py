@@ -48,6 +48,7 @@ ROWS = 4
 SMALL = 32
 ESTIMATE = 0.55
 BLOCK = 64
+SALTS = 16
 MAX_CROWDS = 100_000  # main components of at most so many crowds are broadcast, 2 MB
 
 
@@ -137,6 +138,13 @@ def _open(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key, "size")
 
 
+def _join_salted(rows: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys`` on ``key``, the rows of each key dealt over ``SALTS`` tasks by their class."""
+    salt = F.pmod(F.xxhash64("cid"), F.lit(SALTS))
+    keys = keys.select(*keys.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return rows.withColumn("salt", salt).join(keys, [key, "salt"]).select(*columns)
+
+
 def prefixes(work: Scratch, crowd: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``s, cid, comp, n, rest, size``: the shingles by which classes of ``crowd(cid, comp)`` may be linked.
 
@@ -154,14 +162,14 @@ def prefixes(work: Scratch, crowd: DataFrame, texts: DataFrame, k: int) -> DataF
                 yield _batch(["cid", "comp", "n", "s"], part.column(0).take(own), part.column(1).take(own), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64)))
 
     rows = work.save(crowd.join(texts, "cid").select("cid", "comp", "text").mapInArrow(task, "cid long, comp long, n long, s long"), "crowd_shingles")
-    known = rows.join(_open(rows, "s"), "s")
+    known = _join_salted(rows, _open(rows, "s"), "s", [*rows.columns, "size"])
     mine = Window.partitionBy("cid")
     ranked = known.withColumn("rank", F.row_number().over(mine.orderBy("size", "s"))).withColumn("shared", F.count("*").over(mine))
     found = ranked.select("s", "cid", "comp", "n", (F.col("shared") - F.col("rank") + 1).alias("rest")).where(f"100 * rest >= {PERCENT} * n")
     found = work.save(found, "crowd_prefixes")
     least = found.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n0"), F.max("rest").alias("r1")).where("lo <> hi").select("s", "n0", "r1")
     partner = f"greatest(n0, ceil({PERCENT} * n / 100))"
-    found = found.join(least, "s").where(f"{100 + PERCENT} * least(rest, r1) >= {PERCENT} * (n + {partner})").select("s", "cid", "comp", "n", "rest")
+    found = _join_salted(found, least, "s", [*found.columns, "n0", "r1"]).where(f"{100 + PERCENT} * least(rest, r1) >= {PERCENT} * (n + {partner})").select("s", "cid", "comp", "n", "rest")
     found = work.save(found, "crowd_left")
     return found.join(_open(found, "s"), "s")
 
@@ -265,7 +273,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     comps = connected_components(links, "a", "b")
 
     spread = _with_component(large.select("bucket", "cid"), comps, "cid", "comp")
-    crowd = work.save(spread.join(_open(spread, "bucket"), "bucket", "left_semi").select("cid", "comp").distinct(), "crowd")
+    crowd = work.save(_join_salted(spread, _open(spread, "bucket"), "bucket", ["cid", "comp"]).distinct(), "crowd")
     if not crowd.isEmpty():
         left = work.save(prefixes(work, crowd, texts, k), "crowd_open")
         links = links.unionByName(work.save(confirm(_likely(_prefix_pairs(left), sigs), texts, k), "links3"))

@@ -19,16 +19,50 @@ from pyspark.sql import functions as F
 
 # fixed values: sections and ranks that are no people
 DEPARTMENTS = frozenset(
-    "redaktion folio geschichte history kultur culture feuilleton debatte debate wirtschaft economy sport politik politics international "
-    "inland domestic ausland foreign meinung opinion zuerich zurich schweiz switzerland visuals chefredaktor editor-in-chief ressortleiter "
-    "korrespondent correspondent reporter redaktor editor".split()
-) | {"section head"}
+    {
+        "redaktion",
+        "folio",
+        "geschichte",
+        "history",
+        "kultur",
+        "culture",
+        "feuilleton",
+        "debatte",
+        "debate",
+        "wirtschaft",
+        "economy",
+        "sport",
+        "politik",
+        "politics",
+        "international",
+        "inland",
+        "domestic",
+        "ausland",
+        "foreign",
+        "meinung",
+        "opinion",
+        "zuerich",
+        "zurich",
+        "schweiz",
+        "switzerland",
+        "visuals",
+        "chefredaktor",
+        "editor-in-chief",
+        "ressortleiter",
+        "korrespondent",
+        "correspondent",
+        "reporter",
+        "redaktor",
+        "editor",
+        "section head",
+    }
+)
 # fixed values: particles of family names
-PARTICLES = frozenset("von van de da di del der den du le la ten el al".split())
+PARTICLES = frozenset({"von", "van", "de", "da", "di", "del", "der", "den", "du", "le", "la", "ten", "el", "al"})
 # fixed values: words that tell a place
 PLACE_WORDS = ("gazastreifen", "gaza", "valley", "city", "town", "nördlicher", "südlicher", "östlicher", "westlicher", "nord", "süd", "ost", "west")
-PLACE_LINKS = frozenset("de da am on in bei an".split())
-PLACE_STARTS = frozenset("new tel san rio são los las el al saint st. bad".split())
+PLACE_LINKS = frozenset({"de", "da", "am", "on", "in", "bei", "an"})
+PLACE_STARTS = frozenset({"new", "tel", "san", "rio", "são", "los", "las", "el", "al", "saint", "st.", "bad"})
 
 PERSON = "first_name string, middle_name string, last_name string, location string, department string, name string, original string"
 _SPLIT = re.compile(r"[,;]|\s+und\s+|\s+and\s+", re.I)

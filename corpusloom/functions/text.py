@@ -144,15 +144,65 @@ def split_byline(c: Name) -> Column:
     return F.filter(F.transform(F.split(bare, r"(?i)[,;]|\s+und\s+"), strip), lambda x: F.length(x) > 1)
 
 
-# fixed values: first words that are places or ranks in run-together names
-FIRST_PLACES = ["Berlin", "Brüssel", "London", "Moskau", "Paris", "Peking", "Rom", "Wien", "Washington", "Bern", "Genf", "Zürich", "Chefredaktor", "Korrespondent", "Redaktor", "Ressortleiter"]
-
-
-def split_joined_name(c: Name) -> Column:
+# fixed values: places, sections and ranks that stand first in run-together names; ``{house}`` is the house's own name
+FIRST_PLACES = [
+    "Bundeshaus",
+    "Westschweiz",
+    "Berlin",
+    "Paris",
+    "London",
+    "Rom",
+    "Madrid",
+    "Wien",
+    "Warschau",
+    "Frankfurt",
+    "Brüssel",
+    "Tallinn",
+    "Tel Aviv",
+    "Moskau",
+    "Nairobi",
+    "Istanbul",
+    "Beirut",
+    "Mumbai",
+    "Bangkok",
+    "Taipeh",
+    "Peking",
+    "Tokio",
+    "Sydney",
+    "Washington",
+    "Chicago",
+    "Bahia",
+    "Rio de Janeiro",
+    "International",
+    "Geopolitics",
+    "Reisen",
+    "Reporter",
+    "Social Media",
+    "Audience Management",
+    "Produktionsredaktion",
+    "Art Director",
+    "Bildredaktion",
+    "Fotografen",
+    "Korrespondenten",
+    "Chefredaktor",
+    "Stellvertreter",
+    "Tagesleitung",
+    "Format",
+    "Community",
+    "Podcast",
+    "Management",
+    "Geschichte",
+    "{house}",
+    "Folio",
+]
+
+
+def split_joined_name(c: Name, house: str = "") -> Column:
     """A space where a small letter meets a capital; after a first place or rank, commas between words."""
+    first = [x.format(house=house).lower() for x in FIRST_PLACES if house or "{house}" not in x]
     spaced = strip(F.regexp_replace(_c(c), "([a-zäöüß])([A-ZÄÖÜ])", "$1 $2"))
     words = F.split(spaced, r"\s+")
-    return F.when((F.size(words) > 1) & F.lower(words[0]).isin([x.lower() for x in FIRST_PLACES]), F.array_join(words, ", ")).otherwise(spaced)
+    return F.when((F.size(words) > 1) & F.lower(words[0]).isin(first), F.array_join(words, ", ")).otherwise(spaced)
 
 
 def clean_report_author(c: Name) -> Column:

@@ -22,9 +22,33 @@ LISTS = ("authors", "department", "location")
 NO_PLACES = ["text", "bilder", "illustrationen", "grafik", "interview", "infografik", "fotos", "grafiken", "videos", "photos", "mitarbeit", "illustration", "video", "texte", "mountain view", "infografiken"]
 # fixed values: country codes
 COUNTRIES = {"fr": "France"}
-# fixed values: departments that stand among people or places
-OWN_DEPARTMENTS = ["Bildredaktion", "Feuilletonredaktion", "Die Kulturredaktion", "Kulturredaktion", "Feuilleton-Redaktion"]
-HOUSE_DEPARTMENTS = ["-Bildredaktion", "-Inlandredaktion", "-Feuilletonredaktion", " Redaktion", " Content Creation", "-Nachrichtenredaktion", " Bildredaktion", "-Sportredaktion", "-Wirtschaftsredaktion", "-Visuals", "-Auslandredaktion"]
+# fixed values: departments that stand among people; ``{house}`` is the house's own name, a parameter
+DEPARTMENT_TERMS = [
+    "{house}-Bildredaktion",
+    "Feuilletonredaktion",
+    "{house}-Inlandredaktion",
+    "{house}-Feuilletonredaktion",
+    "{house} Redaktion",
+    "{house} Content Creation",
+    "Die Kulturredaktion",
+    "{house}-Nachrichtenredaktion",
+    "Kulturredaktion",
+    "{house} Bildredaktion",
+    "Bildredaktion",
+    "{house}-Sportredaktion",
+    "{house}-Wirtschaftsredaktion",
+    "{house}-Visuals",
+    "{house}-Auslandredaktion",
+    "Feuilleton-Redaktion",
+]
+# fixed values: departments and people that stand among places
+PLACE_DEPARTMENTS = ["Bildredaktion", "{house}-Sportredaktion"]
+PLACE_PEOPLE = ["Michael von Ledebur", "Nadine A.", "Gioia da Silva"]
+
+
+def _of_house(terms: list[str], house: str) -> list[str]:
+    """The terms with the house's name; without one, those that need none."""
+    return [x.format(house=house) for x in terms if house or "{house}" not in x]
 
 
 def _list(c: str | Column) -> Column:
@@ -54,7 +78,7 @@ def _append(own: Column, found: Column) -> Column:
 
 
 def departments_of(house: str) -> list[str]:
-    return OWN_DEPARTMENTS + [house + x for x in HOUSE_DEPARTMENTS]
+    return _of_house(DEPARTMENT_TERMS, house)
 
 
 def stage01_authors(old: DataFrame, raw: DataFrame) -> DataFrame:
@@ -116,9 +140,10 @@ def stage05_refine(articles: DataFrame, gazetteer: frozenset[str] = frozenset(),
     return articles.withColumns({c: F.when(touched, _none_if_empty(v)).otherwise(F.col(c)) for c, v in new.items()})
 
 
-def stage06_locations(articles: DataFrame, house: str = "", to_authors: list[str] = (), to_departments: list[str] | None = None) -> DataFrame:
+def stage06_locations(articles: DataFrame, house: str = "", to_authors: list[str] | None = None, to_departments: list[str] | None = None) -> DataFrame:
     """Places without commas around them and junk; departments and people among them move."""
-    depts = ["Bildredaktion", f"{house}-Sportredaktion"] if to_departments is None else to_departments
+    depts = _of_house(PLACE_DEPARTMENTS, house) if to_departments is None else to_departments
+    to_authors = PLACE_PEOPLE if to_authors is None else to_authors
     bare = F.filter(F.transform(_list("location"), lambda x: T.strip(F.btrim(T.strip(x), F.lit(",")))), lambda x: x.isNotNull() & (x != ""))
     articles, bare = articles.withColumn("_bare", bare), F.col("_bare")
     junk, dept, person = _among(NO_PLACES), _among(depts), _among(to_authors)

@@ -168,9 +168,13 @@ def split_byline(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", F.array_join(T.split_byline(F.concat("c_name", F.lit(" (x)  und "), "c_mktsegment", F.lit("; zz, y"))), "|").alias("v"))
 
 
-@query("b18_split_joined_name", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Anna Muster' ELSE 'Berlin, Anna, Muster' END AS v FROM customer")
+FIRST_WORDS = "['Bundeshaus', 'Westschweiz', 'Berlin', 'Paris', 'London', 'Rom', 'Madrid', 'Wien', 'Warschau', 'Frankfurt', 'Brüssel', 'Tallinn', 'Moskau', 'Nairobi', 'Istanbul', 'Beirut', 'Mumbai', 'Bangkok', 'Taipeh', 'Peking', 'Tokio', 'Sydney', 'Washington', 'Chicago', 'Bahia', 'International', 'Geopolitics', 'Reisen', 'Reporter', 'Produktionsredaktion', 'Bildredaktion', 'Fotografen', 'Korrespondenten', 'Chefredaktor', 'Stellvertreter', 'Tagesleitung', 'Format', 'Community', 'Podcast', 'Management', 'Geschichte', 'Kurier', 'Folio', 'Bern', 'Genf', 'Tel', 'Rio', 'Redaktor']"
+
+
+@query("b18_split_joined_name", f"SELECT c_custkey, CASE WHEN c_custkey % 49 = 48 THEN 'Anna Muster' WHEN c_custkey % 49 < 43 THEN w || ', Anna, Muster' ELSE w || ' Anna Muster' END AS v FROM (SELECT c_custkey, {FIRST_WORDS}[c_custkey % 49 + 1] AS w FROM customer)")
 def split_joined_name(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", T.split_joined_name(F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'AnnaMuster' ELSE 'BerlinAnna Muster' END")).alias("v"))
+    w = F.expr("CASE WHEN c_custkey % 49 = 48 THEN 'AnnaMuster' ELSE array" + FIRST_WORDS.replace("[", "(").replace("]", ")") + "[CAST(least(c_custkey % 49, 47) AS INT)] || 'AnnaMuster' END")
+    return _t(spark, sf, "customer").select("c_custkey", T.split_joined_name(w, HOUSE).alias("v"))
 
 
 @query("b19_valid_pages", "SELECT doc_id FROM documents WHERE length(trim(text, E' \\n\\t\\r')) >= 50")
@@ -360,3 +364,63 @@ def stage15(spark, sf):
     people = spark.createDataFrame([(1, None, "Ben.", None, None, None, 0), (2, "7", "Benedikt Beispiel", None, None, None, 1), (3, None, "Anna Muster", None, None, None, 1)], kind)
     a = _one_list(spark, sf, "array(CASE WHEN o_orderkey % 2 = 0 THEN 'Ben.' ELSE 'Anna Muster' END, 'Benedikt Beispiel')")
     return stages.stage15_merge_prefixes(a, people)[0].select("article_id", F.array_join("authors", "|").alias("authors"))
+
+
+# --- bylines and pages of varied make ---------------------------------------------------------
+
+#: two names and a place from letters of the key, in eight forms of byline
+NAMED = """SELECT p_partkey, upper(substr(a, 1, 1)) || substr(a, 2) AS a, upper(substr(b, 1, 1)) || substr(b, 2) AS b, upper(substr(c, 1, 1)) || substr(c, 2) AS c, p_partkey % 9 AS k
+FROM (SELECT p_partkey, translate(CAST(p_partkey * 7 + 11 AS VARCHAR(20)), '0123456789', 'aoeiubcrsm') || 'on' AS a, translate(CAST(p_partkey * 13 + 5 AS VARCHAR(20)), '0123456789', 'kilmanpeto') || 'er' AS b, translate(CAST(p_partkey * 3 + 100 AS VARCHAR(20)), '0123456789', 'sbaretolni') || 'dorf' AS c FROM part)"""
+
+
+@query("k_varied_bylines", f"""SELECT p_partkey, CASE k WHEN 0 THEN a || ' ' || b || '@/' WHEN 1 THEN a || ' ' || b || '@/|' || c || ' von ' || a || '@/' WHEN 2 THEN a || ' ' || b || '@' || c || '/'
+WHEN 3 THEN a || ' ' || b || '@/Kultur' WHEN 4 THEN a || ' ' || b || '@/' WHEN 5 THEN a || ' B. ' || c || '@/' WHEN 6 THEN a || ' van der ' || b || '@/'
+WHEN 7 THEN a || ' ' || b || '@/Wirtschaft|' || c || ' ' || a || '@/Sport' ELSE a || ' ' || b || '@/|' || b || ' ' || c || '@/|' || c || ' ' || a || '@/' END AS v FROM ({NAMED})""")
+def varied_bylines(spark, sf):
+    """A byline of its own for every part: forms of one, two and three people, with places and departments."""
+    _t(spark, sf, "part").createOrReplaceTempView("_parts")
+    p = spark.sql(NAMED.replace("FROM part)", "FROM _parts)").replace("VARCHAR(20)", "STRING"))
+    line = F.expr("CASE k WHEN 0 THEN a || ' ' || b WHEN 1 THEN a || ' ' || b || ' und ' || c || ' von ' || a WHEN 2 THEN a || ' ' || b || ', ' || c WHEN 3 THEN 'Kultur ' || a || ' ' || b WHEN 4 THEN 'Von ' || a || ' ' || b WHEN 5 THEN a || ' B. ' || c WHEN 6 THEN a || ' van der ' || b WHEN 7 THEN 'Wirtschaft, ' || a || ' ' || b || ', Sport, ' || c || ' ' || a ELSE a || ' ' || b || ', ' || b || ' ' || c || ' und ' || c || ' ' || a END")
+    found = byline.parse_bylines(p.select("p_partkey", line.alias("author")), "author")
+    none = F.lit("")
+    return found.select("p_partkey", F.array_join(F.transform("people", lambda x: F.concat(x["name"], F.lit("@"), F.coalesce(x["location"], none), F.lit("/"), F.coalesce(x["department"], none))), "|").alias("v"))
+
+
+@query("b15_listing_links", "SELECT s_suppkey AS page, CAST(s_suppkey + 1 AS VARCHAR) AS id, 'https://b.org/x/eins-ld.' || (s_suppkey + 1) AS url, 'Eins ' || s_name AS title, CAST('2024-05-01 10:00:00' AS TIMESTAMP) AS date FROM supplier UNION ALL SELECT s_suppkey, CAST(s_suppkey + 2 AS VARCHAR), 'https://b.org/x/zwei-ld.' || (s_suppkey + 2), 'Kopf', NULL FROM supplier UNION ALL SELECT s_suppkey, CAST(s_suppkey + 3 AS VARCHAR), 'https://b.org/x/drei-ld.' || (s_suppkey + 3), 'Drei', NULL FROM supplier UNION ALL SELECT s_suppkey, 'no-id', 'https://b.org/no-id', 'x', NULL FROM supplier")
+def listing_links(spark, sf):
+    """Teasers: a marked title and a date, a heading, plain links; links and ids seen before are left out."""
+    line = """'<article><a href="/x/eins-ld.' || (s_suppkey + 1) || '">a</a><span class="chartbeat-teaser-title x">Eins ' || s_name || '</span><time datetime="2024-05-01T10:00:00"></time></article>' ||
+'<article><h2>Kopf</h2><a href="/x/zwei-ld.' || (s_suppkey + 2) || '">Zwei</a></article><article><a href="/x/zwei-ld.' || (s_suppkey + 2) || '">again</a></article>' ||
+'<article><a href="/y/other-ld.' || (s_suppkey + 2) || '">same id</a></article><article><p>no link</p></article><article><a href="/no-id">x</a></article><article><a href="https://b.org/x/drei-ld.' || (s_suppkey + 3) || '">Drei</a></article>'"""
+    d = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.expr(line).alias("html"))
+    return P.listing_links(d, "html", "page", "https://b.org").select("page", "id", "url", "title", "date")
+
+
+@query("b15_index_links", "SELECT s_suppkey AS page, 'https://www.b.org/politik/' || s_suppkey || '-eins' AS url, 'Ein langer Titel ' || s_name AS title FROM supplier UNION ALL SELECT s_suppkey, 'https://www.b.org/sport/zwei', 'Titel im Kopf daneben' FROM supplier UNION ALL SELECT s_suppkey, 'https://www.b.org/sport/kurz', 'Titel im Kopf daneben' FROM supplier")
+def index_links(spark, sf):
+    line = """'<a href="/politik/' || s_suppkey || '-eins">Ein langer Titel ' || s_name || '</a><a href="/politik/' || s_suppkey || '-eins">Noch einmal derselbe</a><a href="/politik/index">Kein Artikel, nur Index</a><a href="#x">Sprung auf dieser Seite</a>' ||
+'<p><a href="/sport/kurz">kurz</a></p><div><h3>Titel im Kopf daneben</h3><p><a href="/sport/zwei">mehr</a></p></div><a href="https://c.org/politik/anderswo">Ein Titel auf anderer Seite</a><a href="/ueber/uns-alle">Kein Ressort im Pfad</a>'"""
+    d = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.concat(F.lit("<body><section>"), F.expr(line), F.lit("</section></body>")).alias("html"))
+    return P.index_links(d, "html", "page", "https://www.b.org", "b.org").select("page", "url", "title")
+
+
+@query("b_metadata", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name ELSE 'Seite ' || s_suppkey END AS title, CASE s_suppkey % 4 WHEN 0 THEN 'Text von ' || s_name ELSE 'Inhalt' END AS content,
+CASE s_suppkey % 4 WHEN 0 THEN '2024-05-01T10:00:00+00:00' WHEN 1 THEN '2024-03-05T14:30:00' WHEN 2 THEN '2023-12-24T00:00:00' ELSE NULL END AS published,
+CASE s_suppkey % 4 WHEN 0 THEN '2024-05-02T08:00:00' WHEN 1 THEN NULL WHEN 2 THEN '2024-01-01T00:00:00' ELSE NULL END AS updated,
+CASE s_suppkey % 4 WHEN 0 THEN 'Agentur ' || s_suppkey WHEN 1 THEN 'Anna Muster' WHEN 2 THEN 'Ben Beispiel' ELSE 'Reuters' END AS source FROM supplier""")
+def metadata(spark, sf):
+    """The second house's chains: times, texts of dates, metadata, sources by element, metadata and pattern."""
+    line = """CASE s_suppkey % 4
+WHEN 0 THEN '<h1 class="title">' || s_name || ' | Kurier</h1><time class="metadata__date" datetime="2024-05-01T10:00:00Z">x</time><meta property="article:modified_time" content="2024-05-02T08:00:00"><span class="metadata__source">Quelle: Agentur ' || s_suppkey || '</span><div class="content"><nav>nein</nav>Text von ' || s_name || '</div>'
+WHEN 1 THEN '<title>Seite ' || s_suppkey || '</title><span class="date">5. März 2024, 14:30 Uhr</span><div class="byline">Von Anna Muster</div><main>Inhalt<script>x</script></main>'
+WHEN 2 THEN '<h1>Seite ' || s_suppkey || '</h1><div class="date">24.12.2023</div><meta property="og:updated_time" content="2024-01-01T00:00:00"><meta name="author" content=" Ben Beispiel "><article>Inhalt</article>'
+ELSE '<h1>Seite ' || s_suppkey || '</h1><article>Inhalt</article><p>Reuters</p>' END"""
+    return P.extract_metadata(_t(spark, sf, "supplier").select("s_suppkey", F.expr(line).alias("html")), "html", ("Kurier",))
+
+
+@query("b13_author_links", "SELECT s_suppkey, '/impressum/a-ld.' || s_suppkey || '|/impressum/b-ld.7' AS links, 'news, ' || s_name AS tags, s_name AS byline, 'Kurz ' || s_suppkey AS description, 'Langer Text ' || repeat('wort ', 30) || 'ende' AS content FROM supplier")
+def author_links(spark, sf):
+    """All fields of a page of the first house in full."""
+    line = """'<meta name="news_keywords" content="news, Nachrichten, ' || s_name || '"><meta name="author" content="' || s_name || '"><meta name="description" content="Kurz ' || s_suppkey || '"><div class="article-content"><header>weg</header>Langer Text ' || repeat('wort ', 30) || 'ende</div><a href="/impressum/a-ld.' || s_suppkey || '">A</a><a href="/impressum/b-ld.7">B</a><a href="/x">C</a>'"""
+    f = P.extract_fields(_t(spark, sf, "supplier").select("s_suppkey", F.lit("https://b.org/x/y").alias("url"), F.expr(line).alias("html")), "html", "url")
+    return f.select("s_suppkey", F.array_join("author_links", "|").alias("links"), F.array_join("tags", ", ").alias("tags"), "byline", "description", "content")

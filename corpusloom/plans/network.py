@@ -1,7 +1,6 @@
-"""Network queries: orders stand for articles, parts or suppliers of large lines for their authors.
+"""Network queries: orders stand for articles, the parts or suppliers of their lines for authors.
 
-Every query has its SQL.  ``related`` is the next order of the same customer.  ``whole.py`` has the
-same queries over all lines.
+All lines count.  ``related`` is the next order of the same customer.
 """
 
 from __future__ import annotations
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import community, graph, metrics
 from ..operators.graph import Graph
 from ..scratch import Scratch
-from .registry import ALL_LINES, query
+from .registry import query
 
-#: the lines of a layer of their own (``ha_union_nodes``), not a thinner table
+#: large lines are a layer of their own in ``ha_union_nodes``
 HEAVY = 50
 
 # --- the graphs -----------------------------------------------------------------------------
@@ -24,9 +23,9 @@ def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def bylines(spark, sf, who: str, least: int) -> DataFrame:
+def bylines(spark, sf, who: str, least: int = 0) -> DataFrame:
     l = _t(spark, sf, "lineitem")
-    if not ALL_LINES.get() or least >= HEAVY:
+    if least:
         l = l.where(F.col("l_quantity") >= least)
     return l.select(F.col("l_orderkey").alias("i"), F.col(who).alias("x"))
 
@@ -36,21 +35,21 @@ def related(spark, sf) -> DataFrame:
     return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), nxt.alias("j")).where("j is not null")
 
 
-def network(spark, sf, who: str = "l_suppkey", least: int = 45) -> Graph:
+def network(spark, sf, who: str = "l_suppkey", least: int = 0) -> Graph:
     b = bylines(spark, sf, who, least)
     return Graph(b.select(F.col("x").alias("id")).distinct(), graph.coauthor_layer(b, "i", "x"))
 
 
-def related_network(spark, sf, who: str = "l_suppkey", least: int = 45) -> Graph:
+def related_network(spark, sf, who: str = "l_suppkey", least: int = 0) -> Graph:
     b = bylines(spark, sf, who, least)
     return Graph(b.select(F.col("x").alias("id")).distinct(), graph.related_layer(b, related(spark, sf), "i", "x", "i", "j"))
 
 
-def m_sql(who="l_suppkey", least=45):
-    return f"SELECT l_orderkey AS i, {who} AS x FROM lineitem WHERE l_quantity >= {least}"
+def m_sql(who="l_suppkey", least=0):
+    return f"SELECT l_orderkey AS i, {who} AS x FROM lineitem" + (f" WHERE l_quantity >= {least}" if least else "")
 
 
-def g_sql(who="l_suppkey", least=45):
+def g_sql(who="l_suppkey", least=0):
     """CTEs ``m`` bylines, ``n`` nodes, ``e`` edges, ``b`` both directions, ``dg`` degrees."""
     return f"""m AS ({m_sql(who, least)}), n AS (SELECT DISTINCT x AS id FROM m), dm AS (SELECT DISTINCT i, x FROM m),
 e AS (SELECT p.x AS src, q.x AS dst, count(*) AS weight FROM dm p JOIN dm q ON p.i = q.i AND p.x < q.x GROUP BY ALL),
@@ -61,7 +60,7 @@ dg AS (SELECT n.id, count(b.u) AS degree, CAST(COALESCE(sum(b.weight), 0) AS BIG
 RELATED_SQL = "(SELECT i, j FROM (SELECT o_orderkey AS i, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS j FROM orders) WHERE j IS NOT NULL)"
 
 
-def r_sql(who="l_suppkey", least=45):
+def r_sql(who="l_suppkey", least=0):
     """CTE ``re``: the related layer's edges (after ``m``)."""
     return f"""re AS (SELECT least(p.x, q.x) AS src, greatest(p.x, q.x) AS dst, count(*) AS weight
 FROM m p JOIN {RELATED_SQL} r ON r.i = p.i JOIN m q ON q.i = r.j WHERE p.x <> q.x GROUP BY ALL)"""
@@ -75,15 +74,15 @@ BFS = "bfs AS (SELECT id AS source, id, 0 AS dist FROM n UNION SELECT source, b.
 # --- building -------------------------------------------------------------------------------
 
 
-@query("coauthor_topk", f"WITH {g_sql('l_partkey', 40)}, k AS (SELECT id, strength FROM dg ORDER BY strength DESC, id LIMIT 10) SELECT id, strength, CAST(row_number() OVER (ORDER BY strength DESC, id) AS INTEGER) AS rank FROM k")
+@query("coauthor_topk", f"WITH {g_sql('l_partkey')}, k AS (SELECT id, strength FROM dg ORDER BY strength DESC, id LIMIT 10) SELECT id, strength, CAST(row_number() OVER (ORDER BY strength DESC, id) AS INTEGER) AS rank FROM k")
 def coauthor_topk(spark, sf):
-    g = network(spark, sf, "l_partkey", 40)
+    g = network(spark, sf, "l_partkey")
     return graph.top_k(g.degrees().select("id", "strength"), "strength", "id", 10)
 
 
-@query("d1_coauthor_edges", f"WITH {g_sql('l_partkey', 40)} SELECT * FROM e")
+@query("d1_coauthor_edges", f"WITH {g_sql('l_partkey')} SELECT * FROM e")
 def coauthor_edges(spark, sf):
-    return network(spark, sf, "l_partkey", 40).edges
+    return network(spark, sf, "l_partkey").edges
 
 
 @query("d2_related_edges", f"WITH m AS ({m_sql()}), {r_sql()} SELECT * FROM re")
@@ -133,7 +132,7 @@ def heavier_nodes(spark, sf):
     return network(spark, sf).heavier(1).nodes
 
 
-@query("e10_degrees", f"WITH {g_sql('l_partkey', 45)} SELECT * FROM dg")
+@query("e10_degrees", f"WITH {g_sql('l_partkey')} SELECT * FROM dg")
 def degrees(spark, sf):
     return network(spark, sf, "l_partkey").degrees()
 
@@ -161,28 +160,28 @@ def degree_profile(spark, sf):
 # --- components -----------------------------------------------------------------------------
 
 
-@query("l1_components", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH} SELECT * FROM comp")
+@query("l1_components", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH} SELECT * FROM comp")
 def components(spark, sf):
     return network(spark, sf, "l_partkey").components()
 
 
-@query("l2_largest_component", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH}, {LARGEST} SELECT e.* FROM e JOIN lc a ON a.id = e.src JOIN lc c ON c.id = e.dst")
+@query("l2_largest_component", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH}, {LARGEST} SELECT e.* FROM e JOIN lc a ON a.id = e.src JOIN lc c ON c.id = e.dst")
 def largest_component(spark, sf):
     return network(spark, sf, "l_partkey").largest_component().edges
 
 
-@query("hc_nodes_outside_largest", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH}, {LARGEST} SELECT id FROM n WHERE id NOT IN (SELECT id FROM lc)")
+@query("hc_nodes_outside_largest", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH}, {LARGEST} SELECT id FROM n WHERE id NOT IN (SELECT id FROM lc)")
 def outside_largest(spark, sf):
     g = network(spark, sf, "l_partkey")
     return g.nodes.join(g.largest_component().nodes, "id", "left_anti")
 
 
-@query("c12_highest_degree", f"WITH {g_sql('l_partkey', 45)} SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 1")
+@query("c12_highest_degree", f"WITH {g_sql('l_partkey')} SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 1")
 def highest_degree(spark, sf):
     return network(spark, sf, "l_partkey").degrees().select("id", "degree").orderBy(F.desc("degree"), "id").limit(1)
 
 
-@query("c12_component_of_node", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH} SELECT id FROM comp WHERE component = (SELECT component FROM comp JOIN (SELECT id FROM dg ORDER BY degree DESC, id LIMIT 1) USING (id))")
+@query("c12_component_of_node", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH} SELECT id FROM comp WHERE component = (SELECT component FROM comp JOIN (SELECT id FROM dg ORDER BY degree DESC, id LIMIT 1) USING (id))")
 def component_of_node(spark, sf):
     g = network(spark, sf, "l_partkey")
     c = g.components()
@@ -190,12 +189,12 @@ def component_of_node(spark, sf):
     return c.join(c.join(one, "id").select("component"), "component", "left_semi").select("id")
 
 
-@query("e14_component_sizes", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT size, count(*) AS components FROM s GROUP BY size ORDER BY size DESC LIMIT 10")
+@query("e14_component_sizes", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT size, count(*) AS components FROM s GROUP BY size ORDER BY size DESC LIMIT 10")
 def component_sizes(spark, sf):
     return metrics.size_summary(network(spark, sf, "l_partkey").components()).orderBy(F.desc("size")).limit(10)
 
 
-@query("g5_components_with_samples", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH}, r AS (SELECT component, id, row_number() OVER (PARTITION BY component ORDER BY id) AS k, count(*) OVER (PARTITION BY component) AS size FROM comp) SELECT component, size, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) AS sample FROM r WHERE k <= 5 GROUP BY component, size")
+@query("g5_components_with_samples", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH}, r AS (SELECT component, id, row_number() OVER (PARTITION BY component ORDER BY id) AS k, count(*) OVER (PARTITION BY component) AS size FROM comp) SELECT component, size, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) AS sample FROM r WHERE k <= 5 GROUP BY component, size")
 def components_with_samples(spark, sf):
     c = network(spark, sf, "l_partkey").components()
     k = F.row_number().over(Window.partitionBy("component").orderBy("id"))
@@ -206,21 +205,21 @@ def components_with_samples(spark, sf):
 # --- measures -------------------------------------------------------------------------------
 
 
-@query("e22_global_stats", f"WITH {g_sql('l_partkey', 45)} SELECT count(*) AS n_nodes, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, round(sum(degree) / (count(*) * (count(*) - 1)), 9) AS density, CAST(sum(CASE WHEN degree = 0 THEN 1 ELSE 0 END) AS BIGINT) AS isolated, round(sum(degree) / count(*), 9) AS avg_degree FROM dg")
+@query("e22_global_stats", f"WITH {g_sql('l_partkey')} SELECT count(*) AS n_nodes, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, round(sum(degree) / (count(*) * (count(*) - 1)), 9) AS density, CAST(sum(CASE WHEN degree = 0 THEN 1 ELSE 0 END) AS BIGINT) AS isolated, round(sum(degree) / count(*), 9) AS avg_degree FROM dg")
 def global_stats(spark, sf):
     return metrics.global_stats(network(spark, sf, "l_partkey"))
 
 
-@query("e13_degree_histogram", f"WITH {g_sql('l_partkey', 40)} SELECT degree, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM dg), 6) AS percent FROM dg GROUP BY degree ORDER BY degree DESC LIMIT 20")
+@query("e13_degree_histogram", f"WITH {g_sql('l_partkey')} SELECT degree, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM dg), 6) AS percent FROM dg GROUP BY degree ORDER BY degree DESC LIMIT 20")
 def degree_histogram(spark, sf):
-    d = network(spark, sf, "l_partkey", 40).degrees().groupBy("degree").agg(F.count("*").alias("n"))
+    d = network(spark, sf, "l_partkey").degrees().groupBy("degree").agg(F.count("*").alias("n"))
     total = d.agg(F.sum("n").alias("t"))
     return d.crossJoin(F.broadcast(total)).select("degree", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent")).orderBy(F.desc("degree")).limit(20)
 
 
-@query("e13_degree_summary", f"WITH {g_sql('l_partkey', 40)}, o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS k, count(*) OVER () AS n FROM dg) SELECT min(degree) AS min_degree, max(degree) AS max_degree, max(degree) FILTER (k = n // 2 + 1) AS median_degree FROM o")
+@query("e13_degree_summary", f"WITH {g_sql('l_partkey')}, o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS k, count(*) OVER () AS n FROM dg) SELECT min(degree) AS min_degree, max(degree) AS max_degree, max(degree) FILTER (k = n // 2 + 1) AS median_degree FROM o")
 def degree_summary(spark, sf):
-    d = network(spark, sf, "l_partkey", 40).degrees()
+    d = network(spark, sf, "l_partkey").degrees()
     return d.agg(F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree")).crossJoin(metrics.upper_median(d, "degree").withColumnRenamed("median", "median_degree"))
 
 
@@ -342,9 +341,9 @@ def top_degree_per_cluster(spark, sf):
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "id"))).where("rank <= 5").select("cluster", "id", "degree", "rank")
 
 
-@query("l21_assortativity", f"WITH {g_sql('l_partkey', 40)}, k AS (SELECT p.degree AS x, q.degree AS y, p.strength AS sx, q.strength AS sy FROM b JOIN dg p ON p.id = u JOIN dg q ON q.id = v) SELECT round(corr(x, y), 6) AS by_degree, round(corr(sx, sy), 6) AS by_strength FROM k")
+@query("l21_assortativity", f"WITH {g_sql('l_partkey')}, k AS (SELECT p.degree AS x, q.degree AS y, p.strength AS sx, q.strength AS sy FROM b JOIN dg p ON p.id = u JOIN dg q ON q.id = v) SELECT round(corr(x, y), 6) AS by_degree, round(corr(sx, sy), 6) AS by_strength FROM k")
 def assortativity(spark, sf):
-    g = network(spark, sf, "l_partkey", 40)
+    g = network(spark, sf, "l_partkey")
     a, b = metrics.degree_assortativity(g), metrics.degree_assortativity(g, weighted=True)
     return a.select(F.round("r", 6).alias("by_degree")).crossJoin(b.select(F.round("r", 6).alias("by_strength")))
 
@@ -387,7 +386,7 @@ def subgraph_centrality(spark, sf):
     return metrics.degree_centrality(g.induced(g.nodes.where("id % 4 in (1, 2)"))).select("id", F.round("score", 6).alias("score"))
 
 
-@query("l12_partition_extended", f"WITH RECURSIVE {g_sql('l_partkey', 45)}, {REACH}, {LARGEST} SELECT n.id, CASE WHEN lc.id IS NULL THEN -1 ELSE n.id % 3 END AS cluster FROM n LEFT JOIN lc USING (id)")
+@query("l12_partition_extended", f"WITH RECURSIVE {g_sql('l_partkey')}, {REACH}, {LARGEST} SELECT n.id, CASE WHEN lc.id IS NULL THEN -1 ELSE n.id % 3 END AS cluster FROM n LEFT JOIN lc USING (id)")
 def partition_extended(spark, sf):
     g = network(spark, sf, "l_partkey")
     part = g.largest_component().nodes.withColumn("cluster", F.col("id") % 3)
@@ -479,4 +478,9 @@ def small_world(spark, sf):
 
 @query("l25_null_model")
 def null_model(spark, sf):
-    return community.null_model(network(spark, sf), seed=42)
+    """The three layers of the random baseline."""
+    rows = None
+    for name, edges in community.null_layers(network(spark, sf), seed=42).items():
+        one = edges.withColumn("layer", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-#: true while a query over all lines is planned (``whole.py``): filters that only thin ``lineitem`` out are then left away
-ALL_LINES: ContextVar[bool] = ContextVar("all_lines", default=False)
 
 
 def query(name: str, sql: str | None = None):

@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as T
 from ..operators import report, resolve
-from .registry import ALL_LINES, query
+from .registry import query
 
 
 def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _lines(spark, sf, least):
-    l = _t(spark, sf, "lineitem")
-    return l if ALL_LINES.get() else l.where(F.col("l_quantity") >= least)
-
-
 # the same expressions in Spark and in DuckDB
 BLANKED = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"
 RELATED = "SELECT o_orderkey, o_custkey, lead(o_orderkey, 1) OVER w AS n1, lead(o_orderkey, 2) OVER w AS n2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -137,15 +132,8 @@ def author_by_alias(spark, sf):
     return resolve.first_match(k, forms).select("no", F.col("raw").alias("key"), "person")
 
 
-@query("c10_suspicious_bylines", "SELECT left(text, 40) AS byline, count(*) AS n FROM documents WHERE NOT contains(left(text, 40), ',') AND NOT contains(lower(left(text, 40)), ' und ') AND len(regexp_split_to_array(trim(left(text, 40), E' \\n\\t\\r'), '\\s+')) >= 4 GROUP BY 1")
+@query("c10_suspicious_bylines", "SELECT text AS byline, count(*) AS n FROM documents WHERE NOT contains(text, ',') AND NOT contains(lower(text), ' und ') AND len(regexp_split_to_array(trim(text, E' \\n\\t\\r'), '\\s+')) >= 4 GROUP BY 1")
 def suspicious_bylines(spark, sf):
-    d = _t(spark, sf, "documents").select(F.substring("text", 1, 40).alias("byline"))
-    return d.where(T.suspicious_byline("byline", [])).groupBy("byline").agg(F.count("*").alias("n"))
-
-
-@query("c10_suspicious_bylines_whole", "SELECT text AS byline, count(*) AS n FROM documents WHERE NOT contains(text, ',') AND NOT contains(lower(text), ' und ') AND len(regexp_split_to_array(trim(text, E' \\n\\t\\r'), '\\s+')) >= 4 GROUP BY 1")
-def suspicious_bylines_whole(spark, sf):
-    """Over whole texts; ``c10_suspicious_bylines`` sees their first 40 characters, as its SQL says."""
     d = _t(spark, sf, "documents").select(F.col("text").alias("byline"))
     return d.where(T.suspicious_byline("byline", [])).groupBy("byline").agg(F.count("*").alias("n"))
 
@@ -212,14 +200,14 @@ def prefix_names(spark, sf):
     return resolve.prefix_matches(_t(spark, sf, "part").select(F.expr("CASE WHEN p_partkey % 3 = 0 THEN substring(p_type, 1, 4) || '.' ELSE p_type END").alias("name")))
 
 
-@query("d12_propagated_people", "WITH a AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS id FROM lineitem WHERE l_quantity >= 48), v AS (SELECT a.id, o_orderpriority AS v, min(a.item) AS item FROM a JOIN orders ON o_orderkey = a.item GROUP BY ALL) SELECT s_suppkey AS id, s_name || COALESCE(string_agg(',' || v.v, '' ORDER BY v.item), '') AS vals FROM supplier LEFT JOIN v ON v.id = s_suppkey GROUP BY s_suppkey, s_name")
+@query("d12_propagated_people", "WITH a AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS id FROM lineitem), v AS (SELECT a.id, o_orderpriority AS v, min(a.item) AS item FROM a JOIN orders ON o_orderkey = a.item GROUP BY ALL) SELECT s_suppkey AS id, s_name || COALESCE(string_agg(',' || v.v, '' ORDER BY v.item), '') AS vals FROM supplier LEFT JOIN v ON v.id = s_suppkey GROUP BY s_suppkey, s_name")
 def propagated_people(spark, sf):
     items, people = _propagation(spark, sf)
     _, p = resolve.propagate(items, people, "item", "authors", "vals")
     return p.select("id", F.array_join("vals", ",").alias("vals"))
 
 
-@query("d12_propagated_items", "WITH a AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS id FROM lineitem WHERE l_quantity >= 48) SELECT a.item, o_orderpriority || string_agg(',' || s_name, '' ORDER BY s_name) AS vals FROM a JOIN supplier ON s_suppkey = a.id JOIN orders ON o_orderkey = a.item GROUP BY a.item, o_orderpriority")
+@query("d12_propagated_items", "WITH a AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS id FROM lineitem) SELECT a.item, o_orderpriority || string_agg(',' || s_name, '' ORDER BY s_name) AS vals FROM a JOIN supplier ON s_suppkey = a.id JOIN orders ON o_orderkey = a.item GROUP BY a.item, o_orderpriority")
 def propagated_items(spark, sf):
     items, people = _propagation(spark, sf)
     i, _ = resolve.propagate(items, people, "item", "authors", "vals")
@@ -227,7 +215,7 @@ def propagated_items(spark, sf):
 
 
 def _propagation(spark, sf):
-    l = _lines(spark, sf, 48).join(_t(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    l = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     items = l.groupBy(F.col("l_orderkey").alias("item")).agg(F.sort_array(F.collect_set("s_name")).alias("authors"))
     items = items.join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.array("o_orderpriority").alias("vals")), "item")
     people = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array("s_name").alias("vals"))
@@ -350,11 +338,11 @@ def per_day_stats(spark, sf):
     return report.per_day_stats(_t(spark, sf, "events"), "ts").withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
-BYLINES = f"b AS (SELECT l_suppkey AS author, {BLANKED} AS section FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 40)"
+BYLINES = f"b AS (SELECT l_suppkey AS author, {BLANKED} AS section FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def _bylines(spark, sf):
-    l = _lines(spark, sf, 40).select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("o_orderkey"))
+    l = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("o_orderkey"))
     return l.join(_orders(spark, sf).select("o_orderkey", "section"), "o_orderkey").select("author", "section")
 
 

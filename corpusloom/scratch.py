@@ -1,7 +1,8 @@
 """Scratch tables in the shared folder named by ``spark.checkpoint.dir``.
 
 Writing a table and reading it back cuts lineage, and what is read back survives the loss of any
-executor.  Where the setting is missing (tests), a temporary local folder is set instead.
+executor.  Where the setting is missing, a session in one process (``local[n]``, as in tests) gets a
+temporary folder; on a cluster, whose executors would not see one, that is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"

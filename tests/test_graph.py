@@ -83,7 +83,7 @@ def test_modularity(spark):
     g = make(spark, [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)])
     part = g.nodes.withColumn("cluster", (F.col("id") > 3).cast("int"))
     assert round(metrics.modularity(g, part).first()[0], 6) == 0.357143
-    for found in (community.louvain(g, 1), community.leiden(g, 1), community.greedy_modularity(g)):
+    for found in (community.louvain(g, 1), community.leiden(g, 1, objective="modularity"), community.greedy_modularity(g)):
         assert len({tuple(sorted(r["ids"])) for r in found.groupBy("cluster").agg(F.collect_list("id").alias("ids")).collect()} ^ {(1, 2, 3), (4, 5, 6)}) == 0
     assert community.label_propagation(g).count() == 6
 
@@ -147,3 +147,88 @@ def test_robustness(star):
     drop = star.nodes.where("id = 1")
     got = {r["metric"]: (r["before"], r["after"]) for r in community.robustness(star, drop, ["nodes", "edges", "components", "largest", "avg_path", "clustering"]).collect()}
     assert got["edges"] == (5.0, 0.0) and got["components"] == (1.0, 5.0) and got["largest"] == (6.0, 1.0)
+
+
+def connected(nodes, adj):
+    todo, seen = [min(nodes)], {min(nodes)}
+    while todo:
+        for v in adj.get(todo.pop(), ()):
+            if v in nodes and v not in seen:
+                seen.add(v)
+                todo.append(v)
+    return seen == set(nodes)
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        for k in range(len(rest)):
+            yield rest[:k] + [rest[k] + [items[0]]] + rest[k + 1 :]
+        yield rest + [[items[0]]]
+
+
+def potts(groups, edges, gamma=1.0):
+    where = {x: k for k, g in enumerate(groups) for x in g}
+    return sum(w for (a, b), w in edges.items() if where[a] == where[b]) - gamma * sum(len(g) * (len(g) - 1) / 2 for g in groups)
+
+
+def test_leiden_against_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for trial in range(25):
+        n = rng.randint(3, 7)
+        edges = {(a, b): rng.choice((1.0, 1.0, 2.0)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5}
+        adj = {i: {} for i in range(n)}
+        for (a, b), w in edges.items():
+            adj[a][b] = adj[b][a] = w
+        for gamma in (0.3, 1.0):
+            best = max(potts(p, edges, gamma) for p in partitions(list(range(n))))
+            scores = []
+            for seed in range(6):
+                got = community._leiden(list(range(n)), adj, seed, gamma, True)
+                groups = [[u for u in got if got[u] == c] for c in set(got.values())]
+                assert all(connected(set(g), adj) for g in groups)
+                scores.append(potts(groups, edges, gamma))
+            assert max(scores) == pytest.approx(best) and min(scores) >= -1e-9, (trial, gamma)
+
+
+def test_leiden_finds_planted_groups():
+    import random
+
+    rng = random.Random(1)
+    n = 60
+    adj = {i: {} for i in range(n)}
+    for a in range(n):
+        for b in range(a + 1, n):
+            if rng.random() < (0.6 if a % 3 == b % 3 else 0.02):
+                adj[a][b] = adj[b][a] = 1.0
+    for potts_model, gamma in ((True, 0.25), (False, 1.0)):
+        got = community._leiden(list(range(n)), adj, 42, gamma, potts_model)
+        assert len(set(got.values())) == 3 and all(got[a] == got[a % 3] for a in range(n))
+
+
+def test_ids_may_be_texts(spark):
+    names = ["Ada", "Bo", "Cy", "Di", "Ed", "Flo", "Gus"]
+    edges = [("Ada", "Bo", 1), ("Ada", "Cy", 1), ("Bo", "Cy", 1), ("Di", "Ed", 2), ("Di", "Flo", 2), ("Ed", "Flo", 2), ("Cy", "Di", 1)]
+    g = Graph(spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame(edges, "src string, dst string, weight long"))
+    got = {r["id"]: r["cluster"] for r in community.label_propagation(g).collect()}
+    assert got["Di"] == got["Ed"] == got["Flo"] and got["Ada"] == got["Bo"] == got["Cy"] and got["Gus"] == "Gus"
+    assert community.small_world(g, 3).count() == 1 and dict(community.random_graph(g, 2).edges.dtypes)["src"] == "string"
+    layers = community.null_layers(g, 5)
+    assert list(layers) == community.NULL_LAYERS and all(e.count() == 7 for e in layers.values())
+    assert layers["random_layer_citations"].collect() == community.null_model(g, 106).collect()
+    assert len({c["cluster"] for c in community.leiden(g, 1).collect()}) >= 3
+
+
+def test_labels_settle_on_awkward_graphs(spark):
+    for edges in ([(0, 1)], [(i, i + 1) for i in range(9)] + [(9, 0)], [(a, b) for a in range(4) for b in range(4, 8)]):
+        nodes = sorted({x for e in edges for x in e})
+        g = Graph(spark.createDataFrame([(x,) for x in nodes], "id long"), spark.createDataFrame([(*e, 1) for e in edges], "src long, dst long, weight long"))
+        got = {r["id"]: r["cluster"] for r in community.label_propagation(g).collect()}
+        near = {u: [b if a == u else a for a, b in edges if u in (a, b)] for u in nodes}
+        for u in nodes:
+            votes = [got[v] for v in near[u]]
+            assert votes.count(got[u]) == max(map(votes.count, votes))

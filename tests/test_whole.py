@@ -1,10 +1,9 @@
-"""Queries over whole tables, where others take a part of them."""
+"""Queries read their whole tables."""
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusloom.plans import whole
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events", "documents")
 
@@ -18,15 +17,14 @@ def rows_of_sql(sf, sql, cols):
 
 
 @pytest.mark.parametrize("name", ["d1_coauthor_edges", "l1_components", "l4_betweenness", "d12_propagated_people", "e4_author_sections"])
-def test_all_lines_match_sql_without_the_filter(spark, sf, name):
-    got = entry.queries()[name + whole.SUFFIX](spark, sf)
+def test_queries_over_all_lines_match_their_sql(spark, sf, name):
+    got = entry.queries()[name](spark, sf)
     cols = sorted(got.columns)
-    assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == rows_of_sql(sf, whole.THIN.sub("", entry.oracle_sql()[name]), cols)
+    assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == rows_of_sql(sf, entry.oracle_sql()[name], cols)
 
 
-def test_every_thinned_query_has_its_counterpart(spark, sf):
-    assert len(whole.THINNED) > 60 and {n + whole.SUFFIX for n in whole.THINNED} <= set(entry.queries())
-    n = entry.queries()["e10_degrees" + whole.SUFFIX](spark, sf).count()
+def test_networks_have_every_line(spark, sf):
+    n = entry.queries()["e10_degrees"](spark, sf).count()
     assert n == spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.countDistinct("l_partkey")).first()[0]
 
 
@@ -49,7 +47,7 @@ def test_hub_frequency_of_more_than_5000_nodes(spark, tmp_path):
 
 
 def test_bylines_are_judged_whole(spark, sf, tmp_path):
-    name = "c10_suspicious_bylines_whole"
+    name = "c10_suspicious_bylines"
     start = "one two three four five six seven eight nine"
     rows = [start + " ten, eleven", start + " und ten", start + " ten", start + " ten", start + " zehn", "a b c", "a, b c d", None, ""]
     spark.createDataFrame([(x,) for x in rows], "text string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -93,7 +93,9 @@ def op10_extract(spark, sf_dir):
 def op9_chat(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    extra = extra.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema))
     work = Scratch(spark, "op9")
     written = work.save(chat.format_turns(rows.unionByName(extra)), "turns")
     examples = work.save(chat.examples(written), "examples")

@@ -75,15 +75,14 @@ def test_every_language_fills_its_reference(spark, sf, monkeypatch):
     language.fit(d)
     whole = {}
     for r in d.where(~language.held_out()).where("lang is not null and text is not null").collect():
-        whole.setdefault(r["lang"], []).append(len(language.reduce_text(r["text"])))
-    for k, sizes in whole.items():  # fewer than 300 documents each, so all are in the sample
-        assert len(sizes) < language.SAMPLE_DOCS
-        got = sum(len(language.reduce_text(t)) for t in seen[k])
-        assert min(language.REFERENCE_CHARS, sum(sizes)) <= got <= language.REFERENCE_CHARS + 2 * len(sizes)
-
-
-def test_level():
-    assert language.level([5, 1, 9], 12) == 6 and language.level([5, 1, 9], 100) == 9 and language.level([], 3) == 0 and language.level([4, 4], 5) == 3
+        reduced = "".join(chr(c) if c else " " for c in language.reduce_text(r["text"]).tolist())
+        whole.setdefault(r["lang"], []).append(reduced)
+    assert set(seen) == set(whole)
+    for k, texts in whole.items():  # fewer than 300 documents each, so all are in the sample
+        assert len(texts) < language.SAMPLE_DOCS and set(seen[k]) <= set(texts)
+        left = language.REFERENCE_CHARS - sum(map(len, seen[k]))
+        unused = [len(t) for t in texts if t and t not in seen[k]]
+        assert 0 <= left and (not unused or left < min(unused))
 
 
 def test_letters_beyond_the_table_are_told_apart():

@@ -153,15 +153,23 @@ def eigenvector(g: Graph, max_iter: int = 1000, tol: float = 1e-6, fixed: int |
     return x if fixed is not None else None
 
 
-def triangles(g: Graph) -> DataFrame:
-    """``id, triangles``; edges point from lower to higher degree, so hubs open few pairs."""
+def _corners(g: Graph) -> DataFrame:
+    """``a, b, c, ab, ac, bc``: every triangle once, with its edges' weights.
+
+    Edges point from lower to higher degree, so a hub opens few pairs: no node has more than
+    ``sqrt(2 * edges)`` edges out.
+    """
     d = g.degrees().select("id", "degree")
-    a = g.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+    e = g.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
     up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    o = a.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
-    wedge = o.join(o.withColumnRenamed("b", "c"), "a").where("b < c")
-    closed = wedge.join(g.edges.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi")
-    return closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    o = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.col("weight").alias("ab"))
+    wedge = o.join(o.select("a", F.col("b").alias("c"), F.col("ab").alias("ac")), "a").where("b < c")
+    return wedge.join(g.edges.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("weight").alias("bc")), ["b", "c"])
+
+
+def triangles(g: Graph) -> DataFrame:
+    """``id, triangles`` of the nodes that have any."""
+    return _corners(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
 def local_clustering(g: Graph, weighted: bool = False) -> DataFrame:
@@ -171,9 +179,9 @@ def local_clustering(g: Graph, weighted: bool = False) -> DataFrame:
         t = triangles(g)
         pairs = F.col("degree") * (F.col("degree") - 1) / 2
         return d.join(t, "id", "left").select("id", F.coalesce(F.try_divide(F.coalesce("triangles", F.lit(0)), pairs), F.lit(0.0)).alias("score"))
-    w = g.edges.crossJoin(F.broadcast(g.edges.agg(F.max("weight").alias("top")))).select("src", "dst", (F.col("weight") / F.col("top")).alias("w"))
-    x, y, z = (w.select(F.col("src").alias(p), F.col("dst").alias(q), F.col("w").alias(p + q)) for p, q in (("a", "b"), ("a", "c"), ("b", "c")))
-    tri = x.join(y, "a").where("b < c").join(z, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("id"), F.cbrt(F.col("ab") * F.col("ac") * F.col("bc")).alias("v"))
+    top = F.broadcast(g.edges.agg(F.max("weight").alias("top")))
+    mean = F.cbrt((F.col("ab") / F.col("top")) * (F.col("ac") / F.col("top")) * (F.col("bc") / F.col("top")))
+    tri = _corners(g).crossJoin(top).select(F.explode(F.array("a", "b", "c")).alias("id"), mean.alias("v"))
     s = tri.groupBy("id").agg(F.sum("v").alias("v"))
     return d.join(s, "id", "left").select("id", F.coalesce(F.try_divide(2 * F.coalesce("v", F.lit(0.0)), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("score"))
 

@@ -348,9 +348,9 @@ def assortativity(spark, sf):
     return a.select(F.round("r", 6).alias("by_degree")).crossJoin(b.select(F.round("r", 6).alias("by_strength")))
 
 
-@query("l22_layer_correlation", f"WITH {g_sql()}, {r_sql()}, q AS (SELECT src AS id FROM re UNION ALL SELECT dst FROM re), rd AS (SELECT n.id, count(q.id) AS degree FROM n LEFT JOIN q USING (id) GROUP BY n.id) SELECT round(corr(dg.degree, rd.degree), 6) AS r FROM dg JOIN rd USING (id)")
+@query("l22_layer_correlation", f"WITH {g_sql('l_partkey')}, {r_sql()}, q AS (SELECT src AS id FROM re UNION ALL SELECT dst FROM re), rd AS (SELECT n.id, count(q.id) AS degree FROM n LEFT JOIN q USING (id) GROUP BY n.id) SELECT round(corr(dg.degree, rd.degree), 6) AS r FROM dg JOIN rd USING (id)")
 def layer_correlation(spark, sf):
-    a, b = _layers(spark, sf)
+    a, b = network(spark, sf, "l_partkey"), related_network(spark, sf, "l_partkey")
     return metrics.layer_correlation(a.nodes, a, b).select(F.round("r", 6).alias("r"))
 
 

@@ -12,6 +12,7 @@ their bytes: it compares every word with the word that it shares a hash with.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import zlib
 
@@ -21,7 +22,7 @@ import pyarrow.compute
 
 from ..scratch import Scratch  # noqa: F401
 
-SPAN_BYTES = 2_000_000
+SPAN_BYTES = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
@@ -229,6 +230,22 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
         stop = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    give_back()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return memory that is free but held to the system; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def table(spark, sf_dir: str, name: str):
@@ -243,7 +260,7 @@ def free_name(columns, name: str) -> str:
     return name
 
 
-def keep_and_add(documents, keep: list[str], task, added: dict[str, str], limit: int = 3_000_000):
+def keep_and_add(documents, keep: list[str], task, added: dict[str, str], limit: int = 1_500_000):
     """``keep`` columns of the documents and new ones, made from ``text`` by ``task(texts) -> arrays``.
 
     ``added`` names the new columns and their types.  Columns travel by place, so their names do not matter.

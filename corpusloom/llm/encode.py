@@ -32,8 +32,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[\\x01-\\x1b\\x20-\\x7fÀ-ÖØ-öø-įı-ňŊ-ž]*")
 MAX_UNITS = 1_000_000
-SPAN_CHARS = 1 << 20
-_SLOT_BITS = 22
+SPAN_CHARS = 1 << 18
+_SLOT_BITS = 21
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 #: 0 white space, 1 letter (all bytes of the letters above ASCII), 2 other

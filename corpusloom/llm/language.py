@@ -16,8 +16,8 @@ letters of the references are found in one sorted list, so every letter is told
 Fitting takes a bounded sample: the ``MAX_LANGS`` commonest languages, about ``SAMPLE_DOCS`` documents of
 each, chosen by hash, and of these as many whole texts as have ``REFERENCE_CHARS`` reduced characters
 together (an equal share of ``TOTAL_CHARS``, if that is less).  Only a language whose sample has no text
-that short learns from the beginning of its shortest one.  The tables take about 512 bytes a
-character, at most 205 MB.
+that short learns from the beginning of its shortest one.  The tables take about 320 bytes a
+character, at most 128 MB.
 
 The score is the share of the second-best language in the phrases of the two best: 0.5 if they need
 equally many, nearer to 1 the fewer the best needs; it does not depend on the text's length.
@@ -44,7 +44,7 @@ SAMPLE_DOCS = 300
 REFERENCE_CHARS = 40_000
 TOTAL_CHARS = 400_000
 MAX_LANGS = 1000
-SYMBOLS = 64
+SYMBOLS = 40
 LANE = 512
 FOLDS = 5
 

@@ -49,6 +49,7 @@ SMALL = 32
 ESTIMATE = 0.55
 BLOCK = 64
 SALTS = 16
+PIECE_BYTES = 700_000
 MAX_CROWDS = 100_000  # main components of at most so many crowds are broadcast, 2 MB
 
 
@@ -65,7 +66,7 @@ def sketches(documents: DataFrame, k: int = SHINGLE, with_text: bool = False) ->
 
     def task(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 2_000_000):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 data, offsets = string_buffers(part.column(1))
                 hashes, start, _ = words(data, offsets, 2)
                 bounds = np.searchsorted(start, offsets)
@@ -121,7 +122,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for part in pieces(batch, "ta", 2_000_000):
+            for part in pieces(batch, "ta", PIECE_BYTES):
                 sets, n = shingle_ids(pa.concat_arrays([part.column(2), part.column(3)]), k), part.num_rows
                 yield part.filter(pa.array([_linked(x, y) for x, y in zip(sets[:n], sets[n:])], pa.bool_())).select(["a", "b"])
 
@@ -155,7 +156,7 @@ def prefixes(work: Scratch, crowd: DataFrame, texts: DataFrame, k: int) -> DataF
 
     def task(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 2_000_000):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 sets = shingle_sets(part.column(2), k)
                 n = np.array([len(x) for x in sets], np.int64)
                 own = pa.array(np.repeat(np.arange(len(n)), n))

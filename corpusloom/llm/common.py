@@ -67,12 +67,13 @@ def _random(code: np.ndarray, lane: int) -> np.ndarray:
     return mix64(mix64(code.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(_KEYS[lane])) + np.uint64(_KEYS[1 - lane]))
 
 
-def _piece_sums(data: np.ndarray, first: np.ndarray, size: np.ndarray, done: int, lanes: int) -> np.ndarray:
+def _piece_sums(data: np.ndarray, first: np.ndarray, size: np.ndarray, done: int, lanes: int, fold: bool = True) -> np.ndarray:
     """Tabulation sums ``[lane, run]`` of runs of word bytes; the first run continues a word of ``done`` bytes."""
     before = np.cumsum(size) - size
     n = int(size.sum())
     where = np.arange(n, dtype=np.int64) - np.repeat(before, size)
-    code = _LOWER[data[np.repeat(first, size) + where]] + (where << 8)
+    code = data[np.repeat(first, size) + where]
+    code = (_LOWER[code] if fold else code) + (where << 8)
     if done:
         code[: size[0]] += done << 8
     out = np.zeros((lanes, len(first)), np.uint64)
@@ -86,10 +87,10 @@ def _piece_sums(data: np.ndarray, first: np.ndarray, size: np.ndarray, done: int
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes ``[lane, word]``, first byte and length of every word; the lanes are independent.
 
-    Works in spans of ``SPAN_BYTES`` bytes, cut anywhere: a word's sum goes on in the next span.
+    ``fold``: ``A-Z`` count as ``a-z``.  Works in spans of ``SPAN_BYTES`` bytes, cut anywhere: a word's sum goes on in the next span.
     Memory is in proportion to a span plus 24 bytes a word, whatever a text's length.
     """
     sums, starts, sizes, inside = [np.zeros((lanes, 0), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
@@ -107,7 +108,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.nda
         ends[:-1] &= ~word[1:]
         ends[edges[edges > 0] - 1] = word[edges[edges > 0] - 1]
         size = np.flatnonzero(ends) + 1 - first
-        value = _piece_sums(part, first, size, int(sizes[-1][-1]) if go_on else 0, lanes)
+        value = _piece_sums(part, first, size, int(sizes[-1][-1]) if go_on else 0, lanes, fold)
         if go_on:
             sums[-1][:, -1] += value[:, 0]
             sizes[-1][-1:] += size[:1]

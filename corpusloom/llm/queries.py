@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, fingerprint, language, near_dup, packing, quality, sharding, token_output
+from . import chat, decontaminate, extract, fingerprint, language, near_dup, packing, passages, quality, resample, sharding, spelling, token_output
 from .common import Scratch, table
 from .encode import tokenizer_path
 
@@ -112,6 +112,76 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_passages(spark, sf_dir):
+    left = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _crc32(text: str) -> str:
+    """SQL of the crc32 of a string's UTF-8 bytes; it needs the table ``crc(t)`` of :data:`CRC_TABLE` in its FROM clause."""
+    hx = f"hex(encode({text}))"
+    some = f"list_transform(range(0, length({hx}) // 2), lambda i: CAST('0x' || substr({hx}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {some}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS c
+       FROM (SELECT unnest(range(256)) AS i)))"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS k FROM r GROUP BY ALL),
+h AS (SELECT w, k, {_crc32("COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM c, crc),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM x WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.d = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.d = v.word),
+b AS (SELECT p.a AS word, count(*) AS n_near, min((-v.n, p.b)) AS best FROM p JOIN v ON v.word = p.b GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, COALESCE(b.n_near, 0) AS n_near, CASE WHEN -b.best[1] >= 10 * v.n THEN b.best[2] END AS form, CASE WHEN -b.best[1] >= 10 * v.n THEN -b.best[1] END AS form_n
+      FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.at WHERE f.form IS NOT NULL),
+z AS (SELECT t.word, t.at FROM t JOIN f ON f.word = t.at WHERE f.form IS NULL)
+SELECT f.word, f.form, COALESCE(z.at, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN z USING (word)"""
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, COALESCE(list_filter(regexp_split_to_array(text, '[ 	
+]+'), lambda x: x <> ''), []) AS w FROM documents),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+g AS (SELECT h.doc_id, h.i FROM h JOIN (SELECT m, min(doc_id) AS first FROM h GROUP BY 1) f USING (m) WHERE f.first < h.doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.j = c.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - COALESCE(k.n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
+_OP13_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest({_OP13_WORDS}) AS w FROM documents) GROUP BY ALL),
+b AS (SELECT w, count(*) AS k FROM (SELECT unnest({_OP13_WORDS}) AS w FROM benchmark) GROUP BY ALL),
+v AS MATERIALIZED (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM d UNION SELECT w FROM b), crc),
+s AS (SELECT bucket, sum(k) AS s FROM d JOIN v USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(k) AS t FROM b JOIN v USING (w) GROUP BY 1),
+c AS (SELECT bucket, CAST(COALESCE(s, 0) AS DOUBLE) AS s, CAST(COALESCE(t, 0) AS DOUBLE) AS t FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+m AS (SELECT doc_id, CAST(sum(k) AS BIGINT) AS n, CAST(sum(k * gain) AS BIGINT) AS g FROM d JOIN v USING (w) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, COALESCE(n, 0) AS n, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END
+      + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score,
+      CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight FROM documents LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n >= 20)
+SELECT x.doc_id, CAST(x.n AS BIGINT) AS n_features, CAST(x.weight AS BIGINT) AS weight, CAST(x.score AS BIGINT) AS score, CASE WHEN r.rank <= r.n * 10 // 100 THEN r.rank END AS rank FROM x LEFT JOIN r USING (doc_id)"""
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
@@ -123,5 +193,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_extract": op10_extract,
+    "op11_spelling": op11_spelling,
+    "op12_passages": op12_passages,
+    "op13_resample": op13_resample,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op5_near_dup": OP5_SQL, "op8_sharding": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op5_near_dup": OP5_SQL, "op8_sharding": OP8_SQL, "op9_chat": OP9_SQL, "op11_spelling": OP11_SQL, "op12_passages": OP12_SQL, "op13_resample": OP13_SQL}

@@ -1,21 +1,24 @@
 """Quality classification by nearest-neighbour voting in a latent semantic space.
 
 A text is a vector of its words and of its character trigrams (lower-cased), each hashed to one of
-``WORDS`` or ``TRIGRAMS`` features.  A word equal to the one before it counts as feature 0, "said again",
-instead of as itself and its trigrams.  Counts are damped by a square root, weighted by inverse
+``WORDS`` or ``TRIGRAMS`` features.  Of pairs of neighbouring words one kind is counted, in feature 0: a word after
+itself ("said again", instead of the word and its trigrams), for a bag of words cannot tell a repeated word from
+a text about it.  Counts are damped by a square root, weighted by inverse
 document frequency and normalised; a truncated singular value decomposition of the labelled texts
 gives the latent space (latent semantic analysis).
 
 The labelled vectors are broadcast (``SAMPLE_DOCS`` of ``DIMS`` numbers and the axes at most, under 2 MB)
 and every document is compared with all of them by exact cosine products, block by block.  Its
-score is the share of label 1 among its ``NEIGHBOURS`` nearest, weighted by a power of the similarity.
+score is the share of label 1 among its ``NEIGHBOURS`` nearest.  A vote weighs a power of the similarity, over the
+number of sampled documents of its label: where one label is rare, its few documents are not outvoted by
+sheer numbers, however small the sample.
 Similarities count to ``DIGITS`` decimals; of equal ones the labelled document of lesser id is nearer.
 
 Fitting takes a bounded sample: the ``SAMPLE_DOCS`` labelled ids of least hash, one row each.  The
 driver holds them as one matrix of ``SAMPLE_DOCS`` x ``FEATURES`` numbers, 131 MB.
 
 Defined results: a null text is empty, and an empty text has the zero vector, whose score is the
-share of label 1 in the sample; without any labelled row every score is 0.5; of a labelled id on several
+share of label 1 in the sample; labels may be whole numbers or booleans; without any labelled row every score is 0.5; of a labelled id on several
 rows the least text counts, of several labels the least; null ids are not learned from; repeated rows
 give repeated results; an empty table gives an empty result; other columns are ignored or, if asked
 for, kept under any name.  A very long text is counted in spans.
@@ -33,8 +36,8 @@ from .language import held_out
 
 SAMPLE_DOCS = 4000
 DIMS = 32
-NEIGHBOURS = 25
-POWER = 4
+NEIGHBOURS = 9
+POWER = 16
 DIGITS = 5
 THRESHOLD = 0.3
 WORDS = 4096
@@ -79,6 +82,7 @@ class Space:
         n = len(labels)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if n else 0.5
+        self.vote = np.where(self.labels == 1, 1 / max(1, int(self.labels.sum())), 1 / max(1, int(n - self.labels.sum())))
         self.idf = (np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
         self._weigh(x)
         k = min(dims, *x.shape) if x.any() else 0
@@ -116,17 +120,17 @@ class Space:
             cos = np.rint((vectors[at : at + BATCH] @ self.vectors.T).astype(float) * 10**DIGITS).astype(np.int64)
             rank = cos * n - np.arange(n)  # no two are equal
             near = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(cos), 1))
-            w = (np.maximum(np.take_along_axis(cos, near, axis=1), 0) / 10**DIGITS) ** power
+            w = (np.maximum(np.take_along_axis(cos, near, axis=1), 0) / 10**DIGITS) ** power * self.vote[near]
             total = w.sum(axis=1)
             votes = (w * self.labels[near]).sum(axis=1)
-            out[at : at + BATCH] = np.where(total > 0, votes / np.maximum(total, 1e-12), self.prior)
+            out[at : at + BATCH] = np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Space:
     """Learn from labelled documents that are not held out."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality is not null and doc_id is not null").where(~held_out())
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null").where(~held_out())
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
     def task(batches):

@@ -7,6 +7,8 @@ tasks that share a broadcast adjacency list whose size is checked first.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .graph import Graph
+from .triangles import triangle_sums
 
 MAX_BROADCAST_EDGES = 5_000_000
 MAX_EXACT_NODES = 5_000
@@ -32,15 +35,20 @@ def degree_centrality(g: Graph) -> DataFrame:
     return g.degrees().crossJoin(F.broadcast(n)).select("id", F.when(F.col("n") <= 1, 1.0).otherwise(F.try_divide(F.col("degree"), F.col("n") - 1)).alias("score"))
 
 
-def distances(g: Graph, sources: DataFrame | None = None, max_depth: int = 1000) -> DataFrame:
-    """``source, id, dist`` of everything reachable; one join and one anti-join a level."""
+def distances(g: Graph, sources: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """``source, id, dist`` of everything reachable; one join and one anti-join a level.
+
+    ``max_depth``: only what lies within it; None for all, as many levels as there are.
+    """
     work = Scratch(g.edges.sparkSession, "bfs")
     start = (g.nodes if sources is None else sources).select(F.col("id").alias("source"))
     adj = work.save(g.both().select(F.col("u").alias("id"), "v"), "adjacency")
     seen = work.save(start.select("source", F.col("source").alias("id"), F.lit(0).alias("dist")), "level0")
     levels = [seen]
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         step = frontier.join(adj, "id").select("source", F.col("v").alias("id")).distinct()
         recent = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])  # in an undirected graph nothing older can be met
         frontier = work.save(step.join(recent.select("source", "id"), ["source", "id"], "left_anti").withColumn("dist", F.lit(depth)), f"level{depth}")
@@ -153,37 +161,29 @@ def eigenvector(g: Graph, max_iter: int = 1000, tol: float = 1e-6, fixed: int |
     return x if fixed is not None else None
 
 
-def _corners(g: Graph) -> DataFrame:
-    """``a, b, c, ab, ac, bc``: every triangle once, with its edges' weights.
-
-    Edges point from lower to higher degree, so a hub opens few pairs: no node has more than
-    ``sqrt(2 * edges)`` edges out.
-    """
-    d = g.degrees().select("id", "degree")
-    e = g.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    o = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.col("weight").alias("ab"))
-    wedge = o.join(o.select("a", F.col("b").alias("c"), F.col("ab").alias("ac")), "a").where("b < c")
-    return wedge.join(g.edges.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("weight").alias("bc")), ["b", "c"])
-
-
 def triangles(g: Graph) -> DataFrame:
     """``id, triangles`` of the nodes that have any."""
-    return _corners(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    work = Scratch(g.edges.sparkSession, "triangles")
+    edges = work.save(g.edges.select("src", "dst", F.lit(1.0).alias("w")), "edges")
+    return triangle_sums(g.nodes.select("id"), edges, work)
 
 
-def local_clustering(g: Graph, weighted: bool = False) -> DataFrame:
-    """``id, score``; weighted: geometric means of the triangles' weights over the largest weight."""
+def local_clustering(g: Graph, weighted: bool = False, ranges: int | None = None) -> DataFrame:
+    """``id, score``; weighted: geometric means of the triangles' weights over the largest weight.
+
+    Triangles are counted by blocks of the adjacency matrix; ``ranges`` fixes their number.
+    """
+    work = Scratch(g.edges.sparkSession, "clustering")
+    g = Graph(work.save(g.nodes.select("id"), "nodes"), work.save(g.edges.select("src", "dst", "weight"), "edges"))
     d = g.degrees().select("id", "degree")
-    if not weighted:
-        t = triangles(g)
-        pairs = F.col("degree") * (F.col("degree") - 1) / 2
-        return d.join(t, "id", "left").select("id", F.coalesce(F.try_divide(F.coalesce("triangles", F.lit(0)), pairs), F.lit(0.0)).alias("score"))
-    top = F.broadcast(g.edges.agg(F.max("weight").alias("top")))
-    mean = F.cbrt((F.col("ab") / F.col("top")) * (F.col("ac") / F.col("top")) * (F.col("bc") / F.col("top")))
-    tri = _corners(g).crossJoin(top).select(F.explode(F.array("a", "b", "c")).alias("id"), mean.alias("v"))
-    s = tri.groupBy("id").agg(F.sum("v").alias("v"))
-    return d.join(s, "id", "left").select("id", F.coalesce(F.try_divide(2 * F.coalesce("v", F.lit(0.0)), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("score"))
+    w = F.lit(1.0)
+    edges = g.edges
+    if weighted:  # the product of three cube roots is the geometric mean
+        edges = edges.crossJoin(F.broadcast(edges.agg(F.max("weight").alias("top"))))
+        w = F.cbrt(F.col("weight") / F.col("top"))
+    t = triangle_sums(g.nodes, edges.select("src", "dst", w.alias("w")), work, weighted, ranges)
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return d.join(t, "id", "left").select("id", F.coalesce(F.try_divide(F.coalesce("triangles", F.lit(0)), pairs), F.lit(0.0)).alias("score"))
 
 
 def correlation(df: DataFrame, a: str, b: str):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import community, graph, metrics
+from ..operators import community, graph, metrics, paths
 from ..operators.graph import Graph
 from ..scratch import Scratch
 from .registry import query
@@ -249,6 +249,24 @@ def path_lengths(spark, sf):
     return metrics.path_stats(network(spark, sf).largest_component())
 
 
+@query("l5_closeness_estimate", f"WITH RECURSIVE {g_sql()}, {BFS}, {CLOSENESS} SELECT id, round(score, 3) AS score FROM cl")
+def closeness_estimate(spark, sf):
+    """From HyperLogLog counters, without a table of pairs; up to some hundreds of nodes they are exact to these decimals."""
+    return paths.closeness_estimate(network(spark, sf)).select("id", F.round("score", 3).alias("score"))
+
+
+@query("l17_average_path_estimate", f"WITH RECURSIVE {g_sql()}, {REACH}, {LARGEST}, {BFS} SELECT round(avg(dist), 3) AS avg_path FROM d JOIN lc ON lc.id = d.source WHERE dist > 0")
+def average_path_estimate(spark, sf):
+    return paths.average_path_estimate(network(spark, sf).largest_component()).select(F.round("avg_path", 3).alias("avg_path"))
+
+
+@query("l18_diameter", f"WITH RECURSIVE {g_sql()}, {REACH}, {LARGEST}, {BFS} SELECT CAST(max(dist) AS BIGINT) AS diameter, count(DISTINCT source) AS n_nodes FROM d JOIN lc ON lc.id = d.source")
+def diameter(spark, sf):
+    """Exact, by bounds instead of all pairs."""
+    g = network(spark, sf).largest_component()
+    return g.nodes.agg(F.count("*").alias("n_nodes")).select(F.lit(paths.diameter(g)).cast("long").alias("diameter"), "n_nodes")
+
+
 def _sigma(levels: int = 5) -> str:
     """CTEs ``p``: shortest paths between pairs, level by level."""
     out = ["p0 AS (SELECT id AS s, id AS t, 0 AS dist, 1.0::DOUBLE AS k FROM n)"]
@@ -265,6 +283,18 @@ def betweenness(spark, sf):
     return metrics.betweenness(network(spark, sf), max_nodes=None).select("id", F.round("score", 6).alias("score"))
 
 
+@query("l4_betweenness_rounds", f"WITH RECURSIVE {g_sql()}, {BFS}, {BETWEEN} SELECT id, round(score, 6) AS score FROM bw")
+def betweenness_rounds(spark, sf):
+    """In DataFrame rounds with all nodes as pivots: exact, without an adjacency list in any task."""
+    return paths.betweenness_pivots(network(spark, sf)).select("id", F.round("score", 6).alias("score"))
+
+
+@query("l4_betweenness_pivots")
+def betweenness_pivots(spark, sf):
+    """From sampled pivots, until the standard errors are within a twentieth of the largest score."""
+    return paths.betweenness_pivots(network(spark, sf), error=0.05)
+
+
 def _power(rounds: int) -> str:
     out = ["y0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS x FROM n)"]
     for k in range(1, rounds + 1):

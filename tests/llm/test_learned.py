@@ -261,6 +261,14 @@ def test_page_text_cases(spark):
         ('<article><p>Long main text of the page.</p></article><article><h2><a href="/x">Teaser of another story</a></h2></article>', "Long main text of the page."),
         ('<aside><article><p>teaser</p></article></aside><main><p>Main</p><div class="cookie-banner">ok?</div><div role="navigation">n</div></main>', "Main"),
         ('<div class="related"><article><p>Other story</p></article></div><article><p>This story</p></article>', "This story"),
+        ("<article><h1>Head</h1><div class='content promo'><p>ARTICLE BODY of words</p></div></article>", "Head ARTICLE BODY of words"),
+        ("<main><div class='menu text'><p>All of the text</p></div></main>", "All of the text"),
+        ("<div class='notice content'><p>All of the text</p></div>", "All of the text"),
+        ("<article><p>A text of some words.</p><section id='social'><p>Social matters too.</p></section></article>", "A text of some words. Social matters too."),
+        ("<article><p>A text of quite some words here.</p>" + "".join(f"<div class='{x}'><p>{x} no</p></div>" for x in ("comment-thread", "comment-body", "comment-reply", "related-posts", "share-tools", "site-header")) + "</article>", "A text of quite some words here."),
+        ("<article><p>Story.</p></article><section class='discussion'><article><p>A reader's long comment on it.</p></article></section>", "Story."),
+        ("<article><p>A story of some words.</p><article><p>A reader's comment</p></article></article>", "A story of some words."),
+        ("<section class='discussion'><article><p>The only story.</p></article></section>", "The only story."),
         ("<article><p>a <span hidden>b</span><a href=x>c</a> d</p></article>", "a c d"),
         ("<article><p>one</p><div class=ad>buy</div><p>two</p>" + "<p>x</p>" * 3, "one two x x x"),
     ],
@@ -307,6 +315,18 @@ def test_repeats_against_a_suffix_array(spark):
     assert any(covered) and any(got.values())
 
 
+def test_pages_of_one_set_of_words(spark):
+    """Three pages whose own words are the same in another order are three pages: their common footer goes."""
+    foot = "all rights of this page are reserved by the house that made it"
+    rng = np.random.default_rng(0)
+    own = [" ".join(rng.permutation([f"w{j}" for j in range(20)])) for _ in range(3)]
+    rows = [(f"p{i}", "https://o.net/", f"<p>{own[i]}</p><p>{foot}</p>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {f"p{i}": own[i] for i in range(3)}
+    few = extract.main_text(spark.createDataFrame([(1, None, "<p>one</p>"), (1, None, "<p>two</p>")], "page_id int, url string, html string"))
+    assert sorted(map(tuple, few.collect())) == [(1, None, "one", 3), (1, None, "two", 3)] and dict(few.dtypes)["page_id"] == "int"
+
+
 def test_host_repeats_leave_unique_runs(spark):
     menu = "welcome to the portal of all things that you may ever want to read today and tomorrow"
     own = [" ".join(f"u{i}_{j}" for j in range(30)) for i in range(5)]

@@ -137,17 +137,24 @@ def propagate(items: DataFrame, people: DataFrame, item: str, authors: str, valu
 
     Returns ``(items, people)``, ``item, value`` and ``id, value``: own values first, then those
     of the other side in order, without repeats in any case.  A null side adds nothing.
+    Every value travels with its place, and only the first place of each value is kept before a list is made,
+    so a person of very many items gathers no more than their different values.
     """
     a = items.select(item, F.posexplode(authors).alias("pos", "a"), F.col(value).alias("iv")).withColumn("k", T.norm_simple("a"))
     p = people.select("id", T.norm_simple("name").alias("k"), F.col(value).alias("pv"))
     both = a.join(p, "k")
-    none = F.array().cast("array<string>")
-    merged = lambda own, found: T.ci_distinct(T.non_empty(F.concat(F.coalesce(own, none), F.coalesce(found, none))))
-    to_item = both.groupBy(item).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("pv", none).alias("v")))), lambda x: x["v"])).alias("f"))
-    to_person = both.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(item, "pos", F.coalesce("iv", none).alias("v")))), lambda x: x["v"])).alias("f"))
-    out_items = items.select(item, value).join(to_item, item, "left").select(item, merged(F.col(value), F.col("f")).alias(value))
-    out_people = people.select("id", value).join(to_person, "id", "left").select("id", merged(F.col(value), F.col("f")).alias(value))
-    return out_items, out_people
+    kinds = dict(items.dtypes)[item], dict(people.dtypes)["id"]
+
+    def shared(own: DataFrame, key: str, values: str, order: list[str], types: list[str]) -> DataFrame:
+        place = lambda side, cols: F.struct(F.lit(side).alias("side"), *(c.cast(t).alias(f"o{n}") for n, (c, t) in enumerate(zip(cols, types))), "at")
+        one = own.select(key, F.posexplode(T.non_empty(F.col(value))).alias("at", "v")).select(key, "v", place(0, [F.lit(None)] * len(order)).alias("o"))
+        two = both.select(key, *(F.col(c).alias(f"_{c}") for c in order), F.posexplode(T.non_empty(F.col(values))).alias("at", "v")).select(key, "v", place(1, [F.col(f"_{c}") for c in order]).alias("o"))
+        first = one.unionByName(two).groupBy(key, F.lower("v").alias("low")).agg(F.min(F.struct("o", "v")).alias("x"))
+        lists = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("found"))
+        none = F.array().cast("array<string>")
+        return own.select(key).join(lists, key, "left").select(key, F.coalesce("found", none).alias(value))
+
+    return shared(items.select(item, value), item, "pv", ["pos", "id"], ["int", kinds[1]]), shared(people.select("id", value), "id", "iv", [item, "pos"], [kinds[0], "int"])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], always: list[str], keep: list[str]) -> DataFrame:

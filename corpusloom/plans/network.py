@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import community, graph, metrics, paths
+from ..operators import colours, community, graph, metrics, paths, randomize
 from ..operators.graph import Graph
 from ..scratch import Scratch
 from .registry import query
@@ -491,6 +491,36 @@ def leiden(spark, sf):
     return community.leiden(network(spark, sf), seed=42)
 
 
+def _articles(spark, sf) -> Graph:
+    orders = _t(spark, sf, "orders")
+    return Graph(orders.select(F.col("o_orderkey").alias("id")), graph.article_edges(related(spark, sf), orders, "i", "j", "o_orderkey"))
+
+
+@query("l8_louvain_rounds")
+def louvain_rounds(spark, sf):
+    """In DataFrame rounds over the colours of a graph of any size."""
+    return colours.louvain(_articles(spark, sf))
+
+
+@query("l9_leiden_rounds")
+def leiden_rounds(spark, sf):
+    return colours.leiden(_articles(spark, sf), resolution=0.2)
+
+
+@query("l11_label_propagation_asynchronous")
+def label_propagation_asynchronous(spark, sf):
+    """Node after node, weighted; the nodes of a colour at once."""
+    return colours.label_propagation(_articles(spark, sf))
+
+
+@query("l25_degrees_kept", f"WITH {g_sql('l_partkey')} SELECT id, degree FROM dg")
+def degrees_kept(spark, sf):
+    """The degrees of a rewired copy are those of the graph."""
+    g = network(spark, sf, "l_partkey")
+    edges, _ = randomize.rewire(g, 42, swaps_per_edge=1)
+    return Graph(g.nodes, edges).degrees().select("id", "degree")
+
+
 @query("l10_greedy_modularity")
 def greedy(spark, sf):
     return community.greedy_modularity(network(spark, sf))

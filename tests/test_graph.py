@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import community, graph, metrics
+from corpusloom.operators import community, graph, metrics, randomize
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.graph import Graph
 
@@ -219,7 +219,7 @@ def test_ids_may_be_texts(spark):
     g = Graph(spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame(edges, "src string, dst string, weight long"))
     got = {r["id"]: r["cluster"] for r in community.label_propagation(g).collect()}
     assert got["Di"] == got["Ed"] == got["Flo"] and got["Ada"] == got["Bo"] == got["Cy"] and got["Gus"] == "Gus"
-    assert community.small_world(g, 3).count() == 1 and dict(community.random_graph(g, 2).edges.dtypes)["src"] == "string"
+    assert community.small_world(g, 3).count() == 1 and dict(randomize.random_graph(g, 2).edges.dtypes)["src"] == "string"
     layers = community.null_layers(g, 5)
     assert list(layers) == community.NULL_LAYERS and all(e.count() == 7 for e in layers.values())
     assert layers["random_layer_citations"].collect() == community.null_model(g, 106).collect()

@@ -38,8 +38,9 @@ from .common import Scratch, mix64, pieces, string_buffers, words
 WINDOW = 50
 ANCHOR = 25
 UNIT_BYTES = 2_000_000
-CELL_BITS = 20  # of a block of the sketch, 26 at most where there are many blocks
-BLOCKS = 32  # at least so many, so that small inputs use all tasks
+CELL_BITS = 24  # of a block of the sketch at most: 16 million cells, about 4 million keys
+RANGE_BITS = 22  # so many windows at most in a range of hashes, if every one were estimated as repeated
+BLOCKS = 32  # at least so many blocks and ranges, so that small inputs use all tasks
 _ROOTS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)  # odd multipliers of the two polynomials
 _SECOND = np.uint64(0xA0761D6478BD642F)  # key of the second row of the sketch
 
@@ -124,10 +125,11 @@ class Passages:
         self.id_type = documents.schema["doc_id"].dataType.simpleString()
         self.units = self._store(documents.select("doc_id", F.col("text").alias("_text")), unit_bytes)
         n_bytes = self.units.agg(F.sum("n_bytes")).first()[0] or 0
-        self.block_bits = max(5, (blocks - 1).bit_length())
-        keys = n_bytes / 6 / ((window - anchor + 2) / 2)  # about so many, in prose
-        self.bits = max(self.block_bits + 10, min(60, int(4 * keys).bit_length()))
-        self.block_bits = max(self.block_bits, self.bits - 26)
+        least = (blocks - 1).bit_length()
+        windows = n_bytes / 6  # about so many, in prose
+        self.bits = max(least + 10, min(60, int(4 * windows / ((window - anchor + 2) / 2)).bit_length()))
+        self.block_bits = max(least, self.bits - CELL_BITS)
+        self.range_bits = max(least, int(windows).bit_length() - RANGE_BITS)
 
     def _store(self, docs: DataFrame, unit_bytes: int) -> DataFrame:
         """``part, seq, n_bytes, ids, texts``: documents packed in the order and the tasks they are read in."""
@@ -195,12 +197,13 @@ class Passages:
     def exact(self, sketch: DataFrame) -> DataFrame:
         """``part, answers``: for each unit and range of hashes a bit a distinct window, set where another unit has a lesser id."""
         window, anchor, bits, block_bits, id_type = self.window, self.anchor, self.bits, self.block_bits, self.id_type
+        range_bits = self.range_bits
 
         def task(batches):
             for batch in batches:
                 for ids, texts, part, seq, flags in _units(batch, "flags"):
                     g = _Groups(Unit(texts, ids.rank >= 0, 2, window), ids, anchor, bits, block_bits, flags)
-                    for block, some in _blocks(g.h1, 64, block_bits):
+                    for block, some in _blocks(g.h1, 64, range_bits):
                         yield _record(part, seq, 0, block, [g.h1[some], g.h2[some].astype(np.uint32)], [[ids.values[i] for i in g.least[some]]], ids.type)
 
         def answer(table: pa.Table) -> pa.Table:
@@ -223,13 +226,13 @@ class Passages:
 
     def removed(self, sketch: DataFrame, exact: DataFrame) -> DataFrame:
         """``doc_id, n_words, n_removed, kept``; ``kept`` has the remaining words, joined by one space."""
-        window, anchor, bits, block_bits = self.window, self.anchor, self.bits, self.block_bits
+        window, anchor, bits, block_bits, range_bits = self.window, self.anchor, self.bits, self.block_bits, self.range_bits
 
         def task(batches):
             for batch in batches:
                 for ids, texts, _, _, flags, hits in _units(batch, "flags", "hits"):
                     u = Unit(texts, ids.rank >= 0, 2, window)
-                    gone = _Groups(u, ids, anchor, bits, block_bits, flags).removed(hits)
+                    gone = _Groups(u, ids, anchor, bits, block_bits, flags).removed(hits, range_bits)
                     kept, n_removed = _without(u, gone)
                     yield pa.RecordBatch.from_arrays([ids.array, pa.array(u.n_words), pa.array(n_removed), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
@@ -302,11 +305,10 @@ class _Groups:
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.later = rank > self.least[self.group]
-        self.block_bits = block_bits
 
-    def removed(self, hits: dict) -> np.ndarray:
+    def removed(self, hits: dict, range_bits: int) -> np.ndarray:
         """First words of the windows that start in a document of lesser id."""
-        return self.at[self.later | _read(hits, 0, self.h1, 64, self.block_bits)[self.group]]
+        return self.at[self.later | _read(hits, 0, self.h1, 64, range_bits)[self.group]]
 
 
 def _without(unit: Unit, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:

@@ -1,36 +1,59 @@
-"""Fuzzy lookup of names by the ratio of matching blocks."""
+"""Fuzzy lookup of names by the ratio of matching blocks.
+
+The ratio of two names is twice the letters in matching blocks over all letters, so it is at most twice the letters they
+share (each counted as often as both have it) over all letters.  Names are sets of numbered letters
+(``a1, a2, n1``), and a set join finds the pairs whose bound reaches the cutoff: letters are ordered from rare to
+common, and two sets that share enough must share one of the first few of each.  Only those pairs are compared.
+"""
 
 from __future__ import annotations
 
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DIRECTORY = 50_000
+
+def _letters(name: Column) -> Column:
+    """Every letter of a name with its number among equal ones."""
+    parts = F.filter(F.split(name, ""), lambda x: x != "")
+    return F.transform(parts, lambda x, i: F.concat(x, F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def close_pairs(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """``name, other``: pairs of ``names(name)`` and ``known(other)`` whose ratio can reach ``cutoff``; no such pair is missing."""
+    a = names.select("name", _letters(F.col("name")).alias("s"))
+    b = known.select("other", _letters(F.col("other")).alias("s"))
+    rank = b.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        """The rarest letters of each set: so many that a partner of any length shares one of them."""
+        least = F.ceil(F.size("s") * (cutoff / (2 - cutoff)) - 1e-9)
+        ranked = df.select(name, "s", F.explode("s").alias("x")).join(rank, "x", "left").groupBy(name, "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "x"))).alias("o"))
+        return ranked.select(name, "s", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.size("s") - least + 1).cast("int"))).alias("y")).select(name, "s", F.col("y.x").alias("x"))
+
+    p, q = first(a, "name"), first(b, "other").withColumnRenamed("s", "t")
+    n = F.size("s") + F.size("t")
+    met = p.join(q, "x").where(2 * F.least(F.size("s"), F.size("t")) >= cutoff * n - 1e-9).select("name", "s", "other", "t").distinct()
+    return met.where(2 * F.size(F.array_intersect("s", "t")) >= cutoff * n - 1e-9).select("name", "other")
+
+
+def _ratios(names: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(names, others)], dtype=float)
 
 
 def best_match(names: DataFrame, directory: DataFrame, cutoff: float = 0.85) -> DataFrame:
     """``name, match, role``: the equal name, else the closest of at least ``cutoff``, else ``Unknown``.
 
-    ``directory(name, role)`` goes to every task and is checked to have at most ``MAX_DIRECTORY`` names.  Each
-    distinct name is compared once.  Several roles of a name are sorted and joined.
+    Each distinct name is looked up once; of equally close ones the greater name counts.  Several roles of a name
+    are sorted and joined.  The directory may be of any size.
     """
-    rows = directory.where("name is not null").groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("role")), ", ").alias("role")).limit(MAX_DIRECTORY + 1).collect()
-    if len(rows) > MAX_DIRECTORY:
-        raise ValueError(f"the directory has more than {MAX_DIRECTORY} names")
-    roles = {r["name"]: r["role"] for r in rows}
-    known = sorted(roles)
-
-    @F.pandas_udf("struct<match:string,role:string>")
-    def find(s: pd.Series) -> pd.DataFrame:
-        def one(x: str):
-            if x in roles:
-                return x, roles[x]
-            near = difflib.get_close_matches(x, known, n=1, cutoff=cutoff)
-            return (near[0], roles[near[0]]) if near else (None, "Unknown")
-
-        return pd.DataFrame([one(x) for x in s], columns=["match", "role"])
-
-    return names.where("name is not null").select("name").distinct().withColumn("m", find("name")).select("name", "m.match", "m.role")
+    roles = directory.where("name is not null").groupBy(F.col("name").alias("match")).agg(F.array_join(F.sort_array(F.collect_set("role")), ", ").alias("role"))
+    wanted = names.where("name is not null").select("name").distinct()
+    same = wanted.join(roles, F.col("name") == F.col("match")).select("name", "match", "role")
+    other = wanted.join(roles, F.col("name") == F.col("match"), "left_anti")
+    pairs = close_pairs(other, roles.select(F.col("match").alias("other")), cutoff).withColumn("r", F.pandas_udf(_ratios, "double")("name", "other")).where(F.col("r") >= cutoff)
+    best = pairs.groupBy("name").agg(F.max(F.struct("r", "other")).alias("b")).select("name", F.col("b.other").alias("match"))
+    found = other.join(best, "name", "left").join(roles, "match", "left").select("name", "match", F.coalesce("role", F.lit("Unknown")).alias("role"))
+    return same.unionByName(found)

@@ -199,16 +199,43 @@ def delete(table: DataFrame, ids: DataFrame, key: str, **linked: tuple[DataFrame
     return {"table": drop(table, key)} | {name: drop(df, c) for name, (df, c) in linked.items()}
 
 
-def contained_names(names: DataFrame, directory: DataFrame, max_directory: int = 100_000) -> DataFrame:
-    """Names that equal, contain or are contained in a name of the directory.
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The different runs of 1, 2 or 3 letters."""
+    n = F.length(text)
 
-    The directory is broadcast; its size is checked first.
+    def runs(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: text.substr(i, F.lit(k)))
+        return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def contains_pairs(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """``whole, part``: every pair of ``whole(whole)`` and ``parts(part)``, distinct texts, of which the first contains the second.
+
+    A part is looked up under its rarest run of three letters (of one or two, where it is that short), which every text
+    that contains it has too; rare runs are in few texts, so few pairs are compared that do not match.
+    """
+    runs = whole.select("whole", F.explode(_grams(F.col("whole"), [1, 2, 3])).alias("g"))
+    own = F.when(F.length("part") >= 3, _grams(F.col("part"), [3])).otherwise(F.array("part"))
+    count = runs.where("length(g) = 3").groupBy("g").agg(F.count("*").alias("c"))
+    rare = parts.where("part <> ''").select("part", F.explode(own).alias("g")).join(count, "g", "left")
+    rare = rare.groupBy("part").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("m")).select("part", F.col("m.g").alias("g"))
+    return runs.join(rare, "g").where(F.col("whole").contains(F.col("part"))).select("whole", "part")
+
+
+def contained_names(names: DataFrame, directory: DataFrame) -> DataFrame:
+    """Names that equal, contain or are contained in a name of the directory, trimmed and in any case.
+
+    Both ways are equi-joins on runs of letters; neither side is bounded.  A blank name is contained in any.
     """
-    if directory.count() > max_directory:
-        raise ValueError("the directory is too large to compare with every name")
-    d = F.broadcast(directory.select(T.norm_simple("name").alias("_d")).where("_d <> ''").distinct())
-    n = T.norm_simple("name")
-    return names.join(d, n.contains(F.col("_d")) | F.col("_d").contains(n), "left_semi")
+    d = directory.select(T.norm_simple("name").alias("d")).where("d <> ''").distinct()
+    n = names.select(T.norm_simple("name").alias("n")).where("n is not null").distinct()
+    up = contains_pairs(n.withColumnRenamed("n", "whole"), d.withColumnRenamed("d", "part")).select(F.col("whole").alias("n"))
+    down = contains_pairs(d.withColumnRenamed("d", "whole"), n.withColumnRenamed("n", "part")).select(F.col("part").alias("n"))
+    blank = n.where("n = ''").join(d.limit(1), F.lit(True), "left_semi")
+    hit = up.unionByName(down).unionByName(blank).distinct()
+    return names.join(hit, T.norm_simple("name") == F.col("n"), "left_semi")
 
 
 def resolve_ids(golden: DataFrame, people: DataFrame) -> DataFrame:

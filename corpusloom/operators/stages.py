@@ -9,6 +9,8 @@ Word lists are parameters with defaults; ``house`` is the publisher's short name
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,19 @@ def departments_of(house: str) -> list[str]:
     return _of_house(DEPARTMENT_TERMS, house)
 
 
+# fixed values: tables that the stages derive, and tables they start from
+DERIVED = ["authors", "articles", "related_articles", "article_author_association"]
+RAW = ["articles_raw", "authors_raw"]
+
+
+def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage 00: derived tables without rows, raw ones as they are; others stay too, with a warning."""
+    for name in tables:
+        if name not in DERIVED and name not in RAW:
+            warnings.warn(f"{name} is no table of the stages; it is left as it is", stacklevel=2)
+    return {name: df.limit(0) if name in DERIVED else df for name, df in tables.items()}
+
+
 def stage01_authors(old: DataFrame, raw: DataFrame) -> DataFrame:
     """Raw people into people: name and has_info are overwritten, other fields where not empty."""
     keyed = lambda df: df.withColumn("_name_key", F.when(F.col("author_id").isNull(), F.col("name")))
@@ -261,6 +276,21 @@ def stage15_merge_prefixes(articles: DataFrame, people: DataFrame) -> tuple[Data
     return _merge(articles, people, groups)
 
 
+def run_all(tables: dict[str, DataFrame], gazetteer: frozenset[str] = frozenset(), house: str = "") -> dict[str, DataFrame]:
+    """Stages 00 to 07 and 09 to 11 from the raw tables: ``articles`` and ``authors`` made anew.
+
+    ``tables`` has ``articles``, ``authors`` (with their lists), ``articles_raw`` and ``authors_raw``; the raw articles
+    bring the columns of stage 02 and ``author`` and ``related_raw``.
+    """
+    t = reset(tables)
+    people = stage01_authors(t["authors"], t["authors_raw"])
+    articles = stage02_articles(t["articles"], t["articles_raw"])
+    none = F.lit(None).cast("array<string>")
+    if "related_articles" not in articles.columns:
+        articles = articles.withColumn("related_articles", none)
+    return {**t, "authors": people, "articles": run(articles, t["articles_raw"].select("article_id", "author", "related_raw"), gazetteer, house)}
+
+
 def run(articles: DataFrame, raw: DataFrame, gazetteer: frozenset[str] = frozenset(), house: str = "") -> DataFrame:
     """The automatic stages over articles, 03 to 07 and 09 to 11, in order."""
     a = stage03_related(articles, raw)

@@ -275,6 +275,38 @@ def pipeline(spark, sf):
     return _joined(stages.run(a, raw, house=HOUSE))
 
 
+RAW_BYLINE = "CASE c_custkey % 7 WHEN 0 THEN 'Anna ' || {n} || ', Berlin' WHEN 1 THEN 'Anna ' || {n} || ' und Ben ' || {n} WHEN 2 THEN 'Kultur Anna ' || {n} WHEN 3 THEN 'Wirtschaft, Anna, ' || {n} WHEN 4 THEN 'Von Anna ' || {n} WHEN 5 THEN 'Redaktion' END"
+#: Family names of letters only, made from the key.
+FAMILY = "('M' || translate(cast(c_custkey as string), '0123456789', 'aeioubdgkm') || 'er')"
+
+
+@query("j_all_stages", f"SELECT c_custkey AS article_id, c_name AS title, CASE c_custkey % 7 WHEN 1 THEN 'Anna ' || f || '|Ben ' || f WHEN 5 THEN 'Redaktion' WHEN 6 THEN NULL ELSE 'Anna ' || f END AS authors, CASE c_custkey % 7 WHEN 2 THEN 'Kultur' WHEN 3 THEN 'Wirtschaft' WHEN 5 THEN 'Redaktion' END AS department, CASE WHEN c_custkey % 7 = 0 THEN 'Berlin' END AS location, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey || '|7' END AS related FROM (SELECT *, {FAMILY.replace('string', 'VARCHAR')} AS f FROM customer)")
+def all_stages(spark, sf):
+    """Stages 00 to 11 from raw tables; what the derived tables held before is gone."""
+    c = _t(spark, sf, "customer")
+    cols = ["title", "content", "description", "tags", "category", "article_date", "article_date_updated"]
+    none = lambda kind: F.lit(None).cast(kind)
+    related = F.expr("CASE WHEN c_custkey % 2 = 0 THEN '[{\"id\": \"' || c_nationkey || '\"}, {\"id\": \"7\"}]' END")
+    raw = c.select(F.col("c_custkey").alias("article_id"), F.col("c_name").alias("title"), *(none("string").alias(x) for x in cols[1:]), F.expr(RAW_BYLINE.format(n=FAMILY)).alias("author"), related.alias("related_raw"))
+    old = c.select((F.col("c_custkey") + 10**9).alias("article_id"), *(none("string").alias(x) for x in cols), *(F.array(F.lit("old")).alias(x) for x in stages.LISTS))
+    people = c.select(F.col("c_custkey").cast("string").alias("author_id"), F.col("c_name").alias("name"), F.lit(0).alias("has_info"), *(none("string").alias(x) for x in ("title", "alt_name", "alias", "department", "bio")))
+    made = stages.run_all({"articles": old, "authors": people, "articles_raw": raw, "authors_raw": people}, house=HOUSE)["articles"]
+    text = lambda x: F.nullif(F.array_join(x, "|"), F.lit("")).alias(x)
+    return made.select("article_id", "title", *(text(x) for x in ("authors", "department", "location")), F.nullif(F.array_join("related_articles", "|"), F.lit("")).alias("related"))
+
+
+@query("j00_reset", "SELECT 'articles' AS name, CAST(0 AS BIGINT) AS n_rows UNION ALL SELECT 'authors', 0 UNION ALL SELECT 'articles_raw', count(*) FROM orders UNION ALL SELECT 'authors_raw', count(*) FROM supplier")
+def reset(spark, sf):
+    """Stage 00: derived tables are emptied, raw ones kept."""
+    o, s = _t(spark, sf, "orders"), _t(spark, sf, "supplier")
+    left = stages.reset({"articles": o, "authors": s, "articles_raw": o, "authors_raw": s})
+    rows = None
+    for name, df in left.items():
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("i7_list_values", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a & b|' || c_name WHEN 1 THEN c_name || '|c' ELSE c_name END AS v FROM customer")
 def list_values(spark, sf):
     raw = F.expr("CASE c_custkey % 3 WHEN 0 THEN '[\"a &amp; b\", \"' || c_name || '\"]' WHEN 1 THEN '\"' || c_name || '\", \"c\"' ELSE c_name END")

@@ -434,6 +434,14 @@ def edge_flags(spark, sf):
     return community.drawing_edges(g, g.nodes.withColumn("cluster", F.col("id") % 4))
 
 
+@query("l30_ring_positions", f"WITH {g_sql()}, p AS (SELECT id, CASE WHEN id % 9 = 0 THEN -1 ELSE id % 4 END AS cluster FROM n), s AS (SELECT cluster, count(*) AS size, row_number() OVER (ORDER BY cluster) - 1 AS place, count(*) OVER () AS c FROM p WHERE cluster >= 0 GROUP BY cluster), k AS (SELECT p.id, p.cluster, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS i FROM p) SELECT k.id, k.cluster, round(CASE WHEN k.cluster < 0 THEN 0 ELSE 100 * cos(2 * pi() * place / c) + least(30, 5 * sqrt(size)) * cos(2 * pi() * i / size) END, 6) AS x, round(CASE WHEN k.cluster < 0 THEN 0 ELSE 100 * sin(2 * pi() * place / c) + least(30, 5 * sqrt(size)) * sin(2 * pi() * i / size) END, 6) AS y FROM k LEFT JOIN s USING (cluster)")
+def ring_positions(spark, sf):
+    """Where a drawing of clusters starts."""
+    part = network(spark, sf).nodes.withColumn("cluster", F.expr("CASE WHEN id % 9 = 0 THEN -1 ELSE id % 4 END"))
+    near = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)
+    return community.ring_positions(part).select("id", "cluster", near("x"), near("y"))
+
+
 @query("i25_node_sizes", f"WITH {g_sql()} SELECT id, CAST(least(10 + 2 * degree, 50) AS DOUBLE) AS size_in_table, CAST(least(5 + 1.5 * degree, 30) AS DOUBLE) AS size_orphan FROM dg")
 def node_sizes(spark, sf):
     d = network(spark, sf).degrees()

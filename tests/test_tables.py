@@ -5,8 +5,8 @@ import xml.etree.ElementTree as ET
 import pytest
 
 import __spark_entry__ as entry
-from corpusloom.operators import report, resolve
-from corpusloom.sources import readers, sinks
+from corpusloom.operators import community, report, resolve, stages
+from corpusloom.sources import readers, sinks, sqlite
 from corpusloom.streaming import ingest
 
 
@@ -43,13 +43,50 @@ def test_copy_and_updates(spark, tmp_path):
 
 
 def test_drawing_files(spark, tmp_path):
-    n = spark.createDataFrame([(1, "a & b", None), (2, None, 0.5)], "id long, label string, size double")
-    e = spark.createDataFrame([(1, 2, 3, "x,y")], "src long, dst long, weight long, layers string")
-    g = ET.fromstring(sinks.gexf(n, e, str(tmp_path / "g.gexf"), "label"))
-    assert len(g.findall(".//{*}node")) == 2 and g.find(".//{*}edge").get("weight") == "3.0" and (tmp_path / "g.gexf").exists()
-    m = ET.fromstring(sinks.graphml(n, e))
-    assert len(m.findall(".//{*}edge")) == 1 and len(m.findall("{*}key")) == 4
+    n = spark.createDataFrame([(1, 'a & "b" <c>\x01', None, ["x", "y"]), (2, None, 0.5, None), (10, "é", float("nan"), [])], "id long, label string, size double, tags array<string>")
+    e = spark.createDataFrame([(1, 2, 3, "x,y"), (2, 10, 1, None)], "src long, dst long, weight long, layers string")
+    sinks.write_gexf(n.repartition(3), e.repartition(2), str(tmp_path / "g.gexf"), "label")
+    g = ET.fromstring((tmp_path / "g.gexf").read_bytes())
+    assert [(x.get("id"), x.get("label")) for x in g.findall(".//{*}node")] == [("1", 'a & "b" <c>'), ("2", ""), ("10", "é")]
+    assert [x.get("value") for x in g.findall(".//{*}node/{*}attvalues/{*}attvalue")] == ['a & "b" <c>', "", "x,y", "", "0.5", "", "é", "", ""]
+    edges = g.findall(".//{*}edge")
+    assert [(x.get("source"), x.get("target"), x.get("weight")) for x in edges] == [("1", "2", "3.0"), ("2", "10", "1.0")] and len({x.get("id") for x in edges}) == 2
+    sinks.write_graphml(n, e, str(tmp_path / "g.graphml"))
+    m = ET.fromstring((tmp_path / "g.graphml").read_bytes())
+    assert len(m.findall(".//{*}edge")) == 2 and len(m.findall("{*}key")) == 5 and [x.text for x in m.findall(".//{*}edge/{*}data")] == ["3", "x,y", "1", None]
     assert sinks.gexf_layers(n, {"one": e}, str(tmp_path / "p")) == [str(tmp_path / "p_one.gexf")]
+    sinks.write_gexf(n.limit(0), e.limit(0), str(tmp_path / "g.gexf"))  # an empty graph takes the place of the old file
+    assert not ET.fromstring((tmp_path / "g.gexf").read_bytes()).findall(".//{*}node") and not (tmp_path / "g.gexf.writing").exists()
+
+
+def test_sqlite_files(spark, tmp_path):
+    rows = [(i, f"a{i}", None if i % 3 else f"r{i}", i / 2, i * 10**12) for i in range(25)]
+    d = spark.createDataFrame(rows, "id long, article_id string, related_articles string, price double, big long")
+    path = str(tmp_path / "articles.db")
+    sqlite.write_sqlite(d, path, "odd name")
+    got = sqlite.read_sqlite(spark, path, "odd name", parts=4)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == rows and got.dtypes == d.dtypes
+    some = sqlite.read_sqlite(spark, path, "odd name", not_null="related_articles", parts=100)
+    assert sorted(r["id"] for r in some.collect()) == [i for i in range(25) if i % 3 == 0]
+    assert sqlite.read_sqlite(spark, path, "odd name", "articles").columns[:2] == ["id", "article_id"]
+    none = str(tmp_path / "none.db")
+    sqlite.write_sqlite(d.limit(0), none, "t")
+    assert sqlite.read_sqlite(spark, none, "t").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        sqlite.read_sqlite(spark, none, "missing")
+
+
+def test_rings_and_reset(spark):
+    import math
+
+    part = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, -1), (6, None)], "id long, cluster int")
+    at = {r["id"]: (r["x"], r["y"]) for r in community.ring_positions(part).collect()}
+    r = 5 * math.sqrt(3)
+    assert at[1] == pytest.approx((100 + r, 0), abs=1e-6) and at[2] == pytest.approx((100 + r * math.cos(2 * math.pi / 3), r * math.sin(2 * math.pi / 3)), abs=1e-6)
+    assert at[4] == pytest.approx((-95, 0), abs=1e-6) and at[5] == at[6] == (0, 0)
+    with pytest.warns(UserWarning, match="odd"):
+        left = stages.reset({"articles": part, "articles_raw": part, "odd": part})
+    assert {k: v.count() for k, v in left.items()} == {"articles": 0, "articles_raw": 6, "odd": 6}
 
 
 def test_upsert_rules(spark):

@@ -189,3 +189,45 @@ def test_people_of_a_page(spark):
     html = '<meta name="author" content="Ben Beispiel, Bern"><a href="/impressum/anna-ld.1">Anna Muster</a><span class="author">anna muster, Berlin</span><span class="byline">Cem Demo</span>'
     d = spark.createDataFrame([(1, html)], "page long, html string")
     assert [r["name"] for r in pages.byline_people(d, "html", "page").orderBy("pos").collect()] == ["Anna Muster", "Cem Demo", "Ben Beispiel, Bern"]
+
+
+def test_close_names_equal_a_plain_search(spark):
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 14)))
+    known = sorted({word() for _ in range(120)} | {"Anna Muster", "aaaa", "aaab", "aabb"})
+    names = []
+    for _ in range(150):
+        x = rng.choice(known)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(x))
+            x = x[:i] + rng.choice("abcz") + x[i + rng.randint(0, 1) :]
+        names.append(x)
+    names += [word() for _ in range(40)]
+    for cutoff in (0.6, 0.85):
+        want = {}
+        for x in set(names):
+            near = [x] if x in known else difflib.get_close_matches(x, known, n=1, cutoff=cutoff)
+            want[x] = near[0] if near else None
+        d = spark.createDataFrame([(k, "r") for k in known] + [(None, "r")], "name string, role string")
+        got = {r["name"]: r["match"] for r in fuzzy.best_match(spark.createDataFrame([(x,) for x in [*names, None]], "name string"), d, cutoff).collect()}
+        assert got == want and sum(v is not None and k != v for k, v in want.items()) > 10
+
+
+def test_contained_names_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abC é") for _ in range(rng.randint(0, n)))
+    d = [word(7) for _ in range(40)] + [None, " "]
+    n = [word(12) for _ in range(200)] + [x and "xx" + x for x in d] + [None, ""]
+    low = lambda x: x.strip(" ").lower()
+    keys = {low(x) for x in d if x and low(x)}
+    want = sorted(x for x in n if x is not None and any(k in low(x) or low(x) in k for k in keys))
+    from corpusloom.operators import resolve
+
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    assert sorted(r["name"] for r in resolve.contained_names(frame(n), frame(d)).collect()) == want and 0 < len(want) < len(n)
+    assert resolve.contained_names(frame(n), frame([None, ""])).count() == 0

@@ -60,7 +60,7 @@ def gains(documents: DataFrame, target: DataFrame, work: Scratch, orders: int =
 
     b = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     c = b.join(counted(documents, "s"), "bucket", "left").join(counted(target, "t"), "bucket", "left").na.fill(0, ["s", "t"])
-    c = work.save(c.coalesce(1), "counts")
+    c = work.save(c, "counts")
     c = c.crossJoin(F.broadcast(c.agg(F.sum("s").alias("ns"), F.sum("t").alias("nt"))))
     num = (F.col("t") + 1).cast("double") * (F.col("ns") + buckets).cast("double")
     den = (F.col("s") + 1).cast("double") * (F.col("nt") + buckets).cast("double")

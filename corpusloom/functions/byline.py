@@ -64,6 +64,12 @@ PLACE_WORDS = ("gazastreifen", "gaza", "valley", "city", "town", "nördlicher",
 PLACE_LINKS = frozenset({"de", "da", "am", "on", "in", "bei", "an"})
 PLACE_STARTS = frozenset({"new", "tel", "san", "rio", "são", "los", "las", "el", "al", "saint", "st.", "bad"})
 
+# fixed values: short words that are names, and short ones that are towns
+COMMON_NAMES = frozenset(
+    "max tom tim jan leo noa luk ben sam dan müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann schäfer koch bauer richter klein wolf".split()
+)
+KNOWN_CITIES = frozenset("rom bern biel wien paris berlin london tokio milan kiew".split())
+
 PERSON = "first_name string, middle_name string, last_name string, location string, department string, name string, original string"
 _SPLIT = re.compile(r"[,;]|\s+und\s+|\s+and\s+", re.I)
 _INITIAL = re.compile(r"[A-ZÄÖÜ]\.")
@@ -109,6 +115,18 @@ class Parser:
             return True
         return not self.is_department(part) and all(map(_capital, words)) and (len(words) > 1 or len(part) > 2)
 
+    def _name_alone(self, word: str) -> bool:
+        """Whether one word on its own is a family name: an initial, a word of two letters, a short common name or a
+        word in lower case.  Longer capitalised words are more likely a town, and capitals an agency."""
+        if len(word) == 1 or len(word) == 2 and word[1] == ".":
+            return True
+        if not re.fullmatch(r"[^\W\d_]+(?:[-'.][^\W\d_]*)*", word) or word.isupper() and len(word) > 2 or self.is_place(word):
+            return False
+        low = word.lower()
+        if not _capital(word) or self.is_department(word) or len(word) == 2:
+            return True
+        return len(word) < 5 and low in COMMON_NAMES and low not in KNOWN_CITIES
+
     def _full_name(self, part: str) -> bool:
         w = part.split()
         return len(w) >= 2 and _capital(w[0]) and (_capital(w[1]) or w[1].lower() in PARTICLES)
@@ -197,6 +215,8 @@ class Parser:
         def close() -> None:
             if len(held) == 1 and len(held[0].split()) == 1 and (out or place is None and department is None):
                 held.clear()  # one word alone is nobody
+            elif len(held) == 1 and len(held[0].split()) == 1 and not self._name_alone(held[0]):
+                held.clear()  # a town or an agency
             if held:
                 one = self.person(" ".join(held).split(), place, department, text)
                 if one:

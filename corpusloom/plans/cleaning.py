@@ -257,6 +257,32 @@ def bylines(spark, sf):
     return p.select("c_custkey", F.array_join(F.transform("people", lambda x: F.concat(x["name"], F.lit("@"), F.coalesce(x["location"], none), F.lit("/"), F.coalesce(x["department"], none))), "|").alias("v"))
 
 
+#: Bylines in the documented forms, and the people in them as ``name@place/department``.
+FORMS = [
+    ("Anna Muster", "Anna Muster@/"), ("Anna Muster, Berlin", "Anna Muster@Berlin/"), ("Anna Muster, Berlin und Paris", "Anna Muster@Berlin/"), ("Anna Muster, Tel Aviv", "Anna Muster@Tel Aviv/"),
+    ("Anna Muster, Rio de Janeiro", "Anna Muster@Rio de Janeiro/"), ("Anna Muster, Frankfurt am Main", "Anna Muster@Frankfurt am Main/"), ("Anna Muster, St. Gallen", "Anna Muster@St. Gallen/"),
+    ("Anna Muster, Nördlicher Gazastreifen", "Anna Muster@Nördlicher Gazastreifen/"), ("Anna B. Muster, Bern", "Anna B. Muster@Bern/"), ("Anna von Muster, Wien und Rom", "Anna von Muster@Wien/"),
+    ("Anna Muster-Beispiel, Zürich", "Anna Muster-Beispiel@Zürich/"), ("New York", ""), ("San Francisco", ""), ("Rio de Janeiro", ""), ("Frankfurt am Main", ""), ("Gaza City", ""), ("Tel Aviv", ""), ("São Paulo", ""),
+    ("Bad Ragaz", ""), ("Los Angeles", ""), ("Singapur", ""), ("", ""), ("   ", ""), ("SDA", ""), ("Johannes C. Beispiel", "Johannes C. Beispiel@/"), ("Alexandra von Muster", "Alexandra von Muster@/"),
+    ("Ludo van der Beek", "Ludo van der Beek@/"), ("Amos Michael Muster", "Amos Michael Muster@/"), ("Karl-Heinz Muster", "Karl-Heinz Muster@/"), ("Li Wei", "Li Wei@/"), ("Anna D'Ambros", "Anna D'Ambros@/"),
+    ("Von Tom Muster", "Tom Muster@/"), ("von Tom Muster", "Tom Muster@/"), ("Bildredaktion", "Bildredaktion@/Bildredaktion"), ("Feuilleton", "Feuilleton@/Feuilleton"), ("Redaktion", "Redaktion@/Redaktion"),
+    ("Ressortleiter", "Ressortleiter@/Ressortleiter"), ("Kultur, Anna Muster", "Anna Muster@/Kultur"), ("Kultur Anna Muster", "Anna Muster@/Kultur"), ("Wirtschaft, Anna, Muster", "Anna Muster@/Wirtschaft"),
+    ("Anna Muster, Sport", "Anna Muster@/"), ("Anna, Muster", "Anna Muster@/"), ("Kultur, Max", "Max@/Kultur"), ("Kultur, Wien", ""), ("Kultur, SDA", ""), ("Kultur, Hamburg", ""),
+    ("Anna Muster und Ben Beispiel", "Anna Muster@/|Ben Beispiel@/"), ("Anna Muster and Ben Beispiel", "Anna Muster@/|Ben Beispiel@/"), ("Anna Muster; Ben Beispiel", "Anna Muster@/|Ben Beispiel@/"),
+    ("Anna Muster Ben Beispiel", "Anna Muster@/|Ben Beispiel@/"), ("Anna Muster Ben von Beispiel", "Anna Muster@/|Ben von Beispiel@/"), ("Mumbai, Ulrich, von, Muster", "Ulrich von Muster@/"),
+]
+_LIST = lambda k: "[" + ", ".join("'" + x[k].replace("'", "''") + "'" for x in FORMS) + "]"
+
+
+@query("k_documented_forms", f"SELECT c_custkey, {_LIST(0)}[c_custkey % {len(FORMS)} + 1] AS byline, {_LIST(1)}[c_custkey % {len(FORMS)} + 1] AS v FROM customer")
+def documented_forms(spark, sf):
+    """Each customer writes in one of the documented forms."""
+    form = F.element_at(F.array(*(F.lit(x) for x, _ in FORMS)), (F.col("c_custkey") % len(FORMS) + 1).cast("int"))
+    p = byline.parse_bylines(_t(spark, sf, "customer").select("c_custkey", form.alias("byline")), "byline")
+    none = F.lit("")
+    return p.select("c_custkey", "byline", F.array_join(F.transform("people", lambda x: F.concat(x["name"], F.lit("@"), F.coalesce(x["location"], none), F.lit("/"), F.coalesce(x["department"], none))), "|").alias("v"))
+
+
 @query("j04_extract", "SELECT c_custkey AS article_id, CASE c_custkey % 8 WHEN 0 THEN 'Anna Muster' WHEN 1 THEN 'Anna Muster|Ben von Beispiel' WHEN 2 THEN 'Anna Muster' WHEN 3 THEN 'Anna Muster' WHEN 4 THEN 'Anna Muster' WHEN 5 THEN 'Anna B. Muster' WHEN 6 THEN 'Redaktion' END AS authors, CASE c_custkey % 8 WHEN 2 THEN 'Kultur' WHEN 3 THEN 'Wirtschaft' WHEN 6 THEN 'Redaktion' END AS department, CASE WHEN c_custkey % 8 = 0 THEN 'Berlin' END AS location FROM customer")
 def stage04(spark, sf):
     c = _t(spark, sf, "customer")

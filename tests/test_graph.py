@@ -220,9 +220,9 @@ def test_ids_may_be_texts(spark):
     got = {r["id"]: r["cluster"] for r in community.label_propagation(g).collect()}
     assert got["Di"] == got["Ed"] == got["Flo"] and got["Ada"] == got["Bo"] == got["Cy"] and got["Gus"] == "Gus"
     assert community.small_world(g, 3).count() == 1 and dict(randomize.random_graph(g, 2).edges.dtypes)["src"] == "string"
-    layers = community.null_layers(g, 5)
+    layers = community.null_layers(g, 5, swaps_per_edge=1)
     assert list(layers) == community.NULL_LAYERS and all(e.count() == 7 for e in layers.values())
-    assert layers["random_layer_citations"].collect() == community.null_model(g, 106).collect()
+    assert layers["random_layer_citations"].collect() == community.null_model(g, 106, swaps_per_edge=1).collect()
     assert len({c["cluster"] for c in community.leiden(g, 1).collect()}) >= 3
 
 

@@ -16,7 +16,8 @@
    Shingles that lie in one component alone cannot join two and are skipped.
 6. Shingles of step 5 that still hold over ``SMALL`` classes of several components are compared block by
    block: every class outside the main component of such a crowd with all others, inside tasks
-   that hold two blocks at a time.  Only links that join different components leave a task.
+   that hold two blocks at a time, first by signature, then with the texts of the classes that this
+   leaves.  Only links that join different components leave a task.
 
 Nothing is sampled or capped.  Groups are never gathered whole: a bucket's list has at most
 ``SMALL`` classes, and a block about ``BLOCK``.
@@ -187,43 +188,69 @@ def _prefix_pairs(left: DataFrame) -> DataFrame:
 def _block_links(work: Scratch, left: DataFrame, sigs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Links between components inside shingles of over ``SMALL`` classes, by comparing blocks of classes.
 
-    A task holds two blocks of a crowd with their texts.  For each class it looks at the other
-    block's likely partners, the likeliest first, and gives one confirmed link to each component.
+    A first pass compares signatures and names the classes of two blocks that may be linked; only
+    their texts are sent.  A task of the second pass holds two blocks of a crowd with these texts: for
+    each class it looks at the other block's likely partners, the likeliest first, and gives one
+    confirmed link to each component.
     """
     ties = left.where(F.col("size") > SMALL)
     pivots = ties.groupBy("s").agg(F.min("cid").alias("pivot"))
     ties = work.save(ties.join(pivots, "s").select("cid", "comp", "pivot").distinct(), "crowd_ties")
     crowds = connected_components(ties.select(F.col("cid").alias("src"), F.col("pivot").alias("dst"))).select(F.col("id").alias("cid"), F.col("component").alias("crowd"))
-    people = work.save(crowds.join(ties.select("cid", "comp").distinct(), "cid").join(sigs.select("cid", "n", "sig"), "cid").join(texts, "cid"), "crowd_people")
+    people = work.save(crowds.join(ties.select("cid", "comp").distinct(), "cid").join(sigs.select("cid", "n", "sig"), "cid"), "crowd_people")
     per = people.groupBy("crowd", "comp").count()
     main = per.groupBy("crowd").agg(F.max(F.struct("count", (-F.col("comp")).alias("c"))).alias("m"), F.sum("count").alias("size")).select("crowd", (-F.col("m.c")).alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     people = people.join(F.broadcast(main) if main.count() <= MAX_CROWDS else main, "crowd").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     outside = people.where("comp <> main").select("crowd", F.col("block").alias("bu")).distinct()
-    left = people.where("comp <> main").select("crowd", F.col("block").alias("bu"), F.explode(every).alias("bv"), "cid", "comp", "n", "sig", "text")
-    right = people.join(outside, "crowd").select("crowd", "bu", F.col("block").alias("bv"), "cid", "comp", "n", "sig", "text")
+    blocks, row = ["crowd", "bu", "bv"], ["cid", "comp", "n", "sig"]
+    left = people.where("comp <> main").select("crowd", F.col("block").alias("bu"), F.explode(every).alias("bv"), *row)
+    right = people.join(outside, "crowd").select("crowd", "bu", F.col("block").alias("bv"), *row)
     right = right.toDF(*right.columns)  # both sides come from one table
 
+    def likely(u: pa.Table, v: pa.Table):
+        """For each row of ``u`` its partners among the rows of ``v``, the likeliest first."""
+        su, sv = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (u, v))
+        cu, nu = (u.column(c).to_numpy() for c in ("comp", "n"))
+        cv, nv = (v.column(c).to_numpy() for c in ("comp", "n"))
+        for r in range(len(cu)):
+            ok = np.flatnonzero((cv != cu[r]) & (100 * np.minimum(nv, nu[r]) >= PERCENT * np.maximum(nv, nu[r])))
+            near = (sv[ok] == su[r]).mean(axis=1)
+            yield r, ok[np.argsort(-near, kind="stable")][: int((near >= ESTIMATE).sum())]
+
+    def choose(key, u: pa.Table, v: pa.Table) -> pa.Table:
+        ours, theirs = np.zeros(u.num_rows, bool), np.zeros(v.num_rows, bool)
+        if u.num_rows and v.num_rows:
+            for r, found in likely(u, v):
+                ours[r] = len(found) > 0
+                theirs[found] = True
+        sides = [t.select(row).filter(pa.array(keep)) for t, keep in ((u, ours), (v, theirs))]
+        out = pa.concat_tables([t.append_column("outside", pa.array(np.full(t.num_rows, x))) for t, x in zip(sides, (True, False))])
+        for c, value in zip(reversed(blocks), reversed(key)):
+            out = out.add_column(0, c, pa.repeat(value, out.num_rows))
+        return out
+
     def compare(key, u: pa.Table, v: pa.Table) -> pa.Table:
         out = []
         if u.num_rows and v.num_rows:
-            su, sv = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (u, v))
-            iu, cu, nu = (u.column(c).to_numpy() for c in ("cid", "comp", "n"))
-            iv, cv, nv = (v.column(c).to_numpy() for c in ("cid", "comp", "n"))
+            iu, iv, cv = u.column("cid").to_numpy(), v.column("cid").to_numpy(), v.column("comp").to_numpy()
             sets = shingle_ids(pa.concat_arrays([*u.column("text").chunks, *v.column("text").chunks]), k)
             sets_u, sets_v = sets[: len(iu)], sets[len(iu) :]
-            for r in range(len(iu)):
-                ok = np.flatnonzero((cv != cu[r]) & (100 * np.minimum(nv, nu[r]) >= PERCENT * np.maximum(nv, nu[r])))
-                near = (sv[ok] == su[r]).mean(axis=1)
+            for r, found in likely(u, v):
                 joined = set()
-                for j in ok[np.argsort(-near, kind="stable")][: int((near >= ESTIMATE).sum())]:
+                for j in found:
                     if cv[j] not in joined and _linked(sets_u[r], sets_v[j]):
                         joined.add(cv[j])
                         out.append((iu[r], iv[j]))
         a, b = (np.array([o[i] for o in out], np.int64) for i in (0, 1))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return left.groupBy("crowd", "bu", "bv").cogroup(right.groupBy("crowd", "bu", "bv")).applyInArrow(compare, "a long, b long").distinct()
+    schema = "crowd long, bu int, bv int, cid long, comp long, n long, sig binary, outside boolean"
+    chosen = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(choose, schema)
+    chosen = work.save(chosen, "crowd_chosen").join(texts, "cid")
+    left, right = (chosen.where(F.col("outside") == x).drop("outside") for x in (True, False))
+    right = right.toDF(*right.columns)
+    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -293,6 +320,6 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = _with_component(classes, connected_components(links, "a", "b"), "cid", "comp")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = work.save(named.join(least, "comp").select("set_key", "component_id"), "components")
-    work.drop("classes", "members", "pairs", "texts", "links1", "links2", "links3", "links4", "crowd", "crowd_shingles", "crowd_prefixes", "crowd_left", "crowd_open", "crowd_large", "crowd_ties", "crowd_people")
+    work.drop("classes", "members", "pairs", "texts", "links1", "links2", "links3", "links4", "crowd", "crowd_shingles", "crowd_prefixes", "crowd_left", "crowd_open", "crowd_large", "crowd_ties", "crowd_people", "crowd_chosen")
     out = known.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

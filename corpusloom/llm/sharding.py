@@ -4,7 +4,9 @@ A document's key is hashed to 32 bits.  The root bucket holds everything; a buck
 limit splits on one more prefix bit, and only such buckets do, so every shard is the *shortest*
 prefix whose documents fit.  Sizes are summed once per directory cell (a prefix a few bits deeper
 than an even split would need) and rolled up to all shorter prefixes; only documents of cells that
-are still too large are summed again at more bits.  Texts are shuffled only to write the shards.
+are still too large are summed again at more bits.  A level of at most ``BROADCAST_CELLS`` cells goes to the
+documents, so texts are shuffled only to write the shards; the first level of more than about 4 TB (at
+64 MB a shard) is joined with them, one further shuffle.
 
 Defined results: a null text has 0 bytes; a null key hashes as the empty string; documents with
 the same hash cannot be told apart by any bit, so a bucket of one hash value stays whole and is
@@ -25,7 +27,7 @@ LIMIT_BYTES = 64 << 20
 FILE_BYTES = 8 << 20
 BITS = 32
 _EXTRA = 4
-BROADCAST_BITS = 20  # a directory of at most a million cells goes to the documents, so texts are not shuffled for it
+BROADCAST_CELLS = 1 << 20  # 20 bytes each
 
 
 def _hash(key: str):
@@ -53,15 +55,16 @@ def _prefix(c, depth: int):
     return F.shiftright(c, BITS - depth)
 
 
-def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """``[(cell bits, cells)]`` for ``sizes(_h, _bytes)``: each cell's leaf depth, bytes and flag.
+def directory(sizes: DataFrame, limit: int) -> list[tuple[int, int, DataFrame]]:
+    """``[(cell bits, most cells, cells)]`` for ``sizes(_h, _bytes)``: each cell's leaf depth and bytes.
 
-    Later entries refine the cells of the earlier ones that have no leaf yet (``depth`` is null).
+    Later entries refine the cells of the earlier ones that have no leaf yet (``depth`` is null), so
+    they have at most ``2**(new bits)`` cells for each of those.
     """
     total = sizes.agg(F.sum("_bytes")).first()[0] or 0
     low, bits = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + _EXTRA)
-    levels: list[tuple[int, DataFrame]] = []
-    rest = sizes
+    levels: list[tuple[int, int, DataFrame]] = []
+    rest, most = sizes, 1 << bits
     while True:
         cells = rest.groupBy(_prefix(F.col("_h"), bits).alias("cell")).agg(F.sum("_bytes").alias("b"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
         per = cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("d"), "b", "lo", "hi")
@@ -70,14 +73,16 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         fit = sums.where((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("d", "p", "bytes")
         leaf = per.select("cell", "d", "p").join(fit, ["d", "p"]).groupBy("cell").agg(F.min(F.struct("d", "bytes")).alias("leaf"))
         found = cells.select("cell").join(leaf, "cell", "left").select("cell", F.col("leaf.d").alias("depth"), F.col("leaf.bytes").alias("bytes"))
-        levels.append((bits, found))
+        levels.append((bits, most, found))
         if bits == BITS:
             return levels
         open_cells = found.where("depth is null").select("cell")
-        if open_cells.isEmpty():
+        n_open = open_cells.count()
+        if not n_open:
             return levels
         rest = rest.withColumn("cell", _prefix(F.col("_h"), bits)).join(open_cells, "cell", "left_semi").drop("cell")
-        low, bits = bits + 1, min(BITS, bits + 8)
+        more = min(8, BITS - bits)
+        low, bits, most = bits + 1, bits + more, n_open << more
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
@@ -86,9 +91,9 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _hash(key).alias("_h"), n_bytes.alias("n_bytes"))
     levels = directory(keyed.select("_h", F.col("n_bytes").alias("_bytes")), limit)
     out = keyed.withColumns({"_d": F.lit(None).cast("int"), "_b": F.lit(None).cast("long")})
-    for bits, cells in levels:
+    for bits, most, cells in levels:
         found = cells.where("depth is not null").select(F.col("cell").alias("_cell"), F.col("depth").alias("_nd"), F.col("bytes").alias("_nb"))
-        if bits <= BROADCAST_BITS:
+        if most <= BROADCAST_CELLS:
             found = F.broadcast(found)
         out = out.withColumn("_cell", _prefix(F.col("_h"), bits)).join(found, "_cell", "left")
         out = out.withColumns({"_d": F.coalesce("_d", "_nd"), "_b": F.coalesce("_b", "_nb")}).drop("_cell", "_nd", "_nb")

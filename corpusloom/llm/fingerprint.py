@@ -12,7 +12,8 @@ packed as hex.  Two fingerprints agree in a bin by chance with probability ``2**
 Defined results: a null text is empty; a text of fewer than five words has one shingle, its whole
 sequence; a text without words has the empty fingerprint, whose likeness is 1 to another empty one
 and 0 to all else; documents with equal ids are ordered by the hash of their texts and then the texts,
-null ids first; repeated rows follow each other; an empty table gives an empty result; further
+null ids first; repeated rows follow each other, and where an id has enough of them to fill a range they
+are counted first and worked on once, so no task holds them; an empty table gives an empty result; further
 columns are ignored.  A very long text must fit a row, with eight bytes for each of its words.
 """
 
@@ -26,6 +27,7 @@ BITS = 8
 SHINGLE = 5
 WALK = 8
 BUCKET_ROWS = 500
+COPIES = 1 << 16  # repeated rows are written out in runs of so many
 MAX_BUCKETS = 1 << 16  # so many bounds of id ranges, and as many for null ids, go through the driver
 
 
@@ -65,10 +67,11 @@ def likeness(a: str, b: str, bits: int = BITS):
 
 
 def _buckets(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with ``h``, the text's hash, and ``bucket``, ranges in the order of id and ``h``.
+    """``doc_id, text, h, bucket``: ``h`` is the text's hash, ``bucket`` a range in the order of id and ``h``.
 
     Bounds are quantiles of the ids, so any spread of them gives ranges of about ``BUCKET_ROWS`` rows.
-    An id that several bounds share is split between them by ``h``; so are null ids.
+    An id that several bounds share is split between them by ``h``; so are null ids.  Equal rows of such ids
+    are one row with their number in a further column, ``copies``, which is there if such ids are.
     """
     docs = docs.withColumn("h", F.xxhash64("text"))
     n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
@@ -86,7 +89,12 @@ def _buckets(docs: DataFrame) -> DataFrame:
     part = "(h / 18446744073709551616.0D + 0.5D)"  # rises with h from 0 to 1
     inside = f"least(hi, lo + cast(floor({part} * (hi - lo + 1)) as int))"
     null = f"least(-1, cast(floor({part} * {share(n - known)}) as int) - {share(n - known)})"
-    return docs.select("doc_id", "text", "h", F.expr(f"cast(case when doc_id is null then {null} else {inside} end as long)").alias("bucket"))
+    rows = docs.select("doc_id", "text", "h", F.expr(f"cast(case when doc_id is null then {null} else {inside} end as long)").alias("bucket"), "lo", "hi")
+    wide = F.col("doc_id").isNull() | (F.col("lo") < F.col("hi"))
+    if n - known <= BUCKET_ROWS and len(set(bounds)) == len(bounds):
+        return rows.drop("lo", "hi")
+    equal = rows.where(wide).groupBy("doc_id", "text", "h", "bucket").agg(F.count("*").alias("copies"))
+    return rows.where(~wide).drop("lo", "hi").withColumn("copies", F.lit(1).cast("long")).unionByName(equal)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -108,9 +116,20 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     after = first.select(F.col("bucket").alias("following"), F.col("text").alias("text_after"), F.col("lanes").alias("lanes_after"))
     d = d.join(chain.join(after, "following").drop("following"), "bucket")
     d = d.withColumns({"last": F.col("next_text").isNull(), "next_text": F.coalesce("next_text", "text_after"), "n_chars": F.length("text").cast("long")})
+    counted = ["again", "times"] if "copies" in docs.columns else []
+    if counted:  # of equal rows all but the last are followed by their own text
+        times = F.expr("case when copies = 1 then array(1L) else array(1L, copies - 1) end")
+        d = d.select("*", F.posexplode(times).alias("again", "times"))
+        own = F.col("again") == 1
+        d = d.withColumns({"next_text": F.when(own, F.col("text")).otherwise(F.col("next_text")), "last": F.col("last") & ~own})
     half = "cast(floor(n_chars / 2) as int)"
     d = d.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))")).drop("next_text", "text_after")
     d = with_lanes(with_lanes(d, "text", "own"), "edited", "new")
-    d = d.select("doc_id", "bucket", "row", "last", "lanes_after", "n_chars", "own", "new", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
-    d = d.withColumn("next_own", F.when(F.col("last"), F.col("lanes_after")).otherwise(F.lead("own").over(Window.partitionBy("bucket").orderBy("row"))))
-    return d.select("doc_id", "n_chars", "edited_sha256", packed("own").alias("fingerprint"), packed("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
+    d = d.select("doc_id", "bucket", "row", *counted, "last", "lanes_after", "n_chars", "own", "new", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
+    d = d.withColumn("next_own", F.when(F.col("last"), F.col("lanes_after")).otherwise(F.lead("own").over(Window.partitionBy("bucket").orderBy("row", *map(F.desc, counted[:1])))))
+    out = [packed("own").alias("fingerprint"), packed("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next_own").alias("near_next")]
+    d = d.select("doc_id", "n_chars", "edited_sha256", *out, *counted[1:])
+    if counted:
+        runs = F.expr(f"transform(sequence(0L, (times - 1) div {COPIES}), i -> least({COPIES}L, times - i * {COPIES}))")
+        d = d.withColumn("run", F.explode(runs)).withColumn("copy", F.explode(F.expr("sequence(1L, run)"))).drop("times", "run", "copy")
+    return d

@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, fingerprint, queries, sharding
 from corpusloom.llm.common import table
@@ -174,6 +175,30 @@ def test_fingerprint_neighbours_for_any_ids(spark, monkeypatch, ids):
     assert max(sizes) <= 60
 
 
+def test_fingerprints_of_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(fingerprint, "COPIES", 64)
+    rows = [(7, "the same row again")] * 900 + [(7, "another text")] * 70 + [(None, "no id")] * 200 + [(None, None)] * 50 + [(i, f"text {i}") for i in range(30)]
+    hashed = {t or "": spark_hash((t or "").encode()) for _, t in rows}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1]))
+    want = collections.Counter()
+    for n, (i, x) in enumerate(order):
+        y, h = order[(n + 1) % len(order)][1], len(x) // 2
+        want[i, hashlib.sha256((x[: len(x) - h] + y[:h]).encode()).hexdigest(), x == y] += 1
+    d = docs(spark, rows)
+    got = fingerprint.fingerprints(d).collect()
+    assert collections.Counter((r["doc_id"], r["edited_sha256"], r["near_next"] == 1.0) for r in got) == want
+    cut = fingerprint._buckets(d.na.fill({"text": ""}))
+    assert max(r["count"] for r in cut.groupBy("bucket").count().collect()) <= 60
+
+
+def test_sharding_bounds_its_levels(spark):
+    sizes = spark.range(4000).select(sharding._hash("id").alias("_h"), F.when(F.col("id") < 5, 10_000).otherwise(1).cast("long").alias("_bytes"))
+    levels = sharding.directory(sizes, 9000)
+    assert len(levels) > 1 and levels[-1][1] <= sharding.BROADCAST_CELLS
+    assert all(cells.count() <= most <= 2**bits for bits, most, cells in levels)
+
+
 def signed(x):
     return x - 2**64 if x >= 2**63 else x
 

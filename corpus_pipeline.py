@@ -15,7 +15,7 @@ executor cost no more than the stage at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, language, near_dup, packing, quality
@@ -43,9 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     copies = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    place = free_name(docs.columns, "_place")
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    row = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 

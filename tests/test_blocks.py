@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusloom.operators import blocks, metrics
+from corpusloom.operators import blocks, graph, metrics
 from corpusloom.operators.graph import Graph
 
 
@@ -52,3 +52,16 @@ def test_betweenness_three_ways(spark, monkeypatch):
     monkeypatch.setattr(metrics, "DENSE_DEGREE", 0)
     monkeypatch.setattr(metrics, "BAND", 16)
     assert score() == want
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """Layers are built by a number of tasks that grows with the pairs; the edges stay the same."""
+    r = random.Random(3)
+    rows = spark.createDataFrame([(i, r.randrange(12)) for i in range(40) for _ in range(r.randrange(1, 5))], "i long, x long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(39)], "i long, j long")
+    made = lambda: [sorted(map(tuple, e.collect())) for e in (graph.coauthor_layer(rows, "i", "x"), graph.related_layer(rows, links, "i", "x", "i", "j"))]
+    want = made()
+    monkeypatch.setattr(graph, "PAIRS_PER_TASK", 10)
+    asked = graph._tasks(rows)
+    assert asked == max(spark.sparkContext.defaultParallelism, -(-sum(c["count"] ** 2 for c in rows.groupBy("i").count().collect()) // 10))
+    assert made() == want

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import metrics, paths, triangles
+from corpusloom.operators import blocks, metrics, paths, triangles
 
 from .test_graph import make, scores
 
@@ -168,3 +168,18 @@ def test_distances_are_never_cut_unasked(spark):
     line = make(spark, [(i, i + 1) for i in range(8)])
     assert metrics.distances(line, line.nodes.where("id = 0")).agg(F.max("dist")).first()[0] == 8
     assert metrics.distances(line, line.nodes.where("id = 0"), max_depth=4).agg(F.max("dist")).first()[0] == 4
+
+
+def test_balls_of_components_in_ranges(spark, monkeypatch):
+    """Rows in several ranges and registers in several columns: components are counted exactly, a sketch never leaves its own."""
+    monkeypatch.setattr(blocks, "SMALL", 16)
+    monkeypatch.setattr(blocks, "COLUMN_BYTES", 64)
+    edges = random_edges(7, 700, 0.006) + [(1000 + i, 1001 + i, 1) for i in range(12)] + [(2000, 2001, 1)]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in edges]
+    g = make(spark, edges, nodes=[3000])
+    far = all_distances(neighbours(edges, [3000]))
+    got = {r["id"]: (r["reached"], r["total"]) for r in paths.hyperball(g, 7).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: len(x) - 1 for i, x in far.items()}
+    assert got[3000] == (0, 0) and got[2000] == (1, 1)
+    off = np.array([got[i][1] / sum(far[i].values()) - 1 for i in far if len(far[i]) > 2])
+    assert np.sqrt((off**2).mean()) < paths.relative_error(7)

@@ -1,5 +1,8 @@
 """Scalar functions, bylines, pages and stages on small hand-made cases."""
 
+import difflib
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +234,21 @@ def test_contained_names_equal_all_pairs(spark):
     frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
     assert sorted(r["name"] for r in resolve.contained_names(frame(n), frame(d)).collect()) == want and 0 < len(want) < len(n)
     assert resolve.contained_names(frame(n), frame([None, ""])).count() == 0
+
+
+def test_fuzzy_compares_close_names_first(spark, monkeypatch, tmp_path):
+    """Numbered names are all alike: a name with a close partner is not compared with every other one."""
+    known = [f"Supplier#{i:09d}" for i in range(0, 900, 3)]
+    names = [x[:3] + x[4:] for x in known] + ["Supplyer#00000999"]
+    plain = fuzzy._ratios
+
+    def counted(names: pd.Series, others: pd.Series) -> pd.Series:
+        with open(tmp_path / "compared", "a") as f:
+            f.write("x" * len(names))
+        return plain(names, others)
+
+    monkeypatch.setattr(fuzzy, "_ratios", counted)
+    d = spark.createDataFrame([(x, "r") for x in known], "name string, role string")
+    got = {r["name"]: r["match"] for r in fuzzy.best_match(spark.createDataFrame([(x,) for x in names], "name string"), d).collect()}
+    assert got == {x: max((difflib.SequenceMatcher(None, y, x).ratio(), y) for y in known)[1] for x in names}
+    assert (tmp_path / "compared").stat().st_size < 10 * len(names)

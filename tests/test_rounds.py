@@ -125,3 +125,19 @@ def test_random_graph(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and all(a < b and w == 1 for a, b, w in rows)
     assert abs(len(rows) - len(edges)) < 4 * len(edges) ** 0.5
     assert community.small_world(make(spark, edges), 1).count() == 1
+
+
+def test_rewiring_in_blocks(spark, monkeypatch):
+    """Edges in blocks of node groups: two rounds make two swaps an edge, however dense the graph is."""
+    monkeypatch.setattr(randomize, "BLOCK_EDGES", 100)
+    rng = np.random.default_rng(3)
+    old = {(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.5}
+    rounds = []
+    save = randomize.Scratch.save
+    monkeypatch.setattr(randomize.Scratch, "save", lambda self, df, table, **o: rounds.append(table) or save(self, df, table, **o))
+    e, done = randomize.rewire(make(spark, sorted(old)), 5, swaps_per_edge=2)
+    new = {(r["src"], r["dst"]) for r in e.collect()}
+    degree = lambda es: collections.Counter(x for x2 in es for x in x2)
+    assert degree(new) == degree(old) and len(new) == len(old) == e.count() and all(a < b for a, b in new)
+    assert done >= 2 * len(old) and len(rounds) <= 5
+    assert 0.3 < len(new & old) / len(old) < 0.7  # half of all pairs are edges

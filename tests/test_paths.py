@@ -183,3 +183,20 @@ def test_balls_of_components_in_ranges(spark, monkeypatch):
     assert got[3000] == (0, 0) and got[2000] == (1, 1)
     off = np.array([got[i][1] / sum(far[i].values()) - 1 for i in far if len(far[i]) > 2])
     assert np.sqrt((off**2).mean()) < paths.relative_error(7)
+
+
+@pytest.mark.parametrize("wedges", [1 << 20, 50])
+def test_corners_by_wedges(monkeypatch, wedges):
+    monkeypatch.setattr(triangles, "WEDGE_COST", 0)
+    monkeypatch.setattr(triangles, "WEDGES", wedges)
+    rng = np.random.default_rng(wedges)
+    a = np.triu(rng.random((70, 70)) < 0.3, 1) * rng.random((70, 70))
+    a[0, 1:] = 0.5  # a hub
+    u, v = np.nonzero(a)
+    block = (u, v, a[u, v])
+    for weighted in (False, True):
+        total = np.zeros(70)
+        for n, s in triangles.corner_sums(block, block, block, weighted):
+            np.add.at(total, n, s)
+        m = a + a.T if weighted else ((a + a.T) > 0).astype(float)
+        assert np.allclose(total, np.diag(m @ m @ m) / 2)

@@ -63,3 +63,15 @@ def test_dense_greedy_equals_heap():
         m2 = 2 * w.sum() * 1.5  # a part of a larger graph
         near = whole.neighbours(s, d, w, n)
         assert dict(enumerate(community._greedy_dense(s, d, w, n, m2).tolist())) == community._greedy(near, m2)
+
+
+def test_article_graph_is_stored_once(spark, sf, monkeypatch):
+    """The measures of the largest component read a stored graph; the layer and its components are not made for each."""
+    from corpusloom.plans import network
+
+    seen = []
+    monkeypatch.setattr(network.metrics, "degree_centrality", lambda g: seen.append(g) or g.nodes.withColumn("score", F.lit(1.0)))
+    monkeypatch.setattr(network.metrics, "betweenness", lambda g, max_nodes: g.nodes.withColumn("score", F.lit(1.0)))
+    monkeypatch.setattr(network.metrics, "closeness", lambda g: g.nodes.withColumn("score", F.lit(1.0)))
+    network.article_centralities(spark, sf)
+    assert not any(x in g._jdf.queryExecution().toString() for g in (seen[0].nodes, seen[0].edges) for x in ("Window", "Join"))

@@ -1,4 +1,4 @@
-"""SQLite files as a Python data source, and as a sink.
+"""SQLite files as a Python data source, and as sinks: one file, or a folder of files that tasks write and read.
 
     spark.dataSource.register(SqliteSource)
     spark.read.format("sqlite").option("path", file).option("table", "articles").option("parts", 8).load()
@@ -10,17 +10,21 @@ task reads a range of row ids from its own copy, read-only.  Column types come f
 
 from __future__ import annotations
 
+import contextlib
 import sqlite3
 import tempfile
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as TT
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .readers import conform, schema, warehouse_type
 
 BATCH = 1000
+PART_ROWS = 200_000  # rows of a file that a task writes
 _KINDS = {"INTEGER": TT.LongType(), "REAL": TT.DoubleType(), "BYTEA": TT.BinaryType(), "BOOLEAN": TT.LongType()}
 
 
@@ -86,19 +90,82 @@ def read_sqlite(spark: SparkSession, path: str, table: str, name: str | None = N
     return conform(rows.load(), schema(name)) if name else rows.load()
 
 
+_SQL_KINDS = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+
+
+def _statements(df: DataFrame, table: str) -> tuple[DataFrame, str, str]:
+    """The frame with columns as SQLite holds them, and the statements that create the table and fill it."""
+    columns = ", ".join(f"{_quoted(n)} {_SQL_KINDS.get(t, 'TEXT')}" for n, t in df.dtypes)
+    plain = df.select(*(df[n] if t in _SQL_KINDS else df[n].cast("string").alias(n) for n, t in df.dtypes))
+    return plain, f"CREATE TABLE {_quoted(table)} ({columns})", f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(df.columns))})"
+
+
+def write_parts(df: DataFrame, path: str, table: str, rows: int = PART_ROWS) -> None:
+    """A frame as SQLite files of at most ``rows`` rows each, made by its tasks; no row passes through the driver.
+
+    A file is a row of a Parquet table at ``path``, so that Spark commits it; a task without rows makes none.
+    """
+    plain, create, put = _statements(df, table)
+
+    def files(batches):
+        with contextlib.ExitStack() as stack:
+            folder = stack.enter_context(tempfile.TemporaryDirectory())
+            n, held, c = 0, 0, None
+
+            def done():
+                c.commit()
+                c.close()
+                with open(f"{folder}/{n}.db", "rb") as f:
+                    raw = f.read()
+                return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([raw], pa.binary())], names=["rows", "bytes"])
+
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    if c is None:
+                        c, held = sqlite3.connect(f"{folder}/{n}.db"), 0
+                        c.execute(create)
+                    some = batch.slice(at, rows - held)
+                    c.executemany(put, zip(*(x.to_pylist() for x in some.columns)))
+                    at, held = at + some.num_rows, held + some.num_rows
+                    if held >= rows:
+                        yield done()
+                        c, n = None, n + 1
+            if c is not None:
+                yield done()
+
+    plain.mapInArrow(files, "rows long, bytes binary").write.mode("overwrite").parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str, table: str, like: TT.StructType, not_null: str | None = None) -> DataFrame:
+    """The table of all SQLite files that :func:`write_parts` made, each read by a query of its own; ``like``: its columns and types."""
+    wanted = f"SELECT {', '.join(_quoted(f.name) for f in like.fields)} FROM {_quoted(table)}"
+    if not_null:
+        wanted += f" WHERE {_quoted(not_null)} IS NOT NULL"
+    kinds = to_arrow_schema(like)
+
+    def scan(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                with contextlib.closing(sqlite3.connect(":memory:")) as c:
+                    c.deserialize(raw.as_py())
+                    cursor = c.execute(wanted)
+                    while found := cursor.fetchmany(BATCH):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), kinds)], schema=kinds)
+
+    return spark.read.schema("bytes binary").parquet(path).mapInArrow(scan, like)
+
+
 def write_sqlite(df: DataFrame, path: str, table: str) -> None:
     """A frame as a table of a SQLite file at ``path``, in any store that Spark writes.
 
     The format is one file of one writer: rows stream in batches through the driver into a working file, which is
-    then copied to ``path`` and deleted.
+    then copied to ``path`` and deleted.  :func:`write_parts` makes many files instead, by tasks.
     """
-    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
-    columns = ", ".join(f"{_quoted(n)} {kinds.get(t, 'TEXT')}" for n, t in df.dtypes)
-    plain = df.select(*(df[n] if t in kinds else df[n].cast("string").alias(n) for n, t in df.dtypes))
-    put = f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(df.columns))})"
+    plain, create, put = _statements(df, table)
     with tempfile.TemporaryDirectory() as folder:
         c = sqlite3.connect(f"{folder}/work.db")
-        c.execute(f"CREATE TABLE {_quoted(table)} ({columns})")
+        c.execute(create)
         batch: list[tuple] = []
         for row in plain.toLocalIterator():
             batch.append(tuple(row))

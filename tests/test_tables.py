@@ -158,3 +158,22 @@ def test_titles_decode_what_their_sql_decodes(spark, tmp_path):
     rows = [(1, "u/1", "<h1>a &quot;b&quot; &amp;&lt;&gt; c&amp</h1>"), (2, "u/2", "<h1> d &amp;lt;  &#233; </h1>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {tuple(r) for r in entry.queries()["b4_titles"](spark, str(tmp_path)).collect()} == {(1, "a &quot;b&quot; &<> c&amp"), (2, "d < &#233;")}
+
+
+def test_sqlite_parts(spark, tmp_path, monkeypatch):
+    """Tasks write and read the files: no row passes through the driver, and types, nulls and odd names come back."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(0, 25, 1, 3).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("x'"), F.col("id"))).alias('odd "name'), (F.col("id") / 4).alias("price"), F.col("id").cast("int").alias("n"), F.expr("cast('b' as binary)").alias("raw"))
+    monkeypatch.setattr(type(d), "toLocalIterator", None)
+    monkeypatch.setattr(type(d), "collect", None, raising=False)
+    path = str(tmp_path / "parts")
+    sqlite.write_parts(d, path, "odd name", rows=4)
+    got = sqlite.read_parts(spark, path, "odd name", d.schema)
+    monkeypatch.undo()
+    assert got.schema == d.schema and sorted(map(str, got.collect())) == sorted(map(str, d.collect()))
+    assert spark.read.parquet(path).count() == 7 and spark.read.parquet(path).agg(F.max("rows")).first()[0] == 4
+    assert sqlite.read_parts(spark, path, "odd name", d.schema, not_null='odd "name').count() == 16
+    none = str(tmp_path / "none")
+    sqlite.write_parts(d.limit(0), none, "t")
+    assert sqlite.read_parts(spark, none, "t", d.schema).count() == 0

@@ -28,12 +28,12 @@ def _raw(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
-def packed(g: Graph, nodes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame, Graph | None]:
+def packed(g: Graph, nodes: DataFrame, work: Scratch, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Graph | None]:
     """The packs, ``id, turn, pack, p, size`` of their nodes, and the graph of components that are too large.
 
     ``g`` and ``nodes(id, turn)`` should be stored.  Nodes without an edge are in neither.
     """
-    of = g.components()
+    of = g.components() if components is None else components
     of = work.save(of.join(nodes, "id").select("id", "turn", "component"), "components")
     e = g.edges.select("src", "dst").join(of.select(F.col("id").alias("src"), "component"), "src")
     sizes = e.groupBy("component").agg(F.count("*").alias("m")).join(of.groupBy("component").agg(F.count("*").cast("double").alias("n")), "component")

@@ -55,3 +55,17 @@ def test_waves_end_at_the_first_turn_that_is_good_enough(spark, monkeypatch):
     assert 0 < t < 5
     got = scores(paths.betweenness_pivots(g, error=limit, least_pivots=10))
     assert [got[i] for i in range(n)] == pytest.approx(score[t], abs=2e-6)
+
+
+def test_robustness_collects_no_graph(spark, tmp_path, monkeypatch):
+    """Neither betweenness nor greedy modularity brings edges or nodes to the driver."""
+    from corpusloom.operators import community
+    from corpusloom.plans import network
+
+    rows = [(k, x) for k, (a, b, *_) in enumerate(random_edges(5, 30, 0.3)) for x in (a, b)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    expected = sorted(map(tuple, network.robustness_default(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(community, "_local", None)
+    monkeypatch.setattr(metrics, "_adjacency", None)
+    monkeypatch.setattr(community.greedy_modularity, "__defaults__", (5, *community.greedy_modularity.__defaults__[1:]))
+    assert sorted(map(tuple, network.robustness_default(spark, str(tmp_path)).collect())) == expected

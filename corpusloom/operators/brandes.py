@@ -2,7 +2,7 @@
 
 Nodes are dealt to packs of whole components (one that is large has a pack of its own) and get places in them.  The
 adjacency of a pack is one row: bits where it is dense, else row starts and neighbours, of ``PART_BYTES`` at most; components
-that need more are left to the rounds of :mod:`paths`.  A group is a pack and a few of its pivots, as columns of matrices of
+that need more go pivot by pivot through :mod:`wide`, and those of over ``wide.WIDE`` edges through the rounds of :mod:`paths`.  A group is a pack and a few of its pivots, as columns of matrices of
 ``CELLS`` numbers at most: a level of the search is the product of the adjacency and the columns, forward for the numbers of
 shortest paths, backward for the credits.  Shortest paths never leave a component, so nothing else is needed.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from . import wide
 from .graph import Graph
 
 PART_BYTES = 1 << 25  # adjacency of a pack
@@ -28,8 +29,8 @@ def _raw(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
-def packed(g: Graph, nodes: DataFrame, work: Scratch, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Graph | None]:
-    """The packs, ``id, turn, pack, p, size`` of their nodes, and the graph of components that are too large.
+def packed(g: Graph, nodes: DataFrame, work: Scratch, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame, wide.Wide | None, Graph | None]:
+    """The packs, ``id, turn, pack, p, size`` of their nodes, the components too large for a pack, and the graph of those too large for a task.
 
     ``g`` and ``nodes(id, turn)`` should be stored.  Nodes without an edge are in neither.
     """
@@ -49,12 +50,17 @@ def packed(g: Graph, nodes: DataFrame, work: Scratch, components: DataFrame | No
     rows = g.edges.select("src", "dst").join(a, "src").join(b, "dst").select("pack", "u", "v")
     rows = rows.unionByName(placed.select("pack", F.col("p").alias("u"), (-1 - F.col("turn")).cast("int").alias("v")))  # a node: its turn, below 0
     rows = work.save(rows.groupBy("pack").applyInArrow(_pack, "pack long, turns binary, starts binary, near binary"), "packs")
-    rest = sizes.where(~fits)
+    held, rest = None, sizes.where(~fits)
+    some = rest.where(F.col("m") <= wide.WIDE)
+    if not some.isEmpty():
+        near = of.join(F.broadcast(some), "component", "left_semi")
+        held = wide.Wide(near, g.edges.join(near.select(F.col("id").alias("src")), "src", "left_semi"), work, False)
+    rest = rest.where(F.col("m") > wide.WIDE)
     if rest.isEmpty():
-        return rows, placed, None
+        return rows, placed, held, None
     far = of.join(rest, "component", "left_semi")
     large = Graph(work.save(far.select("id", "turn"), "large_nodes"), work.save(g.edges.join(far.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "weight"), "large_edges"))
-    return rows, placed, large
+    return rows, placed, held, large
 
 
 def _pack(table: pa.Table) -> pa.Table:

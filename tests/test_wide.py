@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import brandes, metrics, paths, wide
+from corpusloom.operators import brandes, colours, community, metrics, moves, paths, whole, wide
 
 from .test_brandes import pieces
+from .test_components_whole import parted, rows
 from .test_paths import make, scores
 
 
@@ -39,3 +40,23 @@ def test_credits_of_a_pivot(monkeypatch, span):
         expected = brandes.credits(np.zeros(0, np.int64), np.packbits(matrix, axis=1, bitorder="little"), n, np.arange(n))
         graph = wide.Flat.of(s, d, np.ones(len(s)), n)
         assert np.allclose(np.stack([wide.credits(graph, k) for k in range(n)], axis=1), expected)
+
+
+def test_array_methods_equal_the_loops():
+    rng = np.random.default_rng(3)
+    first = lambda x: [list(x).index(c) for c in x]
+    for trial in range(24):
+        n = int(rng.integers(2, 70))
+        s, d = np.triu_indices(n, 1)
+        keep = (rng.random(len(s)) < (0.05, 0.2, 0.5)[trial % 3]) | (trial % 2 == 1) & (s % 4 == d % 4)
+        s, d = s[keep], d[keep]
+        w = rng.integers(1, 4, len(s)).astype(float)
+        m2 = max(1.0, 2 * w.sum() * (1.5 if trial % 4 else 1))
+        ids, adj, flat = list(range(n)), whole.neighbours(s, d, w, n), lambda: wide.Flat.of(s, d, w, n)  # noqa: B023
+        for loop, got in (
+            (community._levels(ids, adj, 42, 1.0, m2), moves.louvain(flat(), 42, 1.0, m2)),
+            (community._leiden(ids, adj, 42, 0.3, True, m2=m2), moves.leiden(flat(), 42, 0.3, True, m2)),
+            (community._leiden(ids, adj, 42, 1.0, False, m2=m2), moves.leiden(flat(), 42, 1.0, False, m2)),
+            (community._greedy(whole.neighbours(s, d, w, n), m2), moves.greedy(flat(), m2)),
+        ):
+            assert first([loop[u] for u in ids]) == first(got.tolist())

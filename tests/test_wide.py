@@ -60,3 +60,16 @@ def test_array_methods_equal_the_loops():
             (community._greedy(whole.neighbours(s, d, w, n), m2), moves.greedy(flat(), m2)),
         ):
             assert first([loop[u] for u in ids]) == first(got.tolist())
+
+
+def test_communities_of_wide_components_need_no_rounds(spark, monkeypatch):
+    """The same partitions as of components that fit a row; none is refused for its nodes."""
+    g = make(spark, [*parted(5, 2, 16, 0.25), (500, 501, 1)], nodes=[999])
+    methods = [lambda: colours.louvain(g, most=most), lambda: colours.leiden(g, resolution=0.3, most=most), lambda: community.greedy_modularity(g, max_edges=5, dense_nodes=8)]
+    most = 500
+    expected = [rows(m()) for m in methods]
+    most = 10
+    monkeypatch.setattr(community, "MAX_EDGES", 10)
+    monkeypatch.setattr(colours, "_rounds", None)
+    monkeypatch.setattr(wide, "PIECE_EDGES", 15)
+    assert [rows(m()) for m in methods] == expected
